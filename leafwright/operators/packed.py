@@ -25,7 +25,7 @@ SUFFIXES = "PhD|Ph\\.D\\.?|Jr\\.?|Sr\\.?|MD|M\\.D\\.?|MBA|MSc|MA|BA|BSc|DPhil|LL
 BODIES = "Association|Office|Company|Bureau|College|Trust|Board|Fund|Agency|Press|Institute|University|Council|Society|Service|Services|Group|Ltd|Inc|Inc\\.|LLC|GmbH|AG|Committee|Department|Ministry|Union|Federation|News|Newsroom|Media|Team|Desk|Foundation|Authority|Commission|Corporation|Partners|Laboratory|Centre|Center|Museum|School|Mines|Party|Bank|Club|Редакция|Агентство|Бюро|Ассоциация|Компания"
 HAN_BODIES = "局|馆|公司|社|站|协会|院|部|中心|委员会|报|台|所|大学|网|集团|组|室|会"
 
-TOKEN = "\"(?:[^\"\\\\]|\\\\[\\s\\S]|\"\")*\"|\\([^()]*\\)|（[^（）]*）|[\\p{IsHan}]+|[\\p{L}\\p{M}\\p{N}'’.\\-&&[^\\p{IsHan}]]+|[ \\u00a0]+|[\\s\\S]"
+TOKEN = "\"[^\"\\\\]*+(?:(?:\\\\[\\s\\S]|\"\")[^\"\\\\]*+)*+\"|\\([^()]*\\)|（[^（）]*）|[\\p{IsHan}]+|[\\p{L}\\p{M}\\p{N}'’.\\-&&[^\\p{IsHan}]]+|[ \\u00a0]+|[\\s\\S]"
 SLICES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
 
 
