@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import repetition, sitelines
+from leafwright.llm import encoding, repetition, sitelines
 from leafwright.session import cut
 from leafwright.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that hold garbled characters, restorable or not."""
+    return p3_restored(spark, folder).select("id", "line_no")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled lines with the pair of encodings that garbled them and, where nothing was lost, their original wording."""
+    gold = table(spark, folder, "mini_gold", "id", "content_text")
+    return encoding.garbled_lines(gold, "id", "content_text", encoding.fit(gold, "content_text"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that stand on at least 4 pages and 10 % of the pages of their site."""
     gold = table(spark, folder, "mini_gold", "id", "site", "content_text", "annotated_at")
@@ -29,5 +40,5 @@ def p9_measures(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judge(table(spark, folder, "documents", "doc_id", "text"), "text").drop("text")
 
 
-QUERIES = {"p5_found": p5_found, "p9_found": p9_found, "p9_measures": p9_measures}
+QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p9_found": p9_found, "p9_measures": p9_measures}
 ORACLES: dict[str, str] = {}
