@@ -34,6 +34,10 @@ SAMPLE_PAGES, SAMPLE_CHARACTERS = 3000, 1_500_000
 TABLE = 1 << 17
 #: Chance of leaving a state from one scored position to the next, and of a line's first state not being clean.
 LEAVE, DIRTY = 1e-4, 5e-3
+#: States besides the clean one that a line's path may use.
+KEPT_STATES = 4
+#: Mean log probability of a position from which a line isn't worth a closer look.
+USUAL = -11.0
 #: What restored text must gain in log probability.
 MARGIN = 3.0
 WEIGHTS = (0.80, 0.17, 0.03)  # bigram, character, block
@@ -186,7 +190,7 @@ class Model:
         for s, n in zip(starts[possible], lengths[possible]):
             here = at[s : s + n]
             path = self._viterbi(self.emissions(before[here], now[here]))
-            if not path.any():
+            if not any(path):
                 continue
             line = int(line_of[s])
             spans: list[tuple[int, int, int]] = []
@@ -210,6 +214,29 @@ class Model:
         at = (before >= 0x80) | (now >= 0x80)
         return float(np.log(self._probability(0, before[at], now[at])).sum()) if at.any() else 0.0
 
+    def odd(self, lines: list[str]) -> list[bool]:
+        """Whether a line's positions are so unlikely as clean text that it is worth a closer look."""
+        out = [False] * len(lines)
+        if not lines:
+            return out
+        codes = _codes("\n" + "\n".join(lines) + "\n")
+        before, now = codes[:-1], codes[1:]
+        at = np.flatnonzero((before >= 0x80) | (now >= 0x80))
+        if not len(at):
+            return out
+        line_of = np.cumsum(codes == 10)[at] - 1
+        logs = np.log(self._probability(0, before[at], now[at]))
+        starts = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
+        means = np.add.reduceat(logs, starts) / np.diff(np.r_[starts, len(at)])
+        for k in np.flatnonzero(means <= USUAL):
+            out[int(line_of[starts[k]])] = True
+        return out
+
+    def mend(self, line: str) -> str | None:
+        """The original of a garbled line, an empty string if it can't be restored; null for a clean line."""
+        found = self.verdict(line, self.label([line])[0])
+        return None if found is None else found[1] or ""
+
     def verdict(self, line: str, spans: list[tuple[int, int, int]]) -> tuple[str, str | None] | None:
         """(state, original line or null) of a labelled line; null if it is clean after all."""
         if not spans and "�" not in line:
@@ -225,6 +252,8 @@ class Model:
                 score = self.clean_score(back) + (1.0 if state == longest else 0.0)
                 if score > own + MARGIN and (best is None or score > best[0]):
                     best = (score, state, back)
+                    if state == longest:
+                        break
         if best:
             return best[1], best[2]
         for a, b, s in spans:  # part of the line comes back
@@ -243,22 +272,26 @@ class Model:
         return int(self._feeds[line]) + 1
 
     @staticmethod
-    def _viterbi(scores: np.ndarray) -> np.ndarray:
-        n, k = scores.shape
-        stay, leave = np.log1p(-LEAVE), np.log(LEAVE / (k - 1))
-        value = scores[0] + np.where(np.arange(k) == 0, np.log1p(-DIRTY), np.log(DIRTY / (k - 1)))
-        back = np.zeros((n, k), dtype=np.int16)
-        for i in range(1, n):
-            top = int(value.argmax())
+    def _viterbi(scores: np.ndarray) -> list[int]:
+        """The likeliest path through the clean state and the few states that could gain most on it."""
+        gains = np.maximum(scores - scores[:, :1], 0).sum(axis=0)
+        states = [0, *[int(k) for k in np.argsort(-gains)[:KEPT_STATES] if k and gains[k] > 0]]
+        stay, leave = float(np.log1p(-LEAVE)), float(np.log(LEAVE / (len(STATES) - 1)))
+        rows = scores[:, states].tolist()
+        first = [float(np.log1p(-DIRTY))] + [float(np.log(DIRTY / (len(STATES) - 1)))] * (len(states) - 1)
+        value = [x + y for x, y in zip(rows[0], first)]
+        back = []
+        for row in rows[1:]:
+            top = max(range(len(value)), key=value.__getitem__)
             jump = value[top] + leave
-            keep = value + stay
-            back[i] = np.where(keep >= jump, np.arange(k), top)
-            value = np.maximum(keep, jump) + scores[i]
-        path = np.zeros(n, dtype=np.int16)
-        path[-1] = int(value.argmax())
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return path
+            back.append([i if v + stay >= jump else top for i, v in enumerate(value)])
+            value = [max(v + stay, jump) + x for v, x in zip(value, row)]
+        at = max(range(len(value)), key=value.__getitem__)
+        path = [states[at]]
+        for step in reversed(back):
+            at = step[at]
+            path.append(states[at])
+        return path[::-1]
 
 
 def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Model:

@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import encoding, repetition, sitelines
+from leafwright.llm import encoding, furniture, repetition, residue, sitelines
 from leafwright.session import cut
 from leafwright.sources.tables import table
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """id, site, title and content_text of mini_gold; a null site is taken from the id, which begins with it."""
+    site = F.coalesce("site", F.nullif(F.regexp_extract("id", "^(.*)__", 1), F.lit("")))
+    return table(spark, folder, "mini_gold", "id", "site", "title", "content_text").withColumn("site", site)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose text holds residue, filler, an error message or a notice, and no article."""
+    pages = _pages(spark, folder)
+    return residue.residue_pages(pages, "id", "content_text", "site", encoding.fit(pages, "content_text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Non-blank lines that aren't part of the article."""
+    pages = _pages(spark, folder)
+    return furniture.furniture_lines(pages, "id", "content_text", "site", "title", encoding.fit(pages, "content_text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that hold garbled characters, restorable or not."""
     return p3_restored(spark, folder).select("id", "line_no")
@@ -40,5 +58,5 @@ def p9_measures(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judge(table(spark, folder, "documents", "doc_id", "text"), "text").drop("text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p9_found": p9_found, "p9_measures": p9_measures}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p9_found": p9_found, "p9_measures": p9_measures}
 ORACLES: dict[str, str] = {}
