@@ -296,7 +296,9 @@ class Model:
 
 def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Model:
     """The model of a corpus, from at most ``pages`` texts picked by hash and ``characters`` characters of them."""
-    picked = df.select(F.col(text).alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64("t")).limit(pages)
+    rows = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
+    share = min(1.0, 2 * pages / max(df.count(), 1))  # twice as many as are wanted pass the hash, so that sorting them is bounded, too
+    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("t"), "t").limit(pages)
     lines: list[str] = []
     left = characters
     for row in picked.toLocalIterator():

@@ -48,6 +48,7 @@ nachdruck nur mit genehmigung von @.
 der newsletter von @: jetzt bestellen
 # kommentare – mitreden
 anzeige
+weiter nach der werbung
 wir und unsere # partner speichern daten auf ihrem gerät.
 lesezeit # minuten
 © # @. alle rechte vorbehalten.
@@ -166,11 +167,11 @@ tempo em …: # avisos
 """.strip().split("\n")
 
 # Headings of lists of other stories.
-LIST_HEADINGS = "most read|related stories|more on this topic|you may also like|meistgelesen|mehr zum thema|les plus lus|à lire aussi|lo más leído|más noticias|mais lidas|leia também|самое читаемое|читайте также|猜你喜欢|更多推荐|相关阅读".split("|")
+LIST_HEADINGS = "most read|related stories|more on this topic|you may also like|meistgelesen|mehr zum thema|les plus lus|à lire aussi|lo más leído|más noticias|mais lidas|leia também|самое читаемое|читайте также|猜你喜欢|热门排行|更多推荐|相关阅读".split("|")
 
 # Entries of menus.
 MENU = (
-    "home|money|log in|science|letters|jobs|weather|video|region|world|sport|culture|news|business|tech|technik|wetter|startseite|welt|kultur|anmelden|briefe|accueil|se connecter|vidéo|monde|région|météo|argent|courrier"
+    "home|money|log in|science|letters|jobs|weather|video|region|world|sport|culture|news|business|tech|technik|wetter|startseite|geld|welt|kultur|anmelden|briefe|accueil|se connecter|vidéo|monde|région|météo|argent|courrier"
     "|dinero|entrar|tiempo|mundo|deporte|portada|cartas|cultura|vídeo|región|região|dinheiro|início|tempo|esporte|мир|культура|погода|войти|регион|спорт|видео|деньги|главная|письма"
     "|视频|体育|招聘|文化|来信|登录|地方|要闻|首页|财经|科技|天气"
 ).split("|")
