@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import encoding, furniture, repetition, residue, sitelines
+from leafwright.llm import encoding, furniture, mixing, packing, repetition, residue, sitelines
+from leafwright.llm.tokencount import count_tokens
 from leafwright.session import cut
 from leafwright.sources.tables import table
 
@@ -46,6 +47,30 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.excess_occurrences(pages, "id", "site")
 
 
+def _sizes(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text", *more).withColumn("tokens", count_tokens(F.col("text")))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each text, for each container size."""
+    return packing.pack(_sizes(spark, folder).select("doc_id", "tokens"), table(spark, folder, "pack_spec"))
+
+
+def p7_use(spark: SparkSession, folder: str) -> DataFrame:
+    """What each container holds and leaves free."""
+    return packing.use(p7_containers(spark, folder), table(spark, folder, "pack_spec"))
+
+
+def p8_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of each mix and how often each is used."""
+    return mixing.mix(_sizes(spark, folder, "source"), table(spark, folder, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the sources of each mix reach."""
+    return mixing.mix(_sizes(spark, folder, "source"), table(spark, folder, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with at least 30 % of their characters in passages that occurred earlier in the same text."""
     measured = repetition.measure(table(spark, folder, "documents", "doc_id", "text"), "text")
@@ -58,5 +83,5 @@ def p9_measures(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judge(table(spark, folder, "documents", "doc_id", "text"), "text").drop("text")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p9_found": p9_found, "p9_measures": p9_measures}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p7_containers": p7_containers, "p7_use": p7_use, "p8_records": p8_records, "p8_shares": p8_shares, "p9_found": p9_found, "p9_measures": p9_measures}
 ORACLES: dict[str, str] = {}
