@@ -156,7 +156,7 @@ def _clean(item: Column) -> Column:
     item = F.regexp_replace(item, blank, "")
     escaped = F.try_element_at(F.from_json(F.concat(F.lit("["), item, F.lit("]")), "array<string>"), F.lit(1))  # "\\u8c0c" and the like
     inner = F.regexp_replace(F.regexp_extract(item, '^"([\\s\\S]*)"$', 1), '""', '"')
-    inner = F.when(item.contains("\\\\"), F.coalesce(escaped, inner)).otherwise(inner)
+    inner = F.when(item.contains("\\"), F.coalesce(escaped, inner)).otherwise(inner)
     return F.when(item.rlike('^"[\\s\\S]*"$') & (F.length(item) > 1), F.regexp_replace(inner, blank, "")).otherwise(item)
 
 

@@ -88,7 +88,7 @@ def assemble(container: Node, captions: str = "figure", skip_boilerplate: bool =
         text = text.strip()
         if text:
             body.lines.append(text)
-            body.markdown.append((markdown or text).strip())
+            body.markdown.append((markdown or text).strip("\n").rstrip())
 
     def flush(parts: list[str]) -> None:
         put("\n".join(x for x in (BLANKS.sub(" ", p).strip() for p in "".join(parts).split("\n")) if x))

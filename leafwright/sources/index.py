@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RECORD = (
     "id string, dataset string, site string, route string, content_structure string, page_condition string, title string, authors array<string>, "
@@ -27,15 +28,11 @@ def read_pages(spark: SparkSession, index: DataFrame, root: str) -> DataFrame:
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold records from a JSON file that holds a list, or an object with a list ``pages``."""
     text = spark.read.text(path, wholetext=True)
-    schema = f"array<struct<{_fields()}>>"
-    own = F.coalesce(F.from_json("value", f"struct<pages: {schema}>")["pages"], F.from_json("value", schema))
+    pages = T.ArrayType(T._parse_datatype_string(RECORD))
+    own = F.coalesce(F.from_json("value", T.StructType([T.StructField("pages", pages)]))["pages"], F.from_json("value", pages))
     return text.select(F.explode(own).alias("g")).select("g.*")
 
 
-def _fields() -> str:
-    return RECORD.replace(" string", ": string").replace(" array<", ": array<").replace(" struct<", ": struct<").replace("value: : string", "value: string").replace("utc_offset: : string", "utc_offset: string")
-
-
 def read_pred(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Prediction lines with ``line_no``, and (line_no, error, line) of the lines that are no JSON object or have no id. Blank lines are skipped."""
     schema = RECORD + ", rejected boolean"
