@@ -42,7 +42,7 @@ USUAL = -11.0
 MARGIN = 3.0
 WEIGHTS = (0.80, 0.17, 0.03)  # bigram, character, block
 #: Characters of a batch that are labelled at once.
-BATCH_CHARACTERS = 400_000
+BATCH_CHARACTERS = 150_000
 
 _C1 = {chr(i): bytes([i]) for i in range(0x80, 0xA0)}
 
@@ -114,9 +114,24 @@ def _single(now: np.ndarray) -> np.ndarray:
     return ((now * 0x9E3779B1) >> 5) & (TABLE - 1)
 
 
+def _class(code: int) -> int:
+    if code < 0x80:
+        return 0
+    if code < 0x3400:
+        return min(code >> 7, 47)
+    if code < 0xA000:
+        return 48 + ((code - 0x3400) >> 12)
+    return 58 if code < 0xE000 else 59 if code < 0xF900 else 60 if code < 0xFF00 else 61
+
+
+_CLASSES = np.array([_class(i << 7) for i in range(0x110000 >> 7)], dtype=np.int64)
+
+
 def _block(codes: np.ndarray) -> np.ndarray:
     """Coarse alphabet of a character: one of 64 classes."""
-    return np.where(codes < 0x80, 0, np.where(codes < 0x3400, np.minimum(codes >> 7, 47), np.where(codes < 0xA000, 48 + ((codes - 0x3400) >> 12), np.where(codes == 0xFFFD, 62, np.where(codes < 0xE000, 58, np.where(codes < 0xF900, 59, np.where(codes < 0xFF00, 60, 61)))))))
+    blocks = _CLASSES[codes >> 7]
+    blocks[codes == 0xFFFD] = 62
+    return blocks
 
 
 BLOCK_SIZE = np.array([20] + [128] * 47 + [4096] * 10 + [8192, 6400, 1536, 240, 1, 1], dtype=np.float64)
@@ -187,9 +202,18 @@ class Model:
         # a line stays clean if not even the best of all states at each position could make up for the first change of state
         clean, most = self._probability(0, before[at], now[at]), self._probability(-1, before[at], now[at])
         possible = np.add.reduceat(np.log(np.maximum(most, clean)) - np.log(clean), starts) > -np.log(DIRTY)
-        for s, n in zip(starts[possible], lengths[possible]):
-            here = at[s : s + n]
-            path = self._viterbi(self.emissions(before[here], now[here]))
+        if not possible.any():
+            return found
+        picked = np.repeat(possible, lengths)
+        scores = self.emissions(before[at[picked]], now[at[picked]])
+        ends = np.cumsum(lengths[possible])
+        enough = -np.log(DIRTY / (len(STATES) - 1))
+        for s, n, end in zip(starts[possible], lengths[possible], ends):
+            own = scores[end - n : end]
+            sums = np.vstack([np.zeros(len(STATES), dtype=np.float32), np.cumsum(own - own[:, :1], axis=0)])
+            if (sums - np.minimum.accumulate(sums, axis=0)).max() <= enough:  # no span in one state pays for entering it
+                continue
+            path = self._viterbi(own)
             if not any(path):
                 continue
             line = int(line_of[s])
