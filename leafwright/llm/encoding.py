@@ -34,6 +34,8 @@ SAMPLE_PAGES, SAMPLE_CHARACTERS = 3000, 1_500_000
 TABLE = 1 << 17
 #: Chance of leaving a state from one scored position to the next, and of a line's first state not being clean.
 LEAVE, DIRTY = 1e-4, 5e-3
+#: Pairs that are tried on a line that lost characters.
+ROUGH = ("utf-8>gb18030", "utf-8>cp1251", "utf-8>cp1252")
 #: States besides the clean one that a line's path may use.
 KEPT_STATES = 4
 #: Mean log probability of a position from which a line isn't worth a closer look.
@@ -256,10 +258,25 @@ class Model:
             out[int(line_of[starts[k]])] = True
         return out
 
+    def mean(self, line: str) -> float:
+        codes = _codes("\n" + line + "\n")
+        n = int(((codes[:-1] >= 0x80) | (codes[1:] >= 0x80)).sum())
+        return self.clean_score(line) / n if n else 0.0
+
     def mend(self, line: str) -> str | None:
-        """The original of a garbled line, an empty string if it can't be restored; null for a clean line."""
-        found = self.verdict(line, self.label([line])[0])
-        return None if found is None else found[1] or ""
+        """The original of a garbled line, as far as it can be told; an empty string if not at all, null for a clean line."""
+        spans = self.label([line])[0]
+        found = self.verdict(line, spans)
+        if found is None or found[1]:
+            return found and found[1]
+        best, rough = self.mean(line) + 1.0, ""
+        for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *ROUGH]):
+            if state in STATES[1:-1] and not state.startswith("utf-8 twice"):
+                written, read = state.split(">")
+                text = line.replace("�", "").encode(read, "ignore").decode(written, "ignore")
+                if text and len(text) >= len(line) / 4 and self.mean(text) > best:
+                    best, rough = self.mean(text), text
+        return rough
 
     def verdict(self, line: str, spans: list[tuple[int, int, int]]) -> tuple[str, str | None] | None:
         """(state, original line or null) of a labelled line; null if it is clean after all."""
