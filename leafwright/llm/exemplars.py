@@ -347,7 +347,7 @@ def mask(line: str, site: str | None) -> str:
     s = line if line.isascii() else unicodedata.normalize("NFKC", line)
     if "«" in s:
         s = _QUOTED_SLOT.sub(" ⟨slot⟩ ", s)
-    if any(c in s for c in "{[#%@<$"):
+    if any(c in s for c in "{[#%@<$【"):
         s = _SLOT.sub(" ⟨slot⟩ ", s)
     s = _DIGITS.sub("#", " ".join(s.casefold().split()))
     return s.replace(site, "@") if site else s

@@ -22,6 +22,8 @@ MIN_DOCUMENTS, MIN_SHARE = 4, 0.10
 FALSE_DISCOVERIES = 0.05
 #: Excess lines up to this many are broadcast (two longs each), more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Documents without the line that the background of every line is given, with half an occurrence, so that a line that all sources repeat has one.
+PRIOR_DOCUMENTS = 500
 #: Bins of the test statistic for the step-up procedure; width of a bin.
 BINS, BIN_WIDTH = 4000, 0.25
 
@@ -61,7 +63,7 @@ def excess_lines(pages: DataFrame, source: str, min_documents: int = MIN_DOCUMEN
     total = size.agg(F.sum("n").alias("n_all"))
     tested = counts.where(repeated).join(background, "hash").join(F.broadcast(total), F.lit(True))
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
-    n_out = F.greatest(F.col("n_all") - F.col("n_repeated"), F.lit(0)).cast("double") + 1
+    n_out = F.greatest(F.col("n_all") - F.col("n_repeated"), F.lit(0)).cast("double") + PRIOR_DOCUMENTS
     k_out = F.least(F.coalesce(F.col("k_else"), F.lit(0)).cast("double") + 0.5, n_out)
     llr = 2 * (_entropy(k, n - k, k_out, n_out - k_out) + _entropy(n + n_out) - _entropy(n, n_out) - _entropy(k + k_out, n + n_out - k - k_out))
     tested = tested.withColumn("llr", F.when(k / n > k_out / n_out, llr).otherwise(0.0))
