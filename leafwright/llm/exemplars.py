@@ -236,6 +236,8 @@ internal server error
 incident #-#
 fatal: out of memory (tried to allocate # bytes)
 # not found
+# forbidden: …
+request … timed out after # ms
 gatekeeper/#.#
 oops! we can’t find that page.
 try the search box or go back to the front page of @.
@@ -328,11 +330,11 @@ aqui entra o texto (#)
 
 # Syllables of mock Latin, keys under resting hands, and other strings that only fill space.
 MOCK_LATIN = "lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|lor|rem|ip|sum|do|sit|am|et|con|sec|te|tur|ad|i|pis|ci|el|it|sed|nun|gu|la|li|qua|vel"
-FILLER = "asdf|jkl|qwertz|qwerty|qwer|dfgh|hjk|zxcv|x{2,}|tk|blah|某某某|正文内容|此处填写|占位|示例|测试"
+FILLER = "text|test|sample|foo|bar|baz|bla|dummy|asdf|jkl|qwertz|qwerty|qwer|dfgh|hjk|zxcv|x{2,}|tk|blah|某某某|正文内容|此处填写|占位|示例|测试"
 
 _SLOT = re.compile(
     r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|[#$]?\{[^\s{}][^{}\n]{0,60}\}|%%[^%\n]+%%|##[^#\n]+##|@[A-Za-z_][\w.|]*@|<%[^%>\n]*%>|</?[A-Za-z_][\w.| ]*>|\[%[^%\]\n]*%\]"
-    r"|\[\[(?!IMG_\d+\]\])[^\[\]\n]*\]\]|(?<!\[)\[(?!object [Oo]bject\])[A-Za-z_][\w.| ]*\](?!\])|\$[A-Z_]{3,}\b|【这里[^】]*】"
+    r"|\[\[(?!IMG_\d+\]\])[^\[\]\n]*\]\]|(?<!\[)\[(?!object [Oo]bject\])[A-Za-z_][\w.| ]*\](?!\])|\$[A-Z_]{3,}\b|__[A-Za-z][\w.|]*?__|【这里[^】]*】"
 )
 _QUOTED_SLOT = re.compile(r"«(?:[A-Za-z]+[_.|][\w.|]*|[a-z]+_\w+|insert text here|amount|body|caption|city|date|headline|kicker|name|place|quote|section|summary|title|author|lead)»", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -347,7 +349,7 @@ def mask(line: str, site: str | None) -> str:
     s = line if line.isascii() else unicodedata.normalize("NFKC", line)
     if "«" in s:
         s = _QUOTED_SLOT.sub(" ⟨slot⟩ ", s)
-    if any(c in s for c in "{[#%@<$【"):
+    if "__" in s or any(c in s for c in "{[#%@<$【"):
         s = _SLOT.sub(" ⟨slot⟩ ", s)
     s = _DIGITS.sub("#", " ".join(s.casefold().split()))
     return s.replace(site, "@") if site else s
