@@ -22,6 +22,8 @@ from leafwright.session import cut
 
 #: Buckets in which the items of one size class are ranked.
 BUCKETS = 256
+#: Ranks of a size class that are joined to the runs together, so that a hot size is spread.
+RANKS = 4096
 
 PLAN = T.StructType([T.StructField("spec_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("first_rank", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first_container", T.LongType())])
 
@@ -100,11 +102,11 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     for r in items.groupBy("spec_id", "size").count().toLocalIterator():  # at most the sum of the capacities
         counted[r.spec_id][r["size"]] = r["count"]
     plan = [(k, *run) for k, sizes_of in counted.items() for run in best_fit(sizes_of, wanted[k])]
-    runs = spark.createDataFrame(plan, PLAN).groupBy("spec_id", "size").agg(F.sort_array(F.collect_list(F.struct("first_rank", "n", "first_container"))).alias("_runs"))
-    placed = _ranked(items).join(F.broadcast(runs), ["spec_id", "size"])  # one row a size class, runs bounded by pairs of classes
-    run = F.filter("_runs", lambda r: (r["first_rank"] <= F.col("rank")) & (F.col("rank") < r["first_rank"] + r["n"]))[0]
-    placed = placed.withColumn("_run", run)
-    return placed.select("spec_id", "doc_id", "piece_no", F.col("size").alias("tokens"), (F.col("_run.first_container") + F.col("rank") - F.col("_run.first_rank") + 1).alias("container_no"))
+    block = lambda c: F.floor(c / RANKS).cast("long")
+    runs = spark.createDataFrame(plan, PLAN).withColumn("_block", F.explode(F.sequence(block(F.col("first_rank")), block(F.col("first_rank") + F.col("n") - 1))))
+    placed = _ranked(items).withColumn("_block", block(F.col("rank"))).join(runs, ["spec_id", "size", "_block"])
+    placed = placed.where((F.col("first_rank") <= F.col("rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
+    return placed.select("spec_id", "doc_id", "piece_no", F.col("size").alias("tokens"), (F.col("first_container") + F.col("rank") - F.col("first_rank") + 1).alias("container_no"))
 
 
 def use(packed: DataFrame, specs: DataFrame) -> DataFrame:
