@@ -285,7 +285,9 @@ class Model:
         longest = STATES[max(spans, key=lambda s: s[1] - s[0])[2]] if spans else "lost"
         if "�" in line or "锟斤拷" in line:
             return "lost", None
-        own = max(self.clean_score(line), self.clean_score(line.lower())) if line == line.upper() else self.clean_score(line)  # capitals are rare, not garbled
+        if not any(c.isalpha() for c in line) or line.lower() != line == line.upper() and self.mean(line.lower()) > USUAL:
+            return None  # marks alone, or capitals, which are rare, not garbled
+        own = self.clean_score(line)
         best: tuple[float, str, str] | None = None
         for state in dict.fromkeys([longest, *STATES[1:-1]]):  # the labelled pair first; pairs that differ in few characters after it
             back = restore(line, state)
