@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafwright.functions.columns import paragraph_ratio, should_reject, time_confused, time_score, written_time, zone_status
-from leafwright.operators import scoring
+from leafwright.operators import lenses, scoring
 from leafwright.operators.instants import to_utc
 from leafwright.operators.packed import may_be_packed, split_packed
 from leafwright.operators.validate import violations
@@ -117,6 +119,50 @@ def report_grouping_sets(spark, folder):
     return full.select("view", "value", "n_pages", "n_scored", *[F.round(c, 6).alias(c) for c in ("refusal_accuracy", "title_miss_rate", "authors_false_fill_rate", "content_text_miss_rate")])
 
 
+def lax_scores(spark, folder):
+    return lenses.score_lax(_gold(spark, folder), _pred(spark, folder))
+
+
+def word_scores(spark, folder):
+    return lenses.score_words(_gold(spark, folder), _pred(spark, folder))
+
+
+def day_scores(spark, folder):
+    """The part of the lax lens that SQL can say: whether both name the same day."""
+    return lax_scores(spark, folder).where("publish is not null").select("id", "publish")
+
+
+def plain_titles(spark, folder):
+    """Predicted titles without the brand at their end."""
+    from leafwright.pages.titles import without_brand
+
+    strip = F.pandas_udf(lambda titles, sites: pd.Series([without_brand(t, s) for t, s in zip(titles, sites)], dtype=object), T.StringType())
+    rows = table(spark, folder, "mini_pred", "line_no", "id", "title").where("title is not null")
+    site = F.regexp_replace(F.regexp_extract("id", "^(.*)__", 1), "_", "")
+    return rows.select("line_no", strip(F.col("title"), site).alias("title"))
+
+
+def credible_authors(spark, folder):
+    """Predicted authors that no media name, number or other non-person is."""
+    from leafwright.pages.names import category, clean
+
+    keep = F.pandas_udf(lambda xs: xs.map(lambda x: None if x is None else [n for n in map(clean, (y for y in x if y is not None)) if n and category(n) is None]), T.ArrayType(T.StringType()))
+    return table(spark, folder, "mini_pred", "line_no", "authors").select("line_no", keep(F.col("authors")).alias("authors"))
+
+
+def refusal_shares(spark, folder):
+    """Annotated conditions and structures by site, with the share to refuse."""
+    rows = _gold(spark, folder).select("site", should_reject(F.col("content_structure"), F.col("page_condition")).cast("double").alias("r"))
+    return rows.groupBy("site").agg(F.count("*").alias("pages"), F.round(F.avg("r"), 6).alias("share"))
+
+
+def unpredicted_pages(spark, folder):
+    """Gold pages without a prediction, and predictions without a gold page."""
+    gold, pred = table(spark, folder, "mini_gold", "id").distinct(), table(spark, folder, "mini_pred", "id").where("id is not null").distinct()
+    missing, extra = gold.join(pred, "id", "left_anti"), pred.join(gold, "id", "left_anti")
+    return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
+
+
 def version_diff(spark, folder):
     """Pages whose publish score differs between the first and the last prediction line."""
     gold, lines = _gold(spark, folder), table(spark, folder, "mini_pred")
@@ -270,6 +316,9 @@ ORACLES: dict[str, str] = {
     "written_times": f"SELECT line_no, CASE WHEN regexp_matches(trim({_PT}), '{_ISO}') THEN {_value_sql(_ISO)} WHEN regexp_matches(trim({_PT}), '{_HYPHEN}') THEN {_value_sql(_HYPHEN)} WHEN regexp_matches(trim({_PT}), '{_CHINESE}') THEN {_value_sql(_CHINESE)} END AS value, CASE WHEN NOT regexp_matches(trim({_PT}), '{_ISO}') OR {_ZONE} = '' THEN NULL WHEN {_ZONE} = 'Z' THEN '+00:00' ELSE substring({_ZONE}, 1, 3) || ':' || right({_ZONE}, 2) END AS utc_offset FROM mini_pred WHERE {_PT} IS NOT NULL",
     "field_tags": f"WITH {_J.replace('FROM ' + PAIRS, 'FROM ' + PAIRS + ' WHERE NOT ' + _REJECT)} SELECT field, tag, count(*) AS pages FROM ({_TAGS}) GROUP BY ALL",
     "report_grouping_sets": f"WITH {_J} {_VIEWS}",
+    "day_scores": f"SELECT g.id, (substring(p.publish_time.value, 1, 10) = substring({_PUBLISH}, 1, 10))::INT::DOUBLE AS publish FROM {PAIRS} WHERE length({_PUBLISH}) >= 10 AND length(p.publish_time.value) >= 10 AND NOT contains(substring({_PUBLISH}, 1, 10), 'X') AND NOT contains(substring(p.publish_time.value, 1, 10), 'X')",
+    "refusal_shares": f"SELECT site, count(*) AS pages, round(avg(({_REJECT})::INT::DOUBLE), 6) AS share FROM {GOLD} g GROUP BY site",
+    "unpredicted_pages": "(SELECT id, 'missing' AS side FROM mini_gold EXCEPT SELECT id, 'missing' FROM mini_pred) UNION ALL (SELECT id, 'extra' FROM mini_pred WHERE id IS NOT NULL EXCEPT SELECT id, 'extra' FROM mini_gold)",
     "version_diff": f"""WITH a AS (SELECT g.id, {_time_sql('p.publish_time.value', _PUBLISH)} AS s FROM {GOLD} g JOIN (SELECT * FROM mini_pred QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) = 1) p ON g.id = p.id WHERE {_PUBLISH} IS NOT NULL),
  b AS (SELECT g.id, {_time_sql('p.publish_time.value', _PUBLISH)} AS s FROM {GOLD} g JOIN {PRED} p ON g.id = p.id WHERE {_PUBLISH} IS NOT NULL)
  SELECT a.id, a.s AS before, b.s AS after, coalesce(b.s, 0) - coalesce(a.s, 0) AS change FROM a JOIN b ON a.id = b.id WHERE a.s IS DISTINCT FROM b.s""",
@@ -289,7 +338,7 @@ ORACLES: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p6_found, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets,
+        p1_found, p6_found, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets, lax_scores, word_scores, day_scores, plain_titles, credible_authors, refusal_shares, unpredicted_pages,
         version_diff, gold_violations, index_upsert, index_groups, host_counts, first_pages_per_site, extraction_medians, refusal_sweep, structure_pivot, image_placeholders, event_props, markdown_tables,
     )
 }
