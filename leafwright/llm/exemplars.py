@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 # One exemplar a line, as publishers word them.
 FURNITURE = """
@@ -363,13 +364,21 @@ def tokens(masked: str) -> list[str]:
                 out += ["⟨filler⟩"] * (len(w) // 2)
             else:
                 out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
-        elif _FILL.fullmatch(w):
-            out.append("⟨filler⟩")
         else:
-            out.append(w)
+            out.append("⟨filler⟩" if _is_filler(w) else w)
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _is_filler(word: str) -> bool:
+    return bool(_FILL.fullmatch(word))
+
+
+@lru_cache(maxsize=100_000)
+def is_mock_latin(word: str) -> bool:
+    return bool(_LATIN.fullmatch(word))
+
+
 _LIGHT = {"#", "@"}
 
 
@@ -391,14 +400,15 @@ class Index:
             Exemplar(label, x, tuple(w for w in tokens(mask(x.replace("…", " "), None)) if "…" not in x or len(w) > 1 or not _HAN.match(w)), "…" in x, next(iter(tokens(mask(x.split("…")[0], None))), "")) for label, texts in labelled.items() for x in texts
         ]
         self.postings: dict[str, list[int]] = defaultdict(list)
-        for i, e in enumerate(self.exemplars):
-            for w in set(e.words):
+        self.inside = [frozenset(e.words) for e in self.exemplars]
+        for i, words in enumerate(self.inside):
+            for w in words - _LIGHT:
                 self.postings[w].append(i)
         n = len(self.exemplars)
         self.idf = {w: math.log(1 + n / len(p)) for w, p in self.postings.items()}
         self.most = math.log(1 + n)
         self.openings = {e.first for e in self.exemplars if e.open}
-        self.mass = [sum(self.idf[w] for w in set(e.words)) for e in self.exemplars]
+        self.mass = [sum(self.idf[w] for w in words - _LIGHT) for words in self.inside]
 
     def weight(self, word: str) -> float:
         return self.idf.get(word, self.most) if word not in _LIGHT else 0.5
@@ -410,16 +420,16 @@ class Index:
             return 0.0, ""
         total = known = 0.0
         for w in words:
-            value = self.idf.get(w)
-            if w in _LIGHT:
-                value = 0.5
-            known += value or 0.0
-            total += self.most if value is None else value
+            value = 0.5 if w in _LIGHT else self.idf.get(w)
+            if value is None:
+                total += self.most
+            else:
+                known += value
+                total += value
         if known < self.floor * total and words[0] not in self.openings:  # no exemplar can hold enough of the window
             return 0.0, ""
-        own = set(words)
         shared: dict[int, float] = defaultdict(float)
-        for w in own:
+        for w in set(words) - _LIGHT:
             for i in self.postings.get(w, ()):
                 shared[i] += self.idf[w]
         found, label = 0.0, ""
@@ -428,8 +438,11 @@ class Index:
             if e.open:
                 value = 1.0 if mass >= 0.999 * self.mass[i] and words[0] == e.first else 0.0
             else:
-                inside = set(e.words)
-                value = sum(self.weight(w) for w in words if w in inside) / total * min(1.0, 0.4 + mass / self.mass[i])
+                most = min(1.0, 0.4 + mass / self.mass[i])
+                if most < self.floor or most <= found:
+                    continue
+                inside = self.inside[i]
+                value = sum(self.weight(w) for w in words if w in inside) / total * most
             if value > found:
                 found, label = value, e.label
         return found, label

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwright.llm.encoding import Model
-from leafwright.llm.exemplars import _LATIN, FURNITURE, LIST_HEADINGS, MENU, RESIDUE, SIGNATURES, Index, is_prose, mask, tokens
+from leafwright.llm.exemplars import FURNITURE, LIST_HEADINGS, MENU, RESIDUE, SIGNATURES, Index, is_mock_latin, is_prose, mask, tokens
 
 #: Containment from which a window counts as covered; share of a window's words that filler or slots must hold.
 COVERED, FILLED, SLOTTED = 0.66, 0.6, 0.15
@@ -59,7 +59,7 @@ class Judge:
             return "residue"
         if plain and plain.count("⟨filler⟩") >= FILLED * len(plain):
             return "residue"
-        if len(letters) >= 4 and sum(bool(_LATIN.fullmatch(w)) for w in letters) >= 0.75 * len(letters):
+        if len(letters) >= 4 and sum(map(is_mock_latin, letters)) >= 0.75 * len(letters):
             return "residue"
         if not letters and _repeats(masked):
             return "residue"
