@@ -166,3 +166,11 @@ def test_furniture(spark, model):
     text = {x.id: x.text for x in furniture.main_text(df, "id", "text", "site", "title").collect()}
     assert text["a"] == "\n".join(x for i, x in enumerate(PAGE.split("\n"), 1) if i not in GONE) and text["c"] == "" and text["d"] is None
     assert furniture.furniture_lines(df.limit(0), "id", "text", "site", "title").count() == 0
+
+
+def test_long_garbled_furniture(model):
+    line = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in "© 2024 Harborwire. All rights reserved.")
+    bad = encoding.garble(line, ("utf-8 twice", "cp1252"))
+    classifier = furniture.Classifier(model)
+    assert len(exemplars.mask(bad, None)) > 240 and encoding.restore(bad, "utf-8 twice>cp1252") == line
+    assert classifier.batch([f"{PROSE}\n\n{bad}", f"{PROSE}\n\n{encoding.garble(PROSE.replace('Norton', 'Größe') * 4, ('utf-8', 'cp1252'))}"], ["harborwire", None], [None, None]) == [[3], []]
