@@ -36,8 +36,6 @@ TABLE = 1 << 17
 LEAVE, DIRTY = 1e-4, 5e-3
 #: Pairs that are tried on a line that lost characters.
 ROUGH = ("utf-8>gb18030", "utf-8>cp1251", "utf-8>cp1252")
-#: States besides the clean one that a line's path may use.
-KEPT_STATES = 4
 #: Mean log probability of a position from which a line isn't worth a closer look.
 USUAL = -11.0
 #: What restored text must gain in log probability.
@@ -316,24 +314,22 @@ class Model:
 
     @staticmethod
     def _viterbi(scores: np.ndarray) -> list[int]:
-        """The likeliest path through the clean state and the few states that could gain most on it."""
-        gains = np.maximum(scores - scores[:, :1], 0).sum(axis=0)
-        states = [0, *[int(k) for k in np.argsort(-gains)[:KEPT_STATES] if k and gains[k] > 0]]
-        stay, leave = float(np.log1p(-LEAVE)), float(np.log(LEAVE / (len(STATES) - 1)))
-        rows = scores[:, states].tolist()
-        first = [float(np.log1p(-DIRTY))] + [float(np.log(DIRTY / (len(STATES) - 1)))] * (len(states) - 1)
-        value = [x + y for x, y in zip(rows[0], first)]
-        back = []
-        for row in rows[1:]:
-            top = max(range(len(value)), key=value.__getitem__)
+        """The likeliest path through all states."""
+        stay, leave = np.log1p(-LEAVE), np.log(LEAVE / (len(STATES) - 1))
+        rows = scores.astype(np.float64)
+        value = rows[0] + np.log(DIRTY / (len(STATES) - 1))
+        value[0] = rows[0, 0] + np.log1p(-DIRTY)
+        stays, tops = np.empty(rows.shape, dtype=bool), [0] * len(rows)
+        for i in range(1, len(rows)):
+            tops[i] = top = int(value.argmax())
             jump = value[top] + leave
-            back.append([i if v + stay >= jump else top for i, v in enumerate(value)])
-            value = [max(v + stay, jump) + x for v, x in zip(value, row)]
-        at = max(range(len(value)), key=value.__getitem__)
-        path = [states[at]]
-        for step in reversed(back):
-            at = step[at]
-            path.append(states[at])
+            value += stay
+            np.greater_equal(value, jump, out=stays[i])
+            np.maximum(value, jump, out=value)
+            value += rows[i]
+        path = [int(value.argmax())]
+        for i in range(len(rows) - 1, 0, -1):
+            path.append(path[-1] if stays[i, path[-1]] else tops[i])
         return path[::-1]
 
 

@@ -174,3 +174,11 @@ def test_long_garbled_furniture(model):
     classifier = furniture.Classifier(model)
     assert len(exemplars.mask(bad, None)) > 240 and encoding.restore(bad, "utf-8 twice>cp1252") == line
     assert classifier.batch([f"{PROSE}\n\n{bad}", f"{PROSE}\n\n{encoding.garble(PROSE.replace('Norton', 'Größe') * 4, ('utf-8', 'cp1252'))}"], ["harborwire", None], [None, None]) == [[3], []]
+
+
+@pytest.mark.parametrize("pair", [("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "gb18030"), ("utf-8", "cp1251"), ("cp1252", "mac_roman")])
+def test_short_garbled_span_in_long_clean_line(model, pair):
+    clean = f"{CLEAN[2]} " * 40
+    bad = f"{clean}{encoding.garble('Störung', pair)} {clean}"
+    assert model.verdict(clean, model.label([clean])[0]) is None
+    assert model.verdict(bad, model.label([bad])[0]) is not None
