@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 
+#: Bytes in plain ASCII that are kept on both sides of a stretch with others.
+AROUND = 32
+
+_OUTSIDE = re.compile(rb"[\x80-\xff]+(?:[\x00-\x7f]{1,%d}[\x80-\xff]+)*" % (2 * AROUND))
 _DECLARED = re.compile(rb"charset=[\"']?([\w-]+)", re.I)
 
 
 def guess(raw: bytes) -> str | None:
-    """An encoding by byte order mark or by strict decoding; null if nothing fits."""
+    """An encoding by byte order mark or by strict decoding, else by all stretches outside ASCII; null if nothing fits."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if raw.startswith(mark):
             return name
@@ -23,7 +27,7 @@ def guess(raw: bytes) -> str | None:
     try:
         from charset_normalizer import from_bytes
 
-        best = from_bytes(raw[:65536]).best()
+        best = from_bytes(b"".join(raw[max(m.start() - AROUND, 0) : m.end() + AROUND] for m in _OUTSIDE.finditer(raw)) or raw).best()
         return best.encoding if best else None
     except ImportError:
         return None

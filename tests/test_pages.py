@@ -97,3 +97,10 @@ def test_streams(spark, tmp_path):
         query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table(name).count() == n
+
+
+@pytest.mark.parametrize("encoding, body", [("cp1251", "Городской совет в понедельник после долгих споров о расходах одобрил план восстановления набережной и старой пекарни. "), ("big5", "市議會週一經過長時間辯論後通過了修復海濱與老麵包店的計畫，工程預計明年春天開始。"), ("shift_jis", "市議会は月曜日、費用と安全について長い議論を重ねた後、海岸の修復計画を承認しました。"), ("cp1252", "Der Gemeinderat hat am Montag nach längerer Debatte über Kosten und Sicherheit die Pläne für die Mühle und die Brücke größtenteils gebilligt. ")])
+def test_encoding_after_long_ascii_head(encoding, body):
+    raw = b"<html><head><script>" + b"var x = 1; call(x);\n" * 5000 + b"</script></head><body><p>" + (body * 8).encode(encoding) + b"</p></body></html>"
+    text, declared, _, _ = decode(raw)
+    assert declared is None and body * 8 in text
