@@ -1,4 +1,8 @@
+import random
+from difflib import SequenceMatcher
+
 import pytest
+from leafwright.functions import texts
 from leafwright.operators import lenses
 
 FIELDS = "id string, title string, authors array<string>, publish_time struct<value: string, utc_offset: string>, content_text string"
@@ -18,3 +22,21 @@ def test_lenses(spark):
     words = {r.id: (r.title, r.authors, r.content) for r in lenses.score_words(gold, pred).collect()}
     assert words["b"] == (None, None, None) and words["c"] == (0.0, 0.0, 0.0)
     assert lenses.score_lax(gold.limit(0), pred).count() == 0
+
+
+def test_matched_equals_difflib():
+    r = random.Random(4)
+    for n in range(300):
+        a, b = ("".join(r.choices("ab" if n % 2 else "abcdé漢", k=r.randint(0, 60))) for _ in range(2))
+        b = b + a[5:40] if n % 3 else b
+        assert texts.matched(a, b, small=0) == sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()), (a, b)
+
+
+def test_lax_content_of_long_texts(spark):
+    r = random.Random(6)
+    text = "".join(r.choices("abcdefghij klmnopqrstuvwxyz", k=30_000))
+    rows = [("a", text), ("b", text), ("c", text), ("d", " ")]
+    gold = spark.createDataFrame([(i, None, None, None, t) for i, t in rows], FIELDS)
+    pred = spark.createDataFrame([("a", None, None, None, text), ("b", None, None, None, text[: len(text) // 3]), ("d", None, None, None, "x")], FIELDS)
+    size, part = len(lenses.lower_text(text)), len(lenses.lower_text(text[: len(text) // 3]))
+    assert {x.id: x.content for x in lenses.score_lax(gold, pred).collect()} == {"a": 1.0, "b": pytest.approx(2 * part / (size + part)), "c": 0.0, "d": None}
