@@ -6,17 +6,26 @@ backed off to single characters and Unicode blocks. They are estimated on a boun
 state on the sample put through the pair's wrong decoding, the clean state on the sample, and once more on what the
 first model leaves of it. Bigrams
 of two ASCII characters are alike in all states, so only positions beside a character outside ASCII are
-scored, and lines in plain ASCII are clean. Each labelled span gets its state's inverse transform, and a label
-stands only if the outcome is likelier as clean text than the line was, or characters are plainly lost.
+scored, and lines in plain ASCII are clean.
+
+Each labelled span gets its state's inverse transform and the rest of its line stays as it is: a best-path search
+over the line takes, place by place, either a character as it stands or the shortest stretch that a labelled state's
+inverse turns into whole characters, whichever makes the line likelier as clean text. So spans end where bytes do, and one line
+may hold spans of several states. A label stands only if its span gains by the inverse, or characters in it are plainly lost.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,17 +38,16 @@ PAIRS = [
 ]
 STATES = ["clean", *[f"{w}>{r}" for w, r in PAIRS], "lost"]
 
-#: Bounds of what the model is fitted on.
-SAMPLE_PAGES, SAMPLE_CHARACTERS = 3000, 1_500_000
+#: Bounds of what the model is fitted on: distinct texts, their characters in all, and the longest text that is drawn.
+SAMPLE_PAGES, SAMPLE_CHARACTERS, SAMPLE_LONGEST = 3000, 1_500_000, 20_000
 TABLE = 1 << 17
 #: Chance of leaving a state from one scored position to the next, and of a line's first state not being clean.
 LEAVE, DIRTY = 1e-4, 5e-3
-#: Pairs that are tried on a line that lost characters.
-ROUGH = ("utf-8>gb18030", "utf-8>cp1251", "utf-8>cp1252")
 #: Mean log probability of a position from which a line isn't worth a closer look.
 USUAL = -11.0
-#: What restored text must gain in log probability.
-MARGIN = 3.0
+#: What restored text must gain in log probability; what a change between kept and restored characters costs, what more between two letters
+#: and what more outside the words of labelled spans; what a kept character costs inside a labelled span.
+MARGIN, CHANGE, WITHIN, APART, KEEP = 3.0, 1.5, 6.0, 9.0, 2.0
 WEIGHTS = (0.80, 0.17, 0.03)  # bigram, character, block
 #: Characters of a batch that are labelled at once.
 BATCH_CHARACTERS = 150_000
@@ -98,6 +106,81 @@ def restore(text: str, state: str) -> str | None:
         return None
 
 
+_WIDE = {"gb18030", "big5"}
+_NO_TEXT = re.compile("[�\x80-\x9f\ue000-\uf8ff]")  # nobody wrote these
+
+
+@lru_cache(maxsize=100_000)
+def _bytes_of(c: str, encoding: str) -> bytes | None:
+    try:
+        return _write(c, encoding)
+    except UnicodeEncodeError:
+        return None
+
+
+def _width(data: bytes, at: int, written: str) -> int:
+    """Bytes of the character that begins at ``at``; 0 if none does, one more than there are if that can't be told yet."""
+    b = data[at]
+    if b < 0x80 or written not in ("utf-8", *_WIDE):
+        return 1
+    if written == "utf-8":
+        return 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
+    if b in (0x80, 0xFF):
+        return 0
+    if written == "gb18030" and at + 1 < len(data) and 0x30 <= data[at + 1] <= 0x39:
+        return 4
+    return 2
+
+
+def units(text: str, state: str) -> list[tuple[int, str] | None]:
+    """Per place of ``text`` the shortest stretch from there that the state's inverse turns into whole characters: its end and what it turns into."""
+    written, read = state.split(">")
+    out: list[tuple[int, str] | None] = [None] * len(text)
+    if written == "utf-8 twice":
+        for i, c in enumerate(text):
+            if c > "\x7f":
+                for j in range(i + 1, min(len(text), i + 16) + 1):
+                    if (back := restore(text[i:j], state)) is not None:
+                        out[i] = j, back
+                        break
+        return out
+    own = [_bytes_of(c, read) for c in text]
+    for i, c in enumerate(text):
+        if c <= "\x7f" or own[i] is None:
+            continue
+        data, at, j = own[i], 0, i + 1
+        while at < len(data) and j - i <= 8:
+            width = _width(data, at, written)
+            if not width:
+                break
+            if at + width <= len(data):
+                at += width
+            elif j < len(text) and own[j] is not None:
+                data += own[j]
+                j += 1
+            else:
+                break
+        if at == len(data):
+            try:
+                out[i] = j, data.decode(written)
+            except UnicodeDecodeError:
+                pass
+    return out
+
+
+def _inside(n: int, spans: list[tuple[int, int, int]]) -> bytearray:
+    """Which places of a line of ``n`` characters lie in spans."""
+    inside = bytearray(n + 1)
+    for a, b, _ in spans:
+        b = min(b, n)
+        inside[a:b] = b"\1" * (b - a)
+    return inside
+
+
+def _fold(code: int) -> int:
+    return 97 if 97 <= code <= 122 else 65 if 65 <= code <= 90 else 48 if 48 <= code <= 57 else code
+
+
 def _codes(text: str) -> np.ndarray:
     """Code points, ASCII letters and digits folded to one letter, capital or digit."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -160,8 +243,10 @@ class Model:
                 text = "\n".join(y for x, y in changed if y and y != x)
             self._count(k, text)
         self._prepare()
+        self._logs: dict[int, float] = {}
         dirty = {i for i, spans in enumerate(self.label(outside)) if self.verdict(outside[i], spans)}
         self._count(0, "\n".join([x for x in lines if x.isascii()] + [x for i, x in enumerate(outside) if i not in dirty]))
+        self._logs.clear()
 
     def _count(self, k: int, text: str) -> None:
         """Probabilities of (before, now) pairs of a state: joint, so that both sides of a boundary count."""
@@ -268,44 +353,146 @@ class Model:
         if found is None or found[1]:
             return found and found[1]
         best, rough = self.mean(line) + 1.0, ""
-        for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *ROUGH]):
-            if state in STATES[1:-1] and not state.startswith("utf-8 twice"):
+        for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *STATES[1:-1]]):
+            if state != "lost" and not state.startswith("utf-8 twice"):
                 written, read = state.split(">")
                 text = line.replace("�", "").encode(read, "ignore").decode(written, "ignore")
                 if text and len(text) >= len(line) / 4 and self.mean(text) > best:
                     best, rough = self.mean(text), text
         return rough
 
+    def _log(self, before: int, now: int) -> float:
+        """Log probability of one position as clean text; 0 beside no character outside ASCII. Code points are folded."""
+        if before < 0x80 and now < 0x80:
+            return 0.0
+        key = before << 21 | now
+        found = self._logs.get(key)
+        if found is None:
+            a, b = _CLASSES[before >> 7] if before != 0xFFFD else 62, _CLASSES[now >> 7] if now != 0xFFFD else 62
+            pair = self.bigrams[0, (before * 0x9E3779B1 + now * 0x85EBCA6B) >> 7 & TABLE - 1]
+            single = self.singles[0, before * 0x9E3779B1 >> 5 & TABLE - 1] * self.singles[0, now * 0x9E3779B1 >> 5 & TABLE - 1]
+            found = math.log(WEIGHTS[0] * float(pair) + WEIGHTS[1] * float(single) + WEIGHTS[2] * float(self.blocks[0, a * 64 + b]) / (BLOCK_SIZE[a] * BLOCK_SIZE[b]) + 1e-14)
+            if len(self._logs) > 1_000_000:
+                self._logs.clear()
+            self._logs[key] = found
+        return found
+
+    def unmix(self, line: str, states: list[str], spans: list[tuple[int, int, int]]) -> tuple[float, list[tuple[int, int, str | None, str]]]:
+        """What ``line`` gains as clean text, and its pieces (from, to, state or null where kept, text) on the best path."""
+        tables = []
+        for state in states:
+            own: list[tuple | None] = []
+            for u in units(line, state):
+                if u is not None:
+                    folded = [_fold(ord(c)) for c in u[1]]
+                    u = (*u, folded[0], folded[-1], sum(map(self._log, folded, folded[1:])))
+                own.append(u)
+            tables.append(own)
+        n, modes = len(line), range(len(states) + 1)
+        inside, near = _inside(n, spans), _inside(n, [(*self._words(line, s), 0) for s in spans])
+        letters = [c > "\x7f" and c.isalpha() for c in line]
+        # an entry: score, last code, mode, entry before, (from, to, text)
+        rows: list[list[tuple | None]] = [[None] * len(modes) for _ in range(n + 1)]
+        rows[0][0] = (0.0, 10, 0, None, None)
+        verbatim, last = 0.0, 10
+        log = self._log
+        for i, c in enumerate(line):
+            code = _fold(ord(c))
+            verbatim += log(last, code)
+            last = code
+            entries = [e for e in rows[i] if e is not None]
+            rows[i] = []  # type: ignore[assignment]
+            if code < 0x80:
+                after = rows[i + 1]
+                for e in entries:
+                    score = e[0] + log(e[1], code)
+                    if after[e[2]] is None or score > after[e[2]][0]:
+                        after[e[2]] = (score, code, e[2], e, (i, i + 1, c))
+                continue
+            change = CHANGE + (WITHIN if i and letters[i] and letters[i - 1] else 0.0)
+            enter = change + (0.0 if near[i] else APART)
+            for e in entries:
+                score = e[0] + log(e[1], code)
+                if e[2]:
+                    score -= change
+                if inside[i]:
+                    score -= KEEP
+                if rows[i + 1][0] is None or score > rows[i + 1][0][0]:
+                    rows[i + 1][0] = (score, code, 0, e, (i, i + 1, c))
+            for k, table in enumerate(tables, 1):
+                if (u := table[i]) is None:
+                    continue
+                end, text, first, final, inner = u
+                for e in entries:
+                    score = e[0] + log(e[1], first) + inner - (0.0 if e[2] == k else change if e[2] else enter)
+                    if rows[end][k] is None or score > rows[end][k][0]:
+                        rows[end][k] = (score, final, k, e, (i, end, text))
+        verbatim += log(last, 10)
+        best = max((e for e in rows[n] if e is not None), key=lambda e: e[0] + log(e[1], 10))
+        gain = best[0] + log(best[1], 10) - verbatim
+        pieces = []
+        while best[4] is not None:
+            a, b, text = best[4]
+            pieces.append((a, b, states[best[2] - 1] if best[2] and text != line[a:b] else None, text))
+            best = best[3]
+        return gain, pieces[::-1]
+
     def verdict(self, line: str, spans: list[tuple[int, int, int]]) -> tuple[str, str | None] | None:
         """(state, original line or null) of a labelled line; null if it is clean after all."""
-        if not spans and "�" not in line:
+        if not spans:
             return None
-        longest = STATES[max(spans, key=lambda s: s[1] - s[0])[2]] if spans else "lost"
-        if "�" in line or "锟斤拷" in line:
-            return "lost", None
-        if not any(c.isalpha() for c in line) or line.lower() != line == line.upper() and self.mean(line.lower()) > USUAL:
+        lost = any("�" in line[a:b] or "锟斤拷" in line[max(a - 2, 0) : b + 2] for a, b, _ in spans)
+        if not lost and (not any(c.isalpha() for c in line) or line.lower() != line == line.upper() and self.mean(line.lower()) > USUAL):
             return None  # marks alone, or capitals, which are rare, not garbled
-        own = self.clean_score(line)
-        best: tuple[float, str, str] | None = None
-        for state in dict.fromkeys([longest, *STATES[1:-1]]):  # the labelled pair first; pairs that differ in few characters after it
-            back = restore(line, state)
-            if back is not None and back != line and "�" not in back:
-                score = self.clean_score(back) + (1.0 if state == longest else 0.0)
-                if score > own + MARGIN and (best is None or score > best[0]):
-                    best = (score, state, back)
-                    if state == longest:
-                        break
-        if best:
-            return best[1], best[2]
-        for a, b, s in spans:  # part of the line comes back
-            while a > 0 and not line[a - 1].isspace():
-                a -= 1
-            while b < len(line) and not line[b].isspace():
-                b += 1
-            back = restore(line[a:b], STATES[s])
-            if back is not None and back != line[a:b] and self.clean_score(back) > self.clean_score(line[a:b]) + MARGIN:
-                return STATES[s], None
-        return None
+        longest_first = sorted(spans, key=lambda s: s[0] - s[1])
+        states = list(dict.fromkeys(STATES[s] for _, _, s in longest_first if STATES[s] != "lost"))
+        gain, pieces = self.unmix(line, states, spans) if states else (0.0, [])
+        if not lost and (gain < MARGIN or self._left(line, spans, pieces)):  # the label may name a pair that differs in few characters from the right one
+            wider = [x for x in dict.fromkeys(self._likeliest(line[a:b]) for a, b in [(0, len(line)), *(self._words(line, s) for s in spans)]) if x and x not in states]
+            if wider:
+                again = self.unmix(line, [*states, *wider], spans)
+                if again[0] > gain + CHANGE:
+                    gain, pieces = again
+        changed = [p for p in pieces if p[2]]
+        if gain < MARGIN or not changed:
+            return ("lost", None) if lost else None
+        size: dict[str, int] = {}
+        for a, b, state, _ in changed:
+            size[state] = size.get(state, 0) + b - a
+        back = "".join(p[3] for p in pieces)
+        whole = "�" not in line and not any(_NO_TEXT.search(p[3]) for p in changed) and not self._left(line, spans, pieces)
+        return ("lost" if lost else max(size, key=lambda k: size[k])), back if whole else None
+
+    def _likeliest(self, text: str) -> str | None:
+        """The pair whose inverse turns all of ``text`` into the likeliest clean text, if that gains enough."""
+        best, found = self.clean_score(text) + MARGIN, None
+        for state in STATES[1:-1]:
+            back = restore(text, state)
+            if back is not None and back != text and "�" not in back and (score := self.clean_score(back)) > best:
+                best, found = score, state
+        return found
+
+    @staticmethod
+    def _words(line: str, span: tuple[int, int, int]) -> tuple[int, int]:
+        """A span with the words that it begins and ends in."""
+        a, b, _ = span
+        while a > 0 and not line[a - 1].isspace():
+            a -= 1
+        while b < len(line) and not line[b].isspace():
+            b += 1
+        return a, b
+
+    def _left(self, line: str, spans: list[tuple[int, int, int]], pieces: list[tuple[int, int, str | None, str]]) -> bool:
+        """Whether unlikely characters of a labelled span are still there."""
+        codes = [10]
+        asked = []
+        inside = _inside(len(line), spans)
+        for a, b, state, text in pieces or [(i, i + 1, None, c) for i, c in enumerate(line)]:
+            if state is None and inside[a] and text > "\x7f":
+                asked.append(len(codes))
+            codes += [_fold(ord(c)) for c in text]
+        codes.append(10)
+        return any(self._log(codes[k - 1], codes[k]) + self._log(codes[k], codes[k + 1]) <= 2 * USUAL for k in asked)
 
     def _offset(self, codes: np.ndarray, line: int) -> int:
         if getattr(self, "_of", None) is not codes:
@@ -314,38 +501,62 @@ class Model:
 
     @staticmethod
     def _viterbi(scores: np.ndarray) -> list[int]:
-        """The likeliest path through all states."""
-        stay, leave = np.log1p(-LEAVE), np.log(LEAVE / (len(STATES) - 1))
+        """The likeliest path through all states. From one pair to another it is as far as by way of clean text."""
+        stay, back, out = np.log1p(-LEAVE), np.log(LEAVE), np.log(LEAVE / (len(STATES) - 1))
         rows = scores.astype(np.float64)
         value = rows[0] + np.log(DIRTY / (len(STATES) - 1))
         value[0] = rows[0, 0] + np.log1p(-DIRTY)
-        stays, tops = np.empty(rows.shape, dtype=bool), [0] * len(rows)
+        stays, to_clean, to_dirty = np.empty(rows.shape, dtype=bool), [0] * len(rows), [0] * len(rows)
         for i in range(1, len(rows)):
-            tops[i] = top = int(value.argmax())
-            jump = value[top] + leave
+            to_clean[i] = top = int(value[1:].argmax()) + 1
+            clean = value[top] + back
+            to_dirty[i] = 0 if value[0] >= clean else top
+            jump = max(value[0], clean) + out
             value += stay
             np.greater_equal(value, jump, out=stays[i])
+            stays[i, 0] = value[0] >= clean
+            first = max(value[0], clean)
             np.maximum(value, jump, out=value)
+            value[0] = first
             value += rows[i]
         path = [int(value.argmax())]
         for i in range(len(rows) - 1, 0, -1):
-            path.append(path[-1] if stays[i, path[-1]] else tops[i])
+            k = path[-1]
+            path.append(k if stays[i, k] else to_dirty[i] if k else to_clean[i])
         return path[::-1]
 
 
-def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Model:
-    """The model of a corpus, from at most ``pages`` texts picked by hash and ``characters`` characters of them."""
-    rows = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
+def sample(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST) -> list[str]:
+    """At most ``pages`` distinct texts, picked by hash, until they hold ``characters`` characters.
+
+    Texts of more than ``longest`` characters aren't drawn, so what reaches the driver is bounded whatever the data. A text that
+    stands on many pages is drawn once. ``df`` may be part of the corpus, such as some of its files.
+    """
+    rows = df.select(F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= longest)).withColumn("h", F.xxhash64("t"))
     share = min(1.0, 2 * pages / max(df.count(), 1))  # twice as many as are wanted pass the hash, so that sorting them is bounded, too
-    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("t"), "t").limit(pages)
-    lines: list[str] = []
+    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(pages)
+    drawn: list[str] = []
     left = characters
     for row in picked.toLocalIterator():
         if left <= 0:
             break
-        lines += row.t[:left].split("\n")
+        drawn.append(row.t)
         left -= len(row.t)
-    return Model(lines)
+    return drawn
+
+
+def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST) -> Model:
+    """The model of a corpus, from a bounded :func:`sample` of it. All texts, long ones too, are labelled by it."""
+    return Model([line for t in sample(df, text, pages, characters, longest) for line in t.split("\n")])
+
+
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Writes a model, so that several jobs share one fit."""
+    spark.createDataFrame([(bytearray(zlib.compress(pickle.dumps(model), 1)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    return pickle.loads(zlib.decompress(bytes(spark.read.parquet(path).first().model)))
 
 
 LABELS = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("state", T.StringType()), T.StructField("restored", T.StringType())]))

@@ -182,3 +182,51 @@ def test_short_garbled_span_in_long_clean_line(model, pair):
     bad = f"{clean}{encoding.garble('Störung', pair)} {clean}"
     assert model.verdict(clean, model.label([clean])[0]) is None
     assert model.verdict(bad, model.label([bad])[0]) is not None
+
+
+RUSSIAN = "город снова передал машины обсерватории"
+MIXED = [
+    (f"Über Straße: {encoding.garble(RUSSIAN, ('utf-8', 'cp1252'))}", f"Über Straße: {RUSSIAN}"),
+    (f"Обсерватория «{encoding.garble('снова передала машины города', ('cp1251', 'koi8-r'))}» — весны", "Обсерватория «снова передала машины города» — весны"),
+    (f"{encoding.garble('Größere Störung', ('utf-8', 'cp1252'))} und {encoding.garble('Mühle für zwölf', ('utf-8', 'mac_roman'))}", "Größere Störung und Mühle für zwölf"),
+    (f"L’été « Créée » – {encoding.garble('für größere Mühlen', ('utf-8', 'cp1252'))}", "L’été « Créée » – für größere Mühlen"),
+    (f"В начале весны {encoding.garble('für größere Mühlen', ('utf-8', 'cp1252'))}", "В начале весны für größere Mühlen"),
+]
+
+
+def test_spans_come_back_and_the_rest_stays(model):
+    found = [model.verdict(bad, model.label([bad])[0]) for bad, _ in MIXED]
+    assert all(f is not None and f[1] in (None, clean) for f, (_, clean) in zip(found, MIXED))
+    assert sum(f[1] is not None for f in found) >= 4  # the capitals of one are rare in the small sample of these tests
+
+
+def test_random_spans_of_every_pair(model):
+    r = random.Random(11)
+    told, whole, wrong, asked = 0, 0, 0, 0
+    for pair, line in product(encoding.PAIRS, CLEAN):
+        words = line.split(" ")
+        if len(words) < 6:
+            continue
+        a = r.randrange(len(words) - 3)
+        span = " ".join(words[a : a + 4])
+        bad = encoding.garble(span, pair)
+        if bad is None or "�" in bad or sum(c > "\x7f" for c in span) < 3 or encoding.restore(bad, ">".join(pair)) != span:
+            continue
+        mixed = " ".join([*words[:a], bad, *words[a + 4 :]])
+        found = model.verdict(mixed, model.label([mixed])[0])
+        asked, told = asked + 1, told + (found is not None)
+        if found and found[1] is not None:
+            whole, wrong = whole + (found[1] == line), wrong + (found[1] != line)
+    assert asked > 60 and told >= 0.9 * asked and whole >= 0.85 * asked and wrong <= 0.05 * asked, (asked, told, whole, wrong)
+
+
+def test_saved_model(spark, model, tmp_path):
+    encoding.save(model, spark, str(tmp_path / "m"))
+    assert encoding.load(spark, str(tmp_path / "m")).label(["MÃ¼hle über"]) == model.label(["MÃ¼hle über"])
+
+
+def test_sample_is_distinct_and_bounded(spark):
+    rows = [("Größere Störung über der Mühle",)] * 500 + [(f"Zeile {i} über Mühlen",) for i in range(40)] + [("ü" * 5000,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert encoding.sample(df, "t", pages=1000, longest=1000) and len(encoding.sample(df, "t", pages=1000, longest=1000)) == 41
+    assert len(encoding.sample(df, "t", pages=10)) == 10
