@@ -534,15 +534,18 @@ def sample(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int
     """
     rows = df.select(F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= longest)).withColumn("h", F.xxhash64("t"))
     share = min(1.0, 2 * pages / max(df.count(), 1))  # twice as many as are wanted pass the hash, so that sorting them is bounded, too
-    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(pages)
-    drawn: list[str] = []
-    left = characters
-    for row in picked.toLocalIterator():
-        if left <= 0:
-            break
-        drawn.append(row.t)
-        left -= len(row.t)
-    return drawn
+    while True:
+        picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(pages)
+        drawn: list[str] = []
+        left = characters
+        for row in picked.toLocalIterator():
+            if left <= 0:
+                break
+            drawn.append(row.t)
+            left -= len(row.t)
+        if left <= 0 or len(drawn) >= pages or share >= 1.0:
+            return drawn
+        share = min(1.0, 8 * share)  # few distinct texts among many copies
 
 
 def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST) -> Model:
