@@ -7,11 +7,12 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwright.functions.texts import in_order, overlap
+from leafwright.operators import scoring
 
 _BRACKETS = re.compile(r"[（(][^）)]*[）)]")
 
@@ -41,15 +42,14 @@ def word_f1(pred: str, gold: str, n: int = 4) -> float:
     return overlap(word_runs(pred, n), word_runs(gold, n))[2]
 
 
-def day_score(pred: str | None, gold: str | None) -> float | None:
+def day_score(pred: Column, gold: Column) -> Column:
     """Whether two written times name the same day; null if either doesn't name one."""
-    a, b = (pred or "")[:10], (gold or "")[:10]
-    if len(a) < 10 or len(b) < 10 or "X" in a or "X" in b:
-        return None
-    return float(a == b)
+    a, b = F.left(pred, F.lit(10)), F.left(gold, F.lit(10))
+    named = lambda x: (F.length(x) == 10) & ~x.contains("X")
+    return F.when(named(a) & named(b), (a == b).cast("double"))
 
 
-_OLD = T.StructType([T.StructField(x, T.DoubleType()) for x in ("title", "authors", "publish", "content")])
+_OLD = T.StructType([T.StructField(x, T.DoubleType()) for x in ("title", "authors", "content")])
 _WORDS = T.StructType([T.StructField(x, T.DoubleType()) for x in ("title", "authors", "content")])
 
 
@@ -58,13 +58,13 @@ def _names(xs, key) -> set[str]:
 
 
 @F.pandas_udf(_OLD)
-def _old(pt: pd.Series, gt: pd.Series, pa: pd.Series, ga: pd.Series, pp: pd.Series, gp: pd.Series, pc: pd.Series, gc: pd.Series) -> pd.DataFrame:
+def _old(pt: pd.Series, gt: pd.Series, pa: pd.Series, ga: pd.Series, pc: pd.Series, gc: pd.Series) -> pd.DataFrame:
     rows = []
-    for a, b, x, y, p, g, c, d in zip(pt, gt, pa, ga, pp, gp, pc, gc):
+    for a, b, x, y, c, d in zip(pt, gt, pa, ga, pc, gc):
         title = None if not b else float(lower_text(a or "") == lower_text(b))
         wanted = lower_text(d or "")
         content = in_order(lower_text(c or ""), wanted) if wanted else None
-        rows.append((title, set_f1(_names(x, lower_name), _names(y, lower_name)), day_score(p, g), content))
+        rows.append((title, set_f1(_names(x, lower_name), _names(y, lower_name)), content))
     return pd.DataFrame(rows, columns=_OLD.names, dtype="float64")
 
 
@@ -87,8 +87,33 @@ def score_lax(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
     What gold lacks is skipped (null). A missing prediction has content 0; texts may have any length.
     """
-    s = _old("p_title", "g_title", "p_authors", "g_authors", "p_publish", "g_publish", "p_content_text", "g_content_text")
-    return _joined(gold, pred).select(F.col("g_id").alias("id"), s.alias("s")).select("id", "s.*")
+    s = _old("p_title", "g_title", "p_authors", "g_authors", "p_content_text", "g_content_text")
+    rows = _joined(gold, pred).select(F.col("g_id").alias("id"), day_score(F.col("p_publish"), F.col("g_publish")).alias("publish"), s.alias("s"))
+    return rows.select("id", "s.title", "s.authors", "publish", "s.content")
+
+
+def score_days(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(id, publish) of :func:`score_lax`; reads ids and publication times only."""
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("publish_time.value").alias(f"{p}_publish"))
+    both = side(gold, "g").join(side(pred, "p"), F.col("g_id") == F.col("p_id"), "left")
+    return both.select(F.col("g_id").alias("id"), day_score(F.col("p_publish"), F.col("g_publish")).alias("publish"))
+
+
+LAX = ("title", "authors", "publish", "content")
+
+
+def lax_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The five views of the lax lens: pages, scored pages, mean and number of each score, accuracy of refusals.
+
+    Pages to refuse count for refusals only. A score that is skipped counts nowhere.
+    """
+    facts = scoring.refusals(gold, pred)
+    scores = score_lax(gold, pred).withColumnRenamed("id", "_id")
+    both = facts.join(scores, F.col("id") == F.col("_id")).drop("_id")
+    both = both.select(*[F.coalesce(F.col(v).cast("string"), F.lit("unknown")).alias(v) for v in scoring.VIEWS], "refuse", "refusal_correct", *[F.when(~F.col("refuse"), F.col(c)).alias(c) for c in LAX])
+    told = [F.count("*").alias("n_pages"), F.count_if(~F.col("refuse")).alias("n_scored"), F.avg("refusal_correct").alias("refusal_accuracy")]
+    told += [x for c in LAX for x in (F.avg(c).alias(c), F.count(c).alias(f"{c}_n"))]
+    return scoring.views(both, told)
 
 
 def score_words(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from leafwright.functions.columns import paragraph_ratio, should_reject, time_confused, time_score, written_time, zone_status
+from leafwright.functions.columns import paragraphs, should_reject, smaller_share, time_confused, time_score, written_time, zone_status
 from leafwright.operators import lenses, scoring
 from leafwright.operators.instants import to_utc
 from leafwright.operators.packed import may_be_packed, split_packed
@@ -43,17 +41,29 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("src", "id", "line_no", value.alias("utc_value")).distinct()
 
 
-def _gold(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.latest(table(spark, folder, "mini_gold"), "id", "annotated_at")
+def _gold(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    """The latest row of each page. Of the ``columns`` (all if none are named) only what is asked for is read and moved."""
+    gold = table(spark, folder, "mini_gold")
+    gold = gold.select("id", "annotated_at", *columns) if columns else gold
+    return scoring.latest(gold, "id", "annotated_at")
 
 
-def _pred(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.last_line(table(spark, folder, "mini_pred"))
+def _pred(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
+    """The last line of each page, like :func:`_gold`."""
+    pred = table(spark, folder, "mini_pred")
+    return scoring.last_line(pred.select("id", "line_no", *columns) if columns else pred)
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    gold, pred = _gold(spark, folder).alias("g"), _pred(spark, folder).alias("p")
-    return gold.join(pred, F.col("g.id") == F.col("p.id"), "left")
+def _pairs(spark: SparkSession, folder: str, gold: list, pred: list) -> DataFrame:
+    g, p = _gold(spark, folder, *gold).alias("g"), _pred(spark, folder, *pred).alias("p")
+    return g.join(p, F.col("g.id") == F.col("p.id"), "left")
+
+
+#: What a page is judged by, with a text cut to whether it is null, empty or neither, where nothing else of it matters.
+_HINT = F.left("content_text", F.lit(1)).alias("content_text")
+_TITLE_HINT = F.left("title", F.lit(1)).alias("title")
+_FACTS = ["dataset", "site", "route", "content_structure", "page_condition"]
+_TIMES = ["publish_time", "update_time"]
 
 
 GOLD = "(SELECT * FROM mini_gold QUALIFY row_number() OVER (PARTITION BY id ORDER BY annotated_at DESC) = 1)"
@@ -62,36 +72,38 @@ PAIRS = f"{GOLD} g LEFT JOIN {PRED} p ON g.id = p.id"
 
 
 def pred_last_wins(spark, folder):
-    return _pred(spark, folder).select("id", "line_no", "title")
+    return _pred(spark, folder, "title").select("id", "line_no", "title")
 
 
 def gold_left_join_pred(spark, folder):
-    return _pairs(spark, folder).groupBy("g.dataset").agg(F.count("*").alias("pages"), F.count_if(F.col("p.id").isNull()).alias("missing")).select("dataset", "pages", "missing")
+    return _pairs(spark, folder, ["dataset"], [F.lit(1).alias("_")]).groupBy("g.dataset").agg(F.count("*").alias("pages"), F.count_if(F.col("p.id").isNull()).alias("missing")).select("dataset", "pages", "missing")
 
 
 def rejection_accuracy(spark, folder):
     refused = F.col("p.id").isNull() | F.coalesce("p.rejected", F.lit(False))
-    rows = _pairs(spark, folder).select("g.route", should_reject(F.col("g.content_structure"), F.col("g.page_condition")).alias("refuse"), refused.alias("refused"))
+    rows = _pairs(spark, folder, ["route", "content_structure", "page_condition"], ["rejected"]).select("g.route", should_reject(F.col("g.content_structure"), F.col("g.page_condition")).alias("refuse"), refused.alias("refused"))
     return rows.where("refuse").groupBy("route").agg(F.count("*").alias("pages"), F.round(F.avg(F.col("refused").cast("double")), 6).alias("accuracy"))
 
 
 def time_scores(spark, folder):
-    rows = _pairs(spark, folder).where("g.publish_time.value is not null")
-    return rows.select("g.id", time_score(F.col("p.publish_time.value"), F.col("g.publish_time.value")).alias("score"))
+    rows = _pairs(spark, folder, [F.col("publish_time.value").alias("t")], [F.col("publish_time.value").alias("t")]).where("g.t is not null")
+    return rows.select("g.id", time_score(F.col("p.t"), F.col("g.t")).alias("score"))
 
 
 def time_confusion(spark, folder):
-    rows = _pairs(spark, folder).where("p.publish_time.value is not null")
-    return rows.select("g.id", time_confused(F.col("p.publish_time.value"), F.col("g.update_time.value")).alias("confused"))
+    rows = _pairs(spark, folder, [F.col("update_time.value").alias("t")], [F.col("publish_time.value").alias("t")]).where("p.t is not null")
+    return rows.select("g.id", time_confused(F.col("p.t"), F.col("g.t")).alias("confused"))
 
 
 def zone_statuses(spark, folder):
-    status = zone_status(F.col("p.publish_time.utc_offset"), F.col("g.publish_time.utc_offset"))
-    return _pairs(spark, folder).groupBy("g.site", status.alias("status")).agg(F.count("*").alias("pages")).select("site", "status", "pages")
+    offset = F.col("publish_time.utc_offset").alias("o")
+    return _pairs(spark, folder, ["site", offset], [offset]).groupBy("g.site", zone_status(F.col("p.o"), F.col("g.o")).alias("status")).agg(F.count("*").alias("pages")).select("site", "status", "pages")
 
 
 def paragraph_ratios(spark, folder):
-    return _pairs(spark, folder).select("g.id", F.round(paragraph_ratio(F.col("p.content_text"), F.col("g.content_text")), 6).alias("ratio"))
+    count = paragraphs(F.col("content_text")).alias("n")
+    a, b = F.coalesce("p.n", F.lit(0)), F.col("g.n")
+    return _pairs(spark, folder, [count], [count]).select("g.id", F.round(smaller_share(a, b), 6).alias("ratio"))
 
 
 def written_times(spark, folder):
@@ -100,7 +112,7 @@ def written_times(spark, folder):
 
 
 def field_tags(spark, folder):
-    scores = scoring.score_pages(_gold(spark, folder), _pred(spark, folder))
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
     tags = F.explode(F.array(*[F.struct(F.lit(c[:-4]).alias("field"), F.col(c).alias("tag")) for c in ("title_tag", "authors_tag", "content_text_tag", "publish_time_tag", "update_time_tag")]))
     return scores.where("not refuse").select(tags.alias("x")).groupBy("x.field", "x.tag").agg(F.count("*").alias("pages")).select("field", "tag", "pages")
 
@@ -115,44 +127,46 @@ def score_report(spark, folder):
 
 def report_grouping_sets(spark, folder):
     """The part of the report that needs no text normalisation."""
-    full = score_report(spark, folder)
-    return full.select("view", "value", "n_pages", "n_scored", *[F.round(c, 6).alias(c) for c in ("refusal_accuracy", "title_miss_rate", "authors_false_fill_rate", "content_text_miss_rate")])
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    return scoring.report(scores).select("view", "value", "n_pages", "n_scored", *[F.round(c, 6).alias(c) for c in ("refusal_accuracy", "title_miss_rate", "authors_false_fill_rate", "content_text_miss_rate")])
 
 
-def lax_scores(spark, folder):
-    return lenses.score_lax(_gold(spark, folder), _pred(spark, folder))
+def time_report(spark, folder):
+    """Tags, zones and confusions of the publication time by view."""
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    return scoring.report(scores).select("view", "value", "publish_time_tags.*", "publish_time_zones.match", "publish_time_zones.mismatch", F.col("publish_time_zones.missing").alias("zone_missing"), "publish_time_zones.gold_absent", F.col("publish_time_confusions").alias("confused"), F.round("publish_time_score", 6).alias("score"))
 
 
-def word_scores(spark, folder):
-    return lenses.score_words(_gold(spark, folder), _pred(spark, folder))
+def bad_refusals(spark, folder):
+    """Pages that should have been refused and weren't, under each view."""
+    facts = scoring.refusals(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    return scoring.bad_refusals(facts)
 
 
-def day_scores(spark, folder):
-    """The part of the lax lens that SQL can say: whether both name the same day."""
-    return lax_scores(spark, folder).where("publish is not null").select("id", "publish")
+def lax_scores(spark, folder):
+    fields = ["title", "authors", "publish_time", "content_text"]
+    return lenses.score_lax(_gold(spark, folder, *fields), _pred(spark, folder, *fields))
 
 
-def plain_titles(spark, folder):
-    """Predicted titles without the brand at their end."""
-    from leafwright.pages.titles import without_brand
+def lax_report(spark, folder):
+    """The lax lens in five views."""
+    fields = ["title", "authors", *_TIMES, "content_text"]
+    return lenses.lax_report(_gold(spark, folder, *_FACTS, *fields), _pred(spark, folder, *fields, "rejected"))
 
-    strip = F.pandas_udf(lambda titles, sites: pd.Series([without_brand(t, s) for t, s in zip(titles, sites)], dtype=object), T.StringType())
-    rows = table(spark, folder, "mini_pred", "line_no", "id", "title").where("title is not null")
-    site = F.regexp_replace(F.regexp_extract("id", "^(.*)__", 1), "_", "")
-    return rows.select("line_no", strip(F.col("title"), site).alias("title"))
 
+def word_scores(spark, folder):
+    fields = ["title", "authors", "publish_time", "content_text"]
+    return lenses.score_words(_gold(spark, folder, *fields), _pred(spark, folder, *fields))
 
-def credible_authors(spark, folder):
-    """Predicted authors that no media name, number or other non-person is."""
-    from leafwright.pages.names import category, clean
 
-    keep = F.pandas_udf(lambda xs: xs.map(lambda x: None if x is None else [n for n in map(clean, (y for y in x if y is not None)) if n and category(n) is None]), T.ArrayType(T.StringType()))
-    return table(spark, folder, "mini_pred", "line_no", "authors").select("line_no", keep(F.col("authors")).alias("authors"))
+def day_scores(spark, folder):
+    """The part of the lax lens that SQL can say: whether both name the same day."""
+    return lenses.score_days(_gold(spark, folder, "publish_time"), _pred(spark, folder, "publish_time")).where("publish is not null")
 
 
 def refusal_shares(spark, folder):
     """Annotated conditions and structures by site, with the share to refuse."""
-    rows = _gold(spark, folder).select("site", should_reject(F.col("content_structure"), F.col("page_condition")).cast("double").alias("r"))
+    rows = _gold(spark, folder, "site", "content_structure", "page_condition").select("site", should_reject(F.col("content_structure"), F.col("page_condition")).cast("double").alias("r"))
     return rows.groupBy("site").agg(F.count("*").alias("pages"), F.round(F.avg("r"), 6).alias("share"))
 
 
@@ -165,9 +179,9 @@ def unpredicted_pages(spark, folder):
 
 def version_diff(spark, folder):
     """Pages whose publish score differs between the first and the last prediction line."""
-    gold, lines = _gold(spark, folder), table(spark, folder, "mini_pred")
-    times = lambda pred: gold.select("id", F.col("publish_time.value").alias("g")).where("g is not null").join(pred.select("id", F.col("publish_time.value").alias("p")), "id").select("id", time_score(F.col("p"), F.col("g")).alias("score"))
-    first = scoring.last_line(lines.withColumn("line_no", -F.col("line_no")))
+    gold, lines = _gold(spark, folder, F.col("publish_time.value").alias("g")).where("g is not null"), table(spark, folder, "mini_pred").select("id", "line_no", F.col("publish_time.value").alias("p"))
+    times = lambda pred: gold.join(pred, "id").select("id", time_score(F.col("p"), F.col("g")).alias("score"))
+    first = scoring.newest(lines, "id", F.col("line_no").asc_nulls_last())
     return scoring.changed(times(first), times(scoring.last_line(lines)), "score").select("id", "before", "after", "change")
 
 
@@ -207,18 +221,19 @@ def extraction_medians(spark, folder):
 def refusal_sweep(spark, folder):
     """Articles and other pages that a minimum text length would refuse, by threshold."""
     limits = F.explode(F.array(*[F.lit(n) for n in (50, 100, 200, 400, 800)]))
-    pages = _gold(spark, folder).select(should_reject(F.col("content_structure"), F.col("page_condition")).alias("refuse"), F.length(F.coalesce("content_text", F.lit(""))).alias("n"), limits.alias("threshold"))
+    size = F.length(F.coalesce("content_text", F.lit(""))).alias("n")
+    pages = _gold(spark, folder, "content_structure", "page_condition", size).select(should_reject(F.col("content_structure"), F.col("page_condition")).alias("refuse"), "n", limits.alias("threshold"))
     return pages.groupBy("threshold").agg(F.count_if(F.col("refuse") & (F.col("n") < F.col("threshold"))).alias("caught"), F.count_if(~F.col("refuse") & (F.col("n") < F.col("threshold"))).alias("wrongly"))
 
 
 def structure_pivot(spark, folder):
-    rows = _gold(spark, folder).select("route", F.coalesce("content_structure", F.lit("none")).alias("structure"))
+    rows = _gold(spark, folder, "route", "content_structure").select("route", F.coalesce("content_structure", F.lit("none")).alias("structure"))
     return rows.groupBy("route").pivot("structure", ["single", "list_page", "photo_set", "live_blog", "none"]).count().na.fill(0)
 
 
 def image_placeholders(spark, folder):
     count = F.regexp_count(F.coalesce("content_text", F.lit("")), F.lit("\\[\\[IMG_[0-9]+\\]\\]"))
-    return _gold(spark, folder).groupBy("site").agg(F.sum(count).cast("long").alias("images"), F.count_if(count > 0).alias("pages"))
+    return _gold(spark, folder, "site", count.alias("n")).groupBy("site").agg(F.sum("n").cast("long").alias("images"), F.count_if(F.col("n") > 0).alias("pages"))
 
 
 def event_props(spark, folder):
@@ -234,19 +249,29 @@ def markdown_tables(spark, folder):
     return lines.select(F.col("n_regionkey").alias("region"), F.concat(F.lit("| key | name |\n| --- | --- |\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
+def _tag_sql(field: str, empty: str, unknown: str = "") -> str:
+    g, p = empty.format("g"), empty.format("p")
+    return f"SELECT '{field}' AS field, CASE WHEN ({g}) AND ({p}) THEN 'correct_empty' WHEN ({g}) THEN 'false_fill' WHEN ({p}) THEN 'miss'{unknown} ELSE 'ok' END AS tag FROM j"
+
+
+def _unknown_sql(x: str) -> str:
+    """No part of a written time is without an X."""
+    padded = f"rpad(coalesce({x}, ''), 19, 'X')"
+    return " AND ".join(f"contains(substring({padded}, {a}, {n}), 'X')" for a, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+
+
 _TAGS = " UNION ALL ".join(
-    f"SELECT '{f}' AS field, CASE WHEN ({e.format('g')}) AND ({e.format('p')}) THEN 'correct_empty' WHEN ({e.format('g')}) THEN 'false_fill' WHEN ({e.format('p')}) THEN 'miss' ELSE 'ok' END AS tag FROM j"
-    for f, e in (
-        ("title", "coalesce({}_title, '') = ''"),
-        ("authors", "coalesce(len({}_authors), 0) = 0"),
-        ("content_text", "coalesce({}_text, '') = ''"),
-        ("publish_time", "coalesce({}_pt, '') = ''"),
-        ("update_time", "coalesce({}_ut, '') = ''"),
+    (
+        _tag_sql("title", "coalesce({}_title, '') = ''"),
+        _tag_sql("authors", "coalesce(len({}_authors), 0) = 0"),
+        _tag_sql("content_text", "coalesce({}_text, '') = ''"),
+        _tag_sql("publish_time", "coalesce({}_pt, '') = ''", f" WHEN {_unknown_sql('g_pt')} THEN 'gold_all_xx'"),
+        _tag_sql("update_time", "coalesce({}_ut, '') = ''", f" WHEN {_unknown_sql('g_ut')} THEN 'gold_all_xx'"),
     )
 )
 _REJECT = "(g.content_structure IS DISTINCT FROM 'single' OR coalesce(g.page_condition, 'ok') <> 'ok')"
 _J = f"""j AS (SELECT g.id, g.dataset, g.site, g.route, g.content_structure, {_REJECT} AS refuse, p.id IS NULL OR coalesce(p.rejected, false) AS refused_flag, g.title AS g_title, p.title AS p_title, g.authors AS g_authors, p.authors AS p_authors,
- g.content_text AS g_text, p.content_text AS p_text, g.publish_time.value AS g_pt, p.publish_time.value AS p_pt, g.update_time.value AS g_ut, p.update_time.value AS p_ut, p.publish_time AS p_ps, p.update_time AS p_us FROM {PAIRS})"""
+ g.content_text AS g_text, p.content_text AS p_text, g.publish_time.value AS g_pt, p.publish_time.value AS p_pt, g.update_time.value AS g_ut, p.update_time.value AS p_ut, p.publish_time AS p_ps, p.update_time AS p_us, g.publish_time.utc_offset AS g_po, p.publish_time.utc_offset AS p_po FROM {PAIRS})"""
 
 
 def _pad(x: str) -> str:
@@ -276,9 +301,11 @@ def _value_sql(pattern: str) -> str:
     return f"regexp_extract(trim(publish_time.value), '{pattern}', 1) || '-' || {_part(pattern, 2)} || '-' || {_part(pattern, 3)} || ' ' || {_part(pattern, 4)} || ':' || {_part(pattern, 5)} || ':' || {_part(pattern, 6)}"
 
 
-_ISO = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[T ]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\\.[0-9]+)?)?)?[ \\t\\n]*(Z|[+-][0-9]{2}:?[0-9]{2})?$"
-_HYPHEN = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})-([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?$"
-_CHINESE = "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日[ \\t\\n]*(?:([0-9]{1,2})[:：]([0-9]{2})(?:[:：]([0-9]{2}))?)?"
+_N = "([0-9]{1,2})"
+_ISO = f"^([0-9]{{4}})-{_N}-{_N}(?:[T ]{_N}:{_N}(?::{_N}(?:\\.[0-9]+)?)?)?[ \\t\\n]*(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?$"
+_HYPHEN = f"^([0-9]{{4}})-{_N}-{_N}-{_N}:{_N}(?::{_N})?$"
+_B = "[ \\t\\n　\\x{a0}]*"
+_CHINESE = f"([0-9]{{4}}){_B}年{_B}{_N}{_B}月{_B}{_N}{_B}日{_B}(?:{_N}{_B}[:：]{_B}{_N}(?:{_B}[:：]{_B}{_N})?)?"
 _ZONE = f"regexp_extract(trim(publish_time.value), '{_ISO}', 7)"
 _TIME_FORM = "^[0-9]{4}-([0-9]{2}|XX)-([0-9]{2}|XX) ([0-9]{2}|XX):([0-9]{2}|XX):([0-9]{2}|XX)$"
 _PT, _UT = "publish_time.value", "update_time.value"
@@ -302,6 +329,15 @@ _VIEWS = " UNION ALL ".join(
  {_RATE.format(g="coalesce(g_text, '') <> ''", p="coalesce(p_text, '') = ''")} AS content_text_miss_rate FROM j{g}"""
     for v, x, g in [("overall", "'all'", ""), *[(v, f"coalesce({v}, 'unknown')", f" GROUP BY {v}") for v in scoring.VIEWS]]
 )
+_REFUSED = f"({_EMPTY_RECORD})"
+_TIME_J = f"""t AS (SELECT *, CASE WHEN NOT refuse THEN CASE WHEN coalesce(g_pt, '') = '' AND coalesce(p_pt, '') = '' THEN 'correct_empty' WHEN coalesce(g_pt, '') = '' THEN 'false_fill' WHEN coalesce(p_pt, '') = '' THEN 'miss' WHEN {_unknown_sql('g_pt')} THEN 'gold_all_xx' ELSE 'ok' END END AS tag FROM j),
+ u AS (SELECT *, CASE WHEN tag IN ('miss', 'ok') THEN CASE WHEN g_po IS NULL THEN 'gold_absent' WHEN p_po IS NULL THEN 'missing' WHEN g_po = p_po THEN 'match' ELSE 'mismatch' END END AS zone,
+ CASE WHEN tag = 'ok' THEN {_time_sql('p_pt', 'g_pt')} WHEN tag IN ('miss', 'false_fill') THEN 0.0::DOUBLE END AS s, tag = 'ok' AND g_ut <> '' AND ({_pad('p_pt')} = {_pad('g_ut')} OR starts_with({_pad('p_pt')}, rtrim(g_ut, 'X'))) AS mixed FROM t)"""
+_TIME_VIEWS = " UNION ALL ".join(
+    f"SELECT '{v}' AS view, {x} AS value, " + ", ".join(f"count(*) FILTER (tag = '{t}') AS {t}" for t in scoring.TAGS) + ", " + ", ".join(f"count(*) FILTER (zone = '{z}') AS {n}" for z, n in (("match", "match"), ("mismatch", "mismatch"), ("missing", "zone_missing"), ("gold_absent", "gold_absent"))) + f", count(*) FILTER (mixed) AS confused, round(avg(s), 6) AS score FROM u{g}"
+    for v, x, g in [("overall", "'all'", ""), *[(v, f"coalesce({v}, 'unknown')", f" GROUP BY {v}") for v in scoring.VIEWS]]
+)
+_BAD_VIEWS = " UNION ALL ".join(f"SELECT '{v}' AS view, {x} AS value, id FROM j WHERE refuse AND NOT {_REFUSED}" for v, x in [("overall", "'all'"), *[(v, f"coalesce({v}, 'unknown')") for v in scoring.VIEWS]])
 _PUBLISH = "g.publish_time.value"
 _FIRST = "(SELECT id, min(struct_pack(f := fetched_at, b := bytes)) AS r FROM spotcheck_index GROUP BY id)"
 
@@ -316,6 +352,8 @@ ORACLES: dict[str, str] = {
     "written_times": f"SELECT line_no, CASE WHEN regexp_matches(trim({_PT}), '{_ISO}') THEN {_value_sql(_ISO)} WHEN regexp_matches(trim({_PT}), '{_HYPHEN}') THEN {_value_sql(_HYPHEN)} WHEN regexp_matches(trim({_PT}), '{_CHINESE}') THEN {_value_sql(_CHINESE)} END AS value, CASE WHEN NOT regexp_matches(trim({_PT}), '{_ISO}') OR {_ZONE} = '' THEN NULL WHEN {_ZONE} = 'Z' THEN '+00:00' ELSE substring({_ZONE}, 1, 3) || ':' || right({_ZONE}, 2) END AS utc_offset FROM mini_pred WHERE {_PT} IS NOT NULL",
     "field_tags": f"WITH {_J.replace('FROM ' + PAIRS, 'FROM ' + PAIRS + ' WHERE NOT ' + _REJECT)} SELECT field, tag, count(*) AS pages FROM ({_TAGS}) GROUP BY ALL",
     "report_grouping_sets": f"WITH {_J} {_VIEWS}",
+    "time_report": f"WITH {_J}, {_TIME_J} {_TIME_VIEWS}",
+    "bad_refusals": f"WITH {_J} {_BAD_VIEWS}",
     "day_scores": f"SELECT g.id, (substring(p.publish_time.value, 1, 10) = substring({_PUBLISH}, 1, 10))::INT::DOUBLE AS publish FROM {PAIRS} WHERE length({_PUBLISH}) >= 10 AND length(p.publish_time.value) >= 10 AND NOT contains(substring({_PUBLISH}, 1, 10), 'X') AND NOT contains(substring(p.publish_time.value, 1, 10), 'X')",
     "refusal_shares": f"SELECT site, count(*) AS pages, round(avg(({_REJECT})::INT::DOUBLE), 6) AS share FROM {GOLD} g GROUP BY site",
     "unpredicted_pages": "(SELECT id, 'missing' AS side FROM mini_gold EXCEPT SELECT id, 'missing' FROM mini_pred) UNION ALL (SELECT id, 'extra' FROM mini_pred WHERE id IS NOT NULL EXCEPT SELECT id, 'extra' FROM mini_gold)",
@@ -338,7 +376,7 @@ ORACLES: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p6_found, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets, lax_scores, word_scores, day_scores, plain_titles, credible_authors, refusal_shares, unpredicted_pages,
+        p1_found, p6_found, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets, time_report, bad_refusals, lax_scores, lax_report, word_scores, day_scores, refusal_shares, unpredicted_pages,
         version_diff, gold_violations, index_upsert, index_groups, host_counts, first_pages_per_site, extraction_medians, refusal_sweep, structure_pivot, image_placeholders, event_props, markdown_tables,
     )
 }

@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from leafwright.functions import texts
 from leafwright.operators import lenses
+from pyspark.sql import functions as F
 
 FIELDS = "id string, title string, authors array<string>, publish_time struct<value: string, utc_offset: string>, content_text string"
 
@@ -11,7 +12,20 @@ FIELDS = "id string, title string, authors array<string>, publish_time struct<va
 def test_pieces():
     assert lenses.word_f1("a b c d e", "a b c d") == pytest.approx(2 / 3) and lenses.word_f1("", "a") == 0 and lenses.word_f1("a b", "a b") == 1
     assert lenses.set_f1(set(), set()) is None and lenses.set_f1({"a"}, {"b"}) == 0
-    assert lenses.day_score("2024-03-21 09:00:00", "2024-03-21") == 1 and lenses.day_score("2024-03", "2024-03-21") is None and lenses.day_score("2024-03-XX", "2024-03-21") is None
+
+
+def test_days(spark):
+    df = spark.createDataFrame([("2024-03-21 09:00:00", "2024-03-21"), ("2024-03", "2024-03-21"), ("2024-03-XX", "2024-03-21"), (None, "2024-03-21"), ("2024-03-20", "2024-03-21")], "p string, g string")
+    assert [r[0] for r in df.select(lenses.day_score(F.col("p"), F.col("g"))).collect()] == [1.0, None, None, None, 0.0]
+
+
+def test_lax_report(spark):
+    kind = "id string, dataset string, site string, route string, content_structure string, page_condition string, title string, authors array<string>, publish_time struct<value: string, utc_offset: string>, update_time struct<value: string, utc_offset: string>, content_text string"
+    gold = spark.createDataFrame([("a", "d", "s", "r", "single", None, "T", None, None, None, "w"), ("b", "d", None, "r", "list_page", None, None, None, None, None, None), ("c", "d", "s", "r", None, None, "T", None, None, None, None)], kind)
+    pred = spark.createDataFrame([("a", "t", None, None, None, "w", False), ("b", "x", None, None, None, None, None)], "id string, title string, authors array<string>, publish_time struct<value: string, utc_offset: string>, update_time struct<value: string, utc_offset: string>, content_text string, rejected boolean")
+    got = {(r.view, r.value): r for r in lenses.lax_report(gold, pred).collect()}
+    whole = got["overall", "all"]
+    assert (whole.n_pages, whole.n_scored, whole.refusal_accuracy, whole.title, whole.title_n, whole.content, whole.authors_n) == (3, 1, 0.5, 1.0, 1, 1.0, 0) and ("site", "unknown") in got and ("content_structure", "unknown") in got
 
 
 def test_lenses(spark):

@@ -63,7 +63,7 @@ def test_tags_cover_every_cell(spark):
 
 def test_last_line_latest_and_change(spark):
     lines = spark.createDataFrame([(1, "a", "x"), (3, "a", None), (2, "a", "y"), (4, None, "z")], "line_no long, id string, title string")
-    assert [tuple(r) for r in scoring.last_line(lines).collect()] == [("a", 3, None)]
+    assert [(r.id, r.line_no, r.title) for r in scoring.last_line(lines).collect()] == [("a", 3, None)]
     assert scoring.latest(lines, "id", "line_no").select("line_no").first()[0] == 3
     a, b = (spark.createDataFrame(x, "id string, s double") for x in ([("p", 1.0), ("q", 0.5)], [("p", 1.0), ("q", 1.0), ("r", 0.2)]))
     assert sorted((r.id, r.before, r.after) for r in scoring.changed(a, b, "s").collect()) == [("q", 0.5, 1.0), ("r", None, 0.2)]
@@ -86,3 +86,19 @@ def test_upsert_and_violations(spark):
     assert sorted(map(str, (tuple(r) for r in upsert(old, new, ["id"]).collect()))) == ["('a', 9)", "('b', 2)", "(None, 3)"]
     gold = spark.createDataFrame([(*GOLD[0], False), (*GOLD[0], False)], FIELDS + ", expect_refusal boolean")
     assert {(r.id, r.rule) for r in violations(gold).collect()} == {("p1", "id_twice")}
+
+
+def test_tags_of_unknown_times_wrong_texts_and_bad_refusals(spark):
+    facts = "id string, dataset string, site string, route string, content_structure string, page_condition string"
+    fields = "title string, authors array<string>, publish_time string, content_text string"
+    gold = spark.createDataFrame([("a", "d", "s", "r", "single", None, "T", None, "XXXX-XX-XX XX:XX:XX", None), ("b", "d", "s", "r", "list_page", None, None, None, None, None)], f"{facts}, {fields}")
+    pred = spark.createDataFrame([("a", "T", None, "2024-01-01 10:00:00", "abcdabcd", None), ("b", "T", None, None, None, None)], f"id string, {fields}, rejected boolean")
+    scores = scoring.score_pages(gold, pred)
+    a = next(r for r in scores.collect() if r.id == "a")
+    assert (a.publish_time_tag, a.publish_time_score, a.publish_time_zone, a.publish_time_confused) == ("gold_all_xx", None, None, None)
+    assert (a.content_text_tag, a.content_f1, round(a.dup_ratio, 6), a.num_f1, a.lcs_f1) == ("false_fill", 0.0, round(1 / 3, 6), None, None)
+    told = scoring.report(scores).collect()
+    assert [r.view for r in told] == sorted((r.view for r in told), key=["overall", *scoring.VIEWS].index)
+    assert told[0].publish_time_tags.gold_all_xx == 1 and told[0].refusals.asDict() == {"n": 1, "correct": 0} and sum(told[0].publish_time_zones) == 0
+    assert {(r.view, r.value, r.id) for r in scoring.bad_refusals(scores).collect()} >= {("overall", "all", "b"), ("content_structure", "list_page", "b")}
+    assert {r.id: r.refusal_correct for r in scoring.refusals(gold, pred).collect()} == {"a": None, "b": 0}
