@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from leafwright.pages.dom import BLANKS, BLOCKS, HIDDEN, Node, select
+from leafwright.pages.dom import BLANKS, BLOCKS, HIDDEN, Node, select, select_all
+from leafwright.pages.readable import link_share, readable
 
 # Containers of widespread publishing systems.
 CONTAINERS = (("div.left_zw", "left_zw"), ("div.rm_txt_con", "rm_txt_con"), ("div#artibody", "artibody"), ('div[class^="index_text_"]', "index_text"))
 IMAGE_SOURCES = ("src", "data-src", "data-original", "data-lazy-src")
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:nav|menu|footer|sidebar|aside|share|social|related|recommend|comment|breadcrumb|cookie|advert|ads?|promo|subscribe|newsletter)(?:$|[\s_-])", re.I)
-PHOTO_PARAGRAPH = re.compile(r"^新华社.*摄$", re.S)
+PHOTO_PARAGRAPH = re.compile(r"新华社.*摄|摄.*新华社", re.S)
 
 
 @dataclass
@@ -71,17 +72,15 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
-def _image(body: Body, img: Node, caption: str | None = None) -> str | None:
+def _image(body: Body, img: Node, caption: str | None = None) -> str:
     url = next((img.attrs[a].strip() for a in IMAGE_SOURCES if img.attrs.get(a, "").strip()), None)
-    if url is None:
-        return None
-    body.images.append({"type": "image", "alt": img.attrs.get("alt") or None, "caption": caption, "url": url, "width": img.attrs.get("width"), "height": img.attrs.get("height")})
+    body.images.append({"type": "正文插图", "alt": img.attrs.get("alt", "").strip() or None, "caption": caption, "url": url, "width": img.attrs.get("width"), "height": img.attrs.get("height")})
     return f"[[IMG_{len(body.images)}]]"
 
 
-def assemble(container: Node, captions: str = "figure", skip_boilerplate: bool = False) -> Body:
-    """Blocks of a container in order. ``captions``: ``figure`` moves a figcaption to its image, ``news_cn`` moves a paragraph
-    that credits a photographer to the image before it."""
+def assemble(container: Node, captions: str | None = None, skip_boilerplate: bool = False) -> Body:
+    """Blocks of a container in order. ``captions``: null leaves a figcaption in the text, ``figure`` moves it to its image,
+    ``news_cn`` moves a paragraph that credits a photographer of the agency to the image before it."""
     body = Body()
 
     def put(text: str, markdown: str | None = None) -> None:
@@ -104,15 +103,15 @@ def assemble(container: Node, captions: str = "figure", skip_boilerplate: bool =
                 continue
             if c.tag == "img":
                 flush(parts)
-                if mark := _image(body, c):
-                    put(mark)
+                put(_image(body, c))
             elif c.tag == "figure":
                 flush(parts)
                 caption = c.first("figcaption")
                 words = caption.text() if caption is not None else None
                 for img in c.all("img"):
-                    if mark := _image(body, img, words or None):
-                        put(mark)
+                    put(_image(body, img, (words or None) if captions == "figure" else None))
+                if words and (captions != "figure" or c.first("img") is None):
+                    put(words)
             elif c.tag == "table":
                 flush(parts)
                 rows = table_rows(c, body.flags)
@@ -132,8 +131,7 @@ def assemble(container: Node, captions: str = "figure", skip_boilerplate: bool =
                     own = BLANKS.sub(" ", "".join(_inline_part(x) for x in li.children if not (isinstance(x, Node) and x.tag in ("ul", "ol")))).strip()
                     put(own, "  " * depth + mark + own)
                     for img in li.all("img"):
-                        if m := _image(body, img):
-                            put(m)
+                        put(_image(body, img))
                     for sub in (x for x in li.children if isinstance(x, Node) and x.tag in ("ul", "ol")):
                         visit(_wrap(sub), depth + 1)
             elif c.tag == "blockquote":
@@ -144,7 +142,7 @@ def assemble(container: Node, captions: str = "figure", skip_boilerplate: bool =
             elif c.tag in BLOCKS or c.first(*BLOCKS) is not None:
                 flush(parts)
                 text = c.text()
-                if captions == "news_cn" and body.images and c.tag == "p" and PHOTO_PARAGRAPH.match(text) and body.lines and body.lines[-1].startswith("[[IMG_"):
+                if captions == "news_cn" and body.images and c.tag == "p" and PHOTO_PARAGRAPH.search(text) and body.lines and body.lines[-1].startswith("[[IMG_"):
                     body.images[-1]["caption"] = text
                 else:
                     visit(c, depth)
@@ -168,11 +166,6 @@ def _inline_part(x: Node | str) -> str:
     return BLANKS.sub(" ", x) if isinstance(x, str) else "" if x.tag in HIDDEN or x.tag == "img" else _inline(_wrap(x))
 
 
-def link_share(node: Node) -> float:
-    whole = len(node.text())
-    return sum(len(a.text()) for a in node.all("a")) / whole if whole else 0.0
-
-
 def densest(root: Node, least: int = 200, most_links: float = 0.5) -> Node | None:
     """The container with the highest text length times number of paragraphs (ten count at most); the first of equals.
 
@@ -202,18 +195,37 @@ def densest(root: Node, least: int = 200, most_links: float = 0.5) -> Node | Non
     return found
 
 
-def main_content(root: Node, rule: tuple[str, str] | None = None) -> tuple[Body | None, str]:
-    """(body, where from): the site's own container, a known publishing system's, a single article element, the densest block."""
+def without(container: Node, dropped: tuple[str, ...]) -> Node:
+    """A container without the elements of the given selectors."""
+    gone = {id(n) for selector in dropped for n in select_all(container, selector)}
+
+    def copy(node: Node) -> Node:
+        kept = Node(node.tag, node.attrs, node.parent)
+        kept.children = [c if isinstance(c, str) else copy(c) for c in node.children if isinstance(c, str) or id(c) not in gone]
+        return kept
+
+    return copy(container)
+
+
+def main_content(root: Node, rule: tuple[str, str | None] | None = None, title: str | None = None) -> tuple[Body | None, str]:
+    """(body, where from): the site's own container; a known publishing system's, if it is tighter than what reads like the main text;
+    what reads like the main text, without a first line that repeats ``title``; the densest block."""
     if rule and (node := select(root, rule[0])) is not None:
         body = assemble(node, rule[1])
         if body.text:
             return body, "site_rules"
+    main = readable(root)
+    own = assemble(main, skip_boilerplate=True) if main is not None else None
+    size = len("".join(own.text.split())) if own else 0
     for selector, label in CONTAINERS:
         node = select(root, selector)
-        if node is not None and len("".join(node.text().split())) >= 60:
-            return assemble(node), f"container:{label}"
-    articles = list(root.all("article"))
-    if len(articles) == 1 and len(articles[0].text()) >= 200 and link_share(articles[0]) <= 0.5:
-        return assemble(articles[0], skip_boilerplate=True), "article"
+        if node is not None:
+            length = len("".join(node.text().split()))
+            if length >= 60 and (not size or length < size) and (body := assemble(node)).text:
+                return body, f"container:{label}"
+    if own and own.text:
+        if title and own.lines and " ".join(own.lines[0].split()) == title and len(own.lines) > 1:
+            own.lines, own.markdown = own.lines[1:], own.markdown[1:]
+        return own, "readable"
     node = densest(root)
     return (assemble(node, skip_boilerplate=True), "dom_density") if node is not None else (None, "none")

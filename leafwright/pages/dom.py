@@ -131,8 +131,8 @@ def parse(html: str) -> Node:
 _SELECTOR = re.compile(r"^(\w+)?(?:([#.])([\w-]+))?(?:\[(\w+)\^=\"([^\"]*)\"\])?$")
 
 
-def select(root: Node, selector: str) -> Node | None:
-    """First element of a simple selector: tag, tag.class, tag#id, #id or tag[attribute^="start"]."""
+def select_all(root: Node, selector: str) -> Iterator[Node]:
+    """Elements of a simple selector, in order: tag, tag.class, tag#id, #id or tag[attribute^="start"]."""
     m = _SELECTOR.match(selector)
     if not m:
         raise ValueError(selector)
@@ -144,8 +144,12 @@ def select(root: Node, selector: str) -> Node | None:
             continue
         if attribute and not n.attrs.get(attribute, "").startswith(start):
             continue
-        return n
-    return None
+        yield n
+
+
+def select(root: Node, selector: str) -> Node | None:
+    """The first of :func:`select_all`."""
+    return next(select_all(root, selector), None)
 
 
 def absolute_links(root: Node, base: str, pattern: str | None = None) -> list[str]:
