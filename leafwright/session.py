@@ -26,12 +26,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a folder below the system's temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session may leave it unset and gets a temporary folder;
+    on a cluster that would be lost with its machine, so an error is raised.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local") or not folder and context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
             import tempfile
 
