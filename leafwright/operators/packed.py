@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.session import broadcast_if_small
+from leafwright.session import lookup
 
-#: Rules up to this many distinct skeletons are broadcast (some 100 bytes each), more are joined by shuffle.
+#: Rules up to this many distinct skeletons are broadcast (some 100 bytes each), more are joined by skeleton and salt, since common skeletons are hot.
 RULES_BROADCAST_ROWS = 50_000
 
 # Words with a part in splitting, by what they do.
@@ -173,7 +173,7 @@ def split_packed(df: DataFrame, keys: list[str], values: str) -> DataFrame:
     each = row.select(*names, F.posexplode("_v").alias("_at", "_s")).where(F.col("_s").isNotNull())
     each = each.withColumn("_t", tokens(F.col("_s"))).withColumn("_skel", skeleton(F.col("_t"))).drop("_s")
     rules = each.select("_skel").distinct().withColumn("_rule", _resolve("_skel"))
-    each = each.join(broadcast_if_small(rules, RULES_BROADCAST_ROWS), "_skel")
+    each = lookup(each, rules, ["_skel"], RULES_BROADCAST_ROWS, [*names, "_at"])
     part = F.transform("_rule", lambda r: _clean(F.array_join(F.slice("_t", r["start"], r["length"]), "")))
     each = each.withColumn("_items", F.filter(part, lambda x: x != ""))
     together = each.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_at", "_items"))).alias("_all"))

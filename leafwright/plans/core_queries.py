@@ -41,6 +41,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("src", "id", "line_no", value.alias("utc_value")).distinct()
 
 
+def p6_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """The same values where no source's order of numeric dates is known: what the mixtures settle by the sources' own values, and what stays open."""
+    rows = _times(spark, folder).withColumn("date_order", F.lit(None).cast("string"))
+    found = to_utc(rows, "value", "utc_offset", "tz_name", "site", "date_order")
+    return found.select("src", "id", "line_no", "status", "utc_value").distinct()
+
+
 def _gold(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
     """The latest row of each page. Of the ``columns`` (all if none are named) only what is asked for is read and moved."""
     gold = table(spark, folder, "mini_gold")
@@ -376,7 +383,7 @@ ORACLES: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p6_found, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets, time_report, bad_refusals, lax_scores, lax_report, word_scores, day_scores, refusal_shares, unpredicted_pages,
+        p1_found, p6_found, p6_inferred, pred_last_wins, gold_left_join_pred, rejection_accuracy, time_scores, time_confusion, zone_statuses, paragraph_ratios, written_times, field_tags, page_scores, score_report, report_grouping_sets, time_report, bad_refusals, lax_scores, lax_report, word_scores, day_scores, refusal_shares, unpredicted_pages,
         version_diff, gold_violations, index_upsert, index_groups, host_counts, first_pages_per_site, extraction_medians, refusal_sweep, structure_pivot, image_placeholders, event_props, markdown_tables,
     )
 }

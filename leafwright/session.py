@@ -48,3 +48,24 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
     kept = cut(df)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+#: Copies of a looked-up table over which a hot key is spread where the table is too large to be broadcast.
+SALTS = 16
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key.
+
+    ``right`` is broadcast if it has at most ``rows`` rows. Otherwise both are moved by key and salt: ``right`` is copied for every
+    salt and the rows of ``left`` are spread over the salts by a hash of the columns ``spread``, so that a key that holds a
+    large share of them doesn't end up in one task. The result is the same either way.
+    """
+    from pyspark.sql import functions as F
+
+    kept = cut(right)
+    if kept.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(kept), keys, how)
+    salted = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return mine.join(salted, [*keys, "_salt"], how).drop("_salt")
