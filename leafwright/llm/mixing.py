@@ -13,11 +13,13 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwright.session import cut
+from leafwright.session import broadcast_if_small, cut
 
 SEED = 17
-#: Parts of the seeded order that are summed up apart.
-BUCKETS = 1024
+#: Texts of one part of the seeded order, about; parts are summed up apart, and their number follows from the texts' count.
+BUCKET_TEXTS = 20_000
+#: Patterns of a mix that are routed on the driver, and planned runs that are broadcast (some 100 bytes each).
+MOST_PATTERNS, PLAN_BROADCAST_ROWS = 100_000, 200_000
 
 
 class _Flow:
@@ -118,8 +120,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     own = documents.where(F.col("source").isin(names) & (F.col("tokens") > 0)).select("doc_id", "source", F.md5("text").alias("_text"), F.col("tokens").cast("long").alias("tokens"))
     held = own.groupBy("_text", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     texts = held.groupBy("_text").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("_in"))  # at most one entry a source
-    texts = cut(texts.withColumn("_bucket", F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(BUCKETS))).withColumn("_order", F.xxhash64("_text", F.lit(seed + 1))))
-    counted = texts.groupBy(F.transform("_in", lambda x: x["source"]).alias("p")).agg(F.sum("tokens").alias("w")).collect()  # one row a pattern
+    texts = cut(texts.withColumn("_order", F.xxhash64("_text", F.lit(seed + 1))))
+    buckets = -(-texts.count() // BUCKET_TEXTS) or 1
+    texts = texts.withColumn("_bucket", F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(buckets)))
+    by_pattern = cut(texts.groupBy(F.transform("_in", lambda x: x["source"]).alias("p")).agg(F.sum("tokens").alias("w")))  # at most two to the number of named sources
+    if (n := by_pattern.count()) > MOST_PATTERNS:
+        raise ValueError(f"{n} membership patterns are more than a flow can route ({MOST_PATTERNS}); name fewer sources at once")
+    counted = by_pattern.collect()
     plan = []
     for k, wanted in sorted(mixes.items()):
         usable = {s: v for s, v in wanted.items() if v[1] > 0}
@@ -145,11 +152,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         empty = spark.createDataFrame([], "mix_id long, source string, doc_id long, tokens long, copies long")
         return empty, report.selectExpr("mix_id", "source", "target_share", "0D AS reached_share", "0L AS tokens", "0L AS documents", "max_repeat")
     parts = chosen.groupBy("mix_id", "_p", "_bucket").agg(F.sum("tokens").alias("_sum"))
-    before = Window.partitionBy("mix_id", "_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a partition
+    before = Window.partitionBy("mix_id", "_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     parts = parts.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy("mix_id", "_p", "_bucket").orderBy("_order", "_text").rowsBetween(Window.unboundedPreceding, -1)
     line = chosen.withColumn("_inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(parts, ["mix_id", "_p", "_bucket"])
-    line = line.withColumn("_at", F.col("_offset") + F.col("_inside")).join(F.broadcast(planned), ["mix_id", "_p"])
+    line = line.withColumn("_at", F.col("_offset") + F.col("_inside")).join(broadcast_if_small(planned, PLAN_BROADCAST_ROWS), ["mix_id", "_p"])
     middle = F.col("_at") + F.floor(F.col("tokens") / 2)  # a text at the end of a quota goes in if at least half of it does
     passes = lambda end: F.floor((F.col(end) - 1 - middle) / F.col("_w"))
     line = line.withColumn("copies", (passes("_to") - passes("_from")).cast("long")).where(F.col("copies") > 0)

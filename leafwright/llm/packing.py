@@ -14,14 +14,16 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.session import cut
+from leafwright.session import cut, lookup
 
-#: Buckets in which the items of one size class are ranked.
-BUCKETS = 256
+#: Items of a size class that are ranked in one bucket, about; the number of buckets follows from the class's count.
+BUCKET_ITEMS = 20_000
+#: Size classes up to this many are broadcast (a few longs each), more are joined by class and salt.
+CLASSES_BROADCAST_ROWS = 500_000
 #: Ranks of a size class that are joined to the runs together, so that a hot size is spread.
 RANKS = 4096
 
@@ -68,14 +70,14 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def _ranked(items: DataFrame) -> DataFrame:
-    """``items`` with ``rank``, from 0, inside (spec_id, size). A hot size is ranked in buckets whose offsets come from counts."""
-    from pyspark.sql import Window
-
-    spread = items.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(BUCKETS)))
+    """``items`` with ``rank``, from 0, inside (spec_id, size). A class is ranked in as many buckets as its count asks for; their offsets come from counts."""
+    classes = items.groupBy("spec_id", "size").agg(F.count("*").alias("_n")).withColumn("_buckets", F.ceil(F.col("_n") / BUCKET_ITEMS).cast("int")).drop("_n")
+    spread = lookup(items, classes, ["spec_id", "size"], CLASSES_BROADCAST_ROWS, ["doc_id", "piece_no"])
+    spread = spread.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("_buckets")).cast("int")).drop("_buckets")
     inside = Window.partitionBy("spec_id", "size", "_bucket").orderBy("doc_id", "piece_no")
     spread = spread.withColumn("_inside", F.row_number().over(inside) - 1)
     offsets = spread.groupBy("spec_id", "size", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("spec_id", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a partition
+    before = Window.partitionBy("spec_id", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return spread.join(offsets, ["spec_id", "size", "_bucket"]).withColumn("rank", (F.col("_offset") + F.col("_inside")).cast("long")).drop("_bucket", "_inside", "_offset")
 
@@ -114,3 +116,11 @@ def use(packed: DataFrame, specs: DataFrame) -> DataFrame:
     filled = packed.groupBy("spec_id", "container_no").agg(F.count("*").alias("n_pieces"), F.sum("tokens").alias("used_tokens"))
     capacity = specs.select(F.col("spec_id").cast("long").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("_c")).distinct()
     return filled.join(capacity, "spec_id").select("spec_id", "container_no", "n_pieces", "used_tokens", (F.col("_c") - F.col("used_tokens")).alias("free_tokens"))
+
+
+def fill(used: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec_id, capacity_tokens, containers, pieces, tokens, fill, fewest): how full the containers of :func:`use` are; ``fewest`` is what the tokens need at least."""
+    capacity = specs.select(F.col("spec_id").cast("long").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity_tokens")).distinct()
+    told = used.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("n_pieces").alias("pieces"), F.sum("used_tokens").alias("tokens"))
+    share = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
+    return told.join(capacity, "spec_id").select("spec_id", "capacity_tokens", "containers", "pieces", "tokens", share.alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"))

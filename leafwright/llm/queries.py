@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafwright.llm import encoding, furniture, mixing, packing, repetition, residue, sitelines
 from leafwright.llm.tokencount import count_tokens
 from leafwright.session import cut
-from leafwright.sources.tables import table
+from leafwright.sources.tables import some_files, table
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,16 +17,30 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "mini_gold", "id", "site", "title", "content_text").withColumn("site", site)
 
 
+def _encodings(spark: SparkSession, folder: str) -> encoding.Model:
+    """The model of wrong encodings, fitted on a sample of at most 64 files."""
+    return encoding.fit(some_files(spark, folder, "mini_gold", "content_text"), "content_text")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose text holds residue, filler, an error message or a notice, and no article."""
-    pages = _pages(spark, folder)
-    return residue.residue_pages(pages, "id", "content_text", "site", encoding.fit(pages, "content_text"))
+    return residue.residue_pages(_pages(spark, folder), "id", "content_text", "site", _encodings(spark, folder))
+
+
+def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and lengths of the pages that stay."""
+    kept = residue.exclude_residue(_pages(spark, folder), "id", "content_text", "site", _encodings(spark, folder))
+    return kept.select("id", F.length("content_text").alias("n_characters")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Non-blank lines that aren't part of the article."""
-    pages = _pages(spark, folder)
-    return furniture.furniture_lines(pages, "id", "content_text", "site", "title", encoding.fit(pages, "content_text"))
+    return furniture.furniture_lines(_pages(spark, folder), "id", "content_text", "site", "title", _encodings(spark, folder))
+
+
+def p4_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """The article alone of each page."""
+    return furniture.main_text(_pages(spark, folder), "id", "content_text", "site", "title", _encodings(spark, folder)).distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +51,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Garbled lines with the pair of encodings that garbled them and, where nothing was lost, their original wording."""
     gold = table(spark, folder, "mini_gold", "id", "content_text")
-    return encoding.garbled_lines(gold, "id", "content_text", encoding.fit(gold, "content_text"))
+    return encoding.garbled_lines(gold, "id", "content_text", _encodings(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +61,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.excess_occurrences(pages, "id", "site")
 
 
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without the lines that their site repeats too often, and how many lines were removed."""
+    gold = table(spark, folder, "mini_gold", "id", "site", "content_text", "annotated_at")
+    return sitelines.remove_excess_lines(gold, "id", "site", "content_text", "annotated_at").distinct()
+
+
 def _sizes(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text", *more).withColumn("tokens", count_tokens(F.col("text")))
 
@@ -61,6 +81,11 @@ def p7_use(spark: SparkSession, folder: str) -> DataFrame:
     return packing.use(p7_containers(spark, folder), table(spark, folder, "pack_spec"))
 
 
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each size are, and how few could hold the tokens."""
+    return packing.fill(p7_use(spark, folder), table(spark, folder, "pack_spec"))
+
+
 def p8_records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of each mix and how often each is used."""
     return mixing.mix(_sizes(spark, folder, "source"), table(spark, folder, "mix_target"))[0]
@@ -83,5 +108,5 @@ def p9_measures(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judge(table(spark, folder, "documents", "doc_id", "text"), "text").drop("text")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p7_containers": p7_containers, "p7_use": p7_use, "p8_records": p8_records, "p8_shares": p8_shares, "p9_found": p9_found, "p9_measures": p9_measures}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p4_found, p4_articles, p3_found, p3_restored, p5_found, p5_texts, p7_containers, p7_use, p7_fill, p8_records, p8_shares, p9_found, p9_measures)}
 ORACLES: dict[str, str] = {}

@@ -132,7 +132,7 @@ def residue_pages(df: DataFrame, key: str, text: str, site: str | None = None, m
     return rows.where(F.pandas_udf(judge, T.BooleanType())("_text", "_site")).select(F.col("_key").alias(key)).distinct()
 
 
-def exclude_residue(df: DataFrame, key: str, text: str, site: str | None = None) -> DataFrame:
+def exclude_residue(df: DataFrame, key: str, text: str, site: str | None = None, model: Model | None = None) -> DataFrame:
     """``df`` without the rows whose key names a residue page; rows with a null key stay."""
-    gone = residue_pages(df, key, text, site).withColumnRenamed(key, "_gone")
+    gone = residue_pages(df, key, text, site, model).withColumnRenamed(key, "_gone")
     return df.join(gone, df[key] == gone["_gone"], "left_anti")

@@ -2,10 +2,13 @@
 
 Per (source, line) the number of the source's documents that hold the line is compared with the line's
 frequency outside the source by a log-likelihood ratio. The outside frequency leaves out sources in which
-the line is itself above the repetition threshold, since furniture shared by sister sites is no background
-text. Significance is controlled for false discoveries over all tested lines. Significant lines that
-pass the repetition thresholds are excess lines; they are taken out by an anti-join on (source, line) and the rest is put
-together again by position.
+the line is itself as frequent as that, since furniture shared by sister sites is no background
+text; a line that all sources repeat is compared with the mean frequency of the corpus's lines. False discoveries are controlled over all
+lines of all sources, whether they pass the repetition thresholds or not. Significant lines that pass the thresholds are excess lines.
+
+A line that stands on a tenth of a source's documents is one of few: a source has at most ten times as many of them as its
+documents have lines on average. So each source's excess lines are one short set, which is joined to the documents by source;
+the anti-join against it and the putting together by position happen inside the row, and no text is moved.
 """
 
 from __future__ import annotations
@@ -14,16 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.lines import same_lines
-from leafwright.session import broadcast_if_small, cut
+from leafwright.session import cut, lookup
 
 #: A line is repeated excessively if it stands on at least so many documents and such a share of its source's documents.
 MIN_DOCUMENTS, MIN_SHARE = 4, 0.10
 #: Expected share of lines wrongly called significant.
 FALSE_DISCOVERIES = 0.05
-#: Excess lines up to this many are broadcast (two longs each), more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-#: Documents without the line that the background of every line is given, with half an occurrence, so that a line that all sources repeat has one.
-PRIOR_DOCUMENTS = 500
+#: Sets of excess lines of up to so many sources are broadcast, more are joined by source and salt.
+BROADCAST_SOURCES = 20_000
+#: Occurrences outside that a line without any is given.
+UNSEEN = 0.5
 #: Bins of the test statistic for the step-up procedure; width of a bin.
 BINS, BIN_WIDTH = 4000, 0.25
 
@@ -51,51 +54,61 @@ def excess_lines(pages: DataFrame, source: str, min_documents: int = MIN_DOCUMEN
     ``pages`` is what :func:`line_hashes` gives. Counting is pre-aggregated on the map side, so a line on every page of
     a hot source moves as one row per task. An empty table gives no rows.
     """
-    size = pages.groupBy(source).agg(F.count("*").alias("n"))
+    size = pages.groupBy(source).agg(F.count("*").alias("n"))  # a row a source
     line = F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull())))
-    lines = pages.select(source, line.alias("hash"))
-    counts = cut(lines.groupBy(source, "hash").agg(F.count("*").alias("k")).where(F.col("k") >= min_documents).join(size, source))
-    repeated = F.col("k") >= min_share * F.col("n")
-    asked = broadcast_if_small(counts.where(repeated).select("hash").distinct(), BROADCAST_ROWS)
-    everywhere = lines.join(asked, "hash", "left_semi").groupBy(source, "hash").agg(F.count("*").alias("k")).join(size, source)
-    held = repeated & (F.col("k") >= min_documents)
-    background = everywhere.groupBy("hash").agg(F.sum(F.when(~held, F.col("k"))).alias("k_else"), F.sum(F.when(held, F.col("n"))).alias("n_repeated"))
+    counts = cut(pages.select(source, line.alias("hash")).groupBy(source, "hash").agg(F.count("*").alias("k")))
+    each = lookup(counts, size, [source], BROADCAST_SOURCES, ["hash"])
+    sister = F.col("k") >= min_share * F.col("n")
+    held = sister & (F.col("k") >= min_documents)
     total = size.agg(F.sum("n").alias("n_all"))
-    tested = counts.where(repeated).join(background, "hash").join(F.broadcast(total), F.lit(True))
+    mean = each.agg(F.count("*").alias("m"), F.avg(F.col("k") / F.col("n")).alias("mean"))
+    # what is outside a line's sources only matters for lines that stand on two documents of a source; moved by line, counts are at most a row a source
+    outside = each.groupBy("hash").agg(F.sum(F.when(~sister, F.col("k"))).alias("k_else"), F.sum(F.when(sister, F.col("n"))).alias("n_held"), F.max("k").alias("_most"), F.collect_list(F.when(F.col("k") >= 2, F.struct(F.col(source), "k", "n"))).alias("_in")).where("_most >= 2")
+    tested = outside.select("hash", "k_else", "n_held", F.explode("_in").alias("_r")).select("hash", "k_else", "n_held", "_r.*").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mean))  # a row each
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
-    n_out = F.greatest(F.col("n_all") - F.col("n_repeated"), F.lit(0)).cast("double") + PRIOR_DOCUMENTS
-    k_out = F.least(F.coalesce(F.col("k_else"), F.lit(0)).cast("double") + 0.5, n_out)
-    llr = 2 * (_entropy(k, n - k, k_out, n_out - k_out) + _entropy(n + n_out) - _entropy(n, n_out) - _entropy(k + k_out, n + n_out - k - k_out))
-    tested = tested.withColumn("llr", F.when(k / n > k_out / n_out, llr).otherwise(0.0))
-    # Benjamini-Hochberg over all lines that pass the thresholds. p is bounded from above by exp(-llr / 2); ranks come from a histogram of bounded size.
-    binned = tested.withColumn("_bin", F.least(F.floor(F.col("llr") / BIN_WIDTH), F.lit(BINS)).cast("int"))
-    histogram = binned.groupBy("_bin").agg(F.count("*").alias("c"))
-    hypotheses = tested.agg(F.count("*").alias("m"))
-    bins = histogram.agg(F.collect_list(F.struct("_bin", "c")).alias("h")).join(F.broadcast(hypotheses), F.lit(True))  # BINS + 1 entries at most
+    own = F.when(sister, F.lit(0)).otherwise(F.col("k"))  # a line below the threshold is part of its own sum
+    n_out = F.greatest(F.col("n_all") - F.coalesce(F.col("n_held"), F.lit(0)) - F.when(sister, F.lit(0)).otherwise(F.col("n")), F.lit(0)).cast("double")
+    k_out = F.least(F.greatest(F.coalesce(F.col("k_else"), F.lit(0)) - own, F.lit(UNSEEN)).cast("double"), n_out)
+    against = 2 * (_entropy(k, n - k, k_out, n_out - k_out) + _entropy(n + n_out) - _entropy(n, n_out) - _entropy(k + k_out, n + n_out - k - k_out))
+    rate = F.col("mean")
+    alone = 2 * (F.when(k > 0, k * F.log(k / n / rate)).otherwise(0.0) + F.when(n > k, (n - k) * F.log((1 - k / n) / (1 - rate))).otherwise(0.0))
+    llr = F.when(n_out > 0, F.when(k / n > k_out / n_out, against)).otherwise(F.when((k / n > rate) & (rate < 1), alone))
+    tested = cut(tested.select(source, "hash", "k", "n", "m", F.coalesce(llr, F.lit(0.0)).alias("llr"), F.least(F.floor(F.coalesce(llr, F.lit(0.0)) / BIN_WIDTH), F.lit(BINS)).cast("int").alias("_bin")))
+    # Benjamini-Hochberg over all lines of all sources. p is bounded from above by exp(-llr / 2); ranks come from a histogram of bounded size.
+    bins = tested.groupBy("_bin").agg(F.count("*").alias("c"), F.max("m").alias("m")).agg(F.collect_list(F.struct("_bin", "c")).alias("h"), F.max("m").alias("m"))  # BINS + 1 entries at most
     at_least = lambda b: F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["_bin"] >= b, x["c"]).otherwise(0))
     passing = F.filter("h", lambda x: F.exp(-x["_bin"] * BIN_WIDTH / 2) * F.col("m") <= q * at_least(x["_bin"]))
     cutoff = bins.select(F.array_min(F.transform(passing, lambda x: x["_bin"])).alias("_least"))
-    found = binned.join(F.broadcast(cutoff), F.col("_bin") >= F.col("_least"))
+    found = tested.where(held).join(F.broadcast(cutoff), F.col("_bin") >= F.col("_least"))  # one row
     return found.select(source, "hash", F.col("k").alias("documents"), (F.col("k") / F.col("n")).alias("share"), "llr")
 
 
+def _with_excess(pages: DataFrame, excess: DataFrame, source: str, spread: str) -> DataFrame:
+    """``pages`` with ``_gone``, the set of their source's excess lines; null where there is none."""
+    sets = excess.groupBy(source).agg(F.collect_set("hash").alias("_gone"))
+    return lookup(pages, sets, [source], BROADCAST_SOURCES, [spread], "left")
+
+
 def excess_occurrences(pages: DataFrame, key: str, source: str, **limits: float) -> DataFrame:
     """(``key``, ``line_no``): every occurrence of an excess line; lines are counted from 1."""
-    excess = broadcast_if_small(excess_lines(pages, source, **limits).select(source, "hash"), BROADCAST_ROWS)
-    lines = pages.select(key, source, F.posexplode("hashes").alias("_at", "hash")).where(F.col("hash").isNotNull())
-    return lines.join(excess, [source, "hash"], "left_semi").select(key, (F.col("_at") + 1).cast("int").alias("line_no"))
+    rows = _with_excess(pages, excess_lines(pages, source, **limits), source, key).where(F.col("_gone").isNotNull())
+    places = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("_gone", h), i + 1)), lambda x: x.isNotNull())
+    return rows.select(key, F.explode(places).alias("line_no"))
 
 
 def remove_excess_lines(df: DataFrame, key: str, source: str, text: str, latest: str | None = None, **limits: float) -> DataFrame:
-    """(``key``, ``source``, ``text``, ``removed``): texts without the excess lines of their source.
+    """(``key``, ``source``, ``text``, ``removed``): texts without the excess lines of their source, one row per row of ``df``.
 
-    One row per distinct key. Texts of a null source and null texts come back as they are. A text of which all lines
-    are removed becomes empty. Lines are taken out by an anti-join and put together again by position.
+    What repeats is counted over distinct keys, as in :func:`line_hashes`. Texts of a null source and null texts come back as
+    they are. A text of which all lines are removed becomes empty. Other columns are ignored.
     """
-    base = df.select(F.col(key).alias(key), F.col(source).alias(source), F.col(text).alias(text), (F.col(latest) if latest else F.lit(0)).alias("_at"))
-    one = base.groupBy(key).agg(F.max(F.struct("_at", source, text)).alias("_row")).select(key, F.col(f"_row.{source}").alias(source), F.col(f"_row.{text}").alias(text))
     pages = cut(line_hashes(df, key, source, text, latest))
-    gone = excess_occurrences(pages, key, source, **limits).groupBy(key).agg(F.collect_set("line_no").alias("_gone"))
-    both = one.join(gone, key, "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i + 1))
-    return both.select(key, source, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text), F.coalesce(F.size("_gone"), F.lit(0)).alias("removed"))
+    rows = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
+    sets = excess_lines(pages, source, **limits).select(F.col(source).alias("_source"), "hash")
+    rows = _with_excess(rows, sets, "_source", "_text")
+    hashes = F.transform(same_lines(F.when(F.col("_gone").isNotNull(), F.col("_text"))), lambda s: F.when(s.isNotNull(), F.xxhash64(s)))
+    rows = rows.withColumn("_hashes", hashes)
+    kept = F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("_gone", F.get("_hashes", i)), F.lit(False)))
+    rows = rows.withColumn("_kept", F.when(F.col("_hashes").isNotNull(), kept))
+    removed = F.coalesce(F.size("_hashes") - F.size("_kept"), F.lit(0))
+    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(text), removed.alias("removed"))

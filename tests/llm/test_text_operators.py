@@ -39,7 +39,9 @@ def test_site_lines_match_brute_force(spark):
     df = spark.createDataFrame(rows, "id string, site string, content string").selectExpr("*", "1 AS hash", "2 AS _row")
     pages = sitelines.line_hashes(df, "id", "site", "content")
     assert {(x.id, x.line_no) for x in sitelines.excess_occurrences(pages, "id", "site").collect()} == _brute(rows)
-    kept = {x.id: x for x in sitelines.remove_excess_lines(df, "id", "site", "content").collect()}
+    removed = sitelines.remove_excess_lines(df, "id", "site", "content").collect()
+    kept = {x.id: x for x in removed}
+    assert len(removed) == len(rows) and kept["empty"].content == "" and kept[None].content == ""
     for i, _, t in rows:
         if i and t and kept[i].site:
             gone = {j for k, j in _brute(rows) if k == i}
@@ -47,6 +49,18 @@ def test_site_lines_match_brute_force(spark):
     assert sitelines.excess_occurrences(sitelines.line_hashes(df.limit(0), "id", "site", "content"), "id", "site").count() == 0
 
 
+def test_lines_as_frequent_elsewhere_are_no_excess(spark):
+    r = random.Random(9)
+    page = lambda i, *more: "\n".join([f"own text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of page {chr(97 + i % 7)}", *more])
+    rows = [(f"a{i}", "a", page(i, *(["Follow us"] if i < 4 else []), *(["Terms"] if i < 30 else []))) for i in range(40)]
+    rows += [(f"b{i}", f"b{i % 5}", page(r.randrange(600), *(["Follow us"] if i % 12 == 0 else []))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, site string, content string")
+    pages = sitelines.line_hashes(df, "id", "site", "content")
+    found = {(x.id, x.line_no) for x in sitelines.excess_occurrences(pages, "id", "site").collect()}
+    assert {i for i, _ in found} == {f"a{i}" for i in range(30)} and ("a0", 2) not in found and ("a0", 3) in found  # 4 of 40 is a tenth, but other sites have it on a twelfth
+    assert sitelines.excess_lines(pages, "site", q=1e9).count() > sitelines.excess_lines(pages, "site").count()
+
+
 # --- repetition
 def _share(text, n):
     words = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
