@@ -49,6 +49,8 @@ USUAL = -11.0
 #: and what more outside the words of labelled spans; what a kept character costs inside a labelled span.
 MARGIN, CHANGE, WITHIN, APART, KEEP = 3.0, 1.5, 6.0, 9.0, 2.0
 WEIGHTS = (0.80, 0.17, 0.03)  # bigram, character, block
+#: Positions whose paths are searched side by side.
+PATH_POSITIONS = 20_000
 #: Characters of a batch that are labelled at once.
 BATCH_CHARACTERS = 150_000
 
@@ -293,13 +295,14 @@ class Model:
         scores = self.emissions(before[at[picked]], now[at[picked]])
         ends = np.cumsum(lengths[possible])
         enough = -np.log(DIRTY / (len(STATES) - 1))
+        worth: list[tuple[int, int, np.ndarray]] = []
         for s, n, end in zip(starts[possible], lengths[possible], ends):
             own = scores[end - n : end]
             sums = np.vstack([np.zeros(len(STATES), dtype=np.float32), np.cumsum(own - own[:, :1], axis=0)])
-            if (sums - np.minimum.accumulate(sums, axis=0)).max() <= enough:  # no span in one state pays for entering it
-                continue
-            path = self._viterbi(own)
-            if not any(path):
+            if (sums - np.minimum.accumulate(sums, axis=0)).max() > enough:  # else no span in one state pays for entering it
+                worth.append((s, n, own))
+        for (s, n, _), path in zip(worth, self._paths([own for _, _, own in worth])):
+            if not path.any():
                 continue
             line = int(line_of[s])
             spans: list[tuple[int, int, int]] = []
@@ -352,12 +355,12 @@ class Model:
         found = self.verdict(line, spans)
         if found is None or found[1]:
             return found and found[1]
-        best, rough = self.mean(line) + 1.0, ""
+        best, rough, least = self.mean(line) + 1.0, "", sum(c > "\x7f" for c in line) / 6  # letters that must be left of those garbled
         for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *STATES[1:-1]]):
             if state != "lost" and not state.startswith("utf-8 twice"):
                 written, read = state.split(">")
                 text = line.replace("�", "").encode(read, "ignore").decode(written, "ignore")
-                if text and len(text) >= len(line) / 4 and self.mean(text) > best:
+                if sum(c > "\x7f" and c.isalpha() for c in text) >= least and len(text) >= len(line) / 4 and self.mean(text) > best:
                     best, rough = self.mean(text), text
         return rough
 
@@ -500,48 +503,64 @@ class Model:
         return int(self._feeds[line]) + 1
 
     @staticmethod
-    def _viterbi(scores: np.ndarray) -> list[int]:
-        """The likeliest path through all states. From one pair to another it is as far as by way of clean text."""
+    def _paths(scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest path of each line through all states. From one pair to another it is as far as by way of clean text.
+
+        Lines of like length go side by side, the shorter ones followed by positions that tell nothing.
+        """
+        paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
         stay, back, out = np.log1p(-LEAVE), np.log(LEAVE), np.log(LEAVE / (len(STATES) - 1))
-        rows = scores.astype(np.float64)
-        value = rows[0] + np.log(DIRTY / (len(STATES) - 1))
-        value[0] = rows[0, 0] + np.log1p(-DIRTY)
-        stays, to_clean, to_dirty = np.empty(rows.shape, dtype=bool), [0] * len(rows), [0] * len(rows)
-        for i in range(1, len(rows)):
-            to_clean[i] = top = int(value[1:].argmax()) + 1
-            clean = value[top] + back
-            to_dirty[i] = 0 if value[0] >= clean else top
-            jump = max(value[0], clean) + out
-            value += stay
-            np.greater_equal(value, jump, out=stays[i])
-            stays[i, 0] = value[0] >= clean
-            first = max(value[0], clean)
-            np.maximum(value, jump, out=value)
-            value[0] = first
-            value += rows[i]
-        path = [int(value.argmax())]
-        for i in range(len(rows) - 1, 0, -1):
-            k = path[-1]
-            path.append(k if stays[i, k] else to_dirty[i] if k else to_clean[i])
-        return path[::-1]
-
-
-def sample(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST) -> list[str]:
-    """At most ``pages`` distinct texts, picked by hash, until they hold ``characters`` characters.
+        while order:
+            longest = len(scores[order[-1]])
+            together = [i for i in order[-max(1, PATH_POSITIONS // longest) :] if len(scores[i]) * 2 >= longest]
+            order = order[: -len(together)]
+            rows = np.zeros((longest, len(together), len(STATES)))
+            for j, i in enumerate(together):
+                rows[: len(scores[i]), j] = scores[i]
+            value = rows[0] + np.log(DIRTY / (len(STATES) - 1))
+            value[:, 0] = rows[0, :, 0] + np.log1p(-DIRTY)
+            stays = np.empty(rows.shape, dtype=bool)
+            to_clean, to_dirty = np.zeros((longest, len(together)), dtype=np.int64), np.zeros((longest, len(together)), dtype=np.int64)
+            each = np.arange(len(together))
+            for t in range(1, longest):
+                top = value[:, 1:].argmax(axis=1) + 1
+                clean, kept = value[each, top] + back, value[:, 0]
+                to_clean[t], to_dirty[t] = top, np.where(kept >= clean, 0, top)
+                jump = (np.maximum(kept, clean) + out)[:, None]
+                stayed = value + stay
+                np.greater_equal(stayed, jump, out=stays[t])
+                stays[t, :, 0] = stayed[:, 0] >= clean
+                first = np.maximum(stayed[:, 0], clean)
+                np.maximum(stayed, jump, out=value)
+                value[:, 0] = first
+                value += rows[t]
+            path = np.empty((longest, len(together)), dtype=np.int64)
+            path[-1] = value.argmax(axis=1)
+            for t in range(longest - 1, 0, -1):
+                k = path[t]
+                path[t - 1] = np.where(stays[t, each, k], k, np.where(k > 0, to_dirty[t], to_clean[t]))
+            for j, i in enumerate(together):
+                paths[i] = path[: len(scores[i]), j]
+        return paths
+
+
+def sample(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST, source: str | None = None) -> list:
+    """At most ``pages`` distinct texts, picked by hash, until they hold ``characters`` characters; with ``source``, pairs of a text and that column.
 
     Texts of more than ``longest`` characters aren't drawn, so what reaches the driver is bounded whatever the data. A text that
     stands on many pages is drawn once. ``df`` may be part of the corpus, such as some of its files.
     """
-    rows = df.select(F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= longest)).withColumn("h", F.xxhash64("t"))
+    rows = df.select(F.col(text).alias("t"), (F.col(source) if source else F.lit(None).cast("string")).alias("s")).where((F.length("t") > 0) & (F.length("t") <= longest)).withColumn("h", F.xxhash64("t"))
     share = min(1.0, 2 * pages / max(df.count(), 1))  # twice as many as are wanted pass the hash, so that sorting them is bounded, too
     while True:
-        picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(pages)
-        drawn: list[str] = []
+        picked = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).groupBy("h").agg(F.min(F.struct("t", "s")).alias("r")).orderBy("h").limit(pages).select("r.*")
+        drawn: list = []
         left = characters
         for row in picked.toLocalIterator():
             if left <= 0:
                 break
-            drawn.append(row.t)
+            drawn.append((row.t, row.s) if source else row.t)
             left -= len(row.t)
         if left <= 0 or len(drawn) >= pages or share >= 1.0:
             return drawn

@@ -10,7 +10,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import lru_cache
 
 # One exemplar a line, as publishers word them.
 FURNITURE = """
@@ -329,19 +328,242 @@ aqui entra o texto (#)
 稿件占位,勿发 #
 """.strip().split("\n")
 
-# Syllables of mock Latin, keys under resting hands, and other strings that only fill space.
-MOCK_LATIN = "lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|lor|rem|ip|sum|do|sit|am|et|con|sec|te|tur|ad|i|pis|ci|el|it|sed|nun|gu|la|li|qua|vel"
-FILLER = "text|test|sample|foo|bar|baz|bla|dummy|asdf|jkl|qwertz|qwerty|qwer|dfgh|hjk|zxcv|x{2,}|tk|blah|某某某|正文内容|此处填写|占位|示例|测试"
+# Notices and errors as servers, browsers, security services and publishing systems word them.
+RESIDUE_GENERAL = """
+your browser does not support javascript.
+please enable javascript to view this page.
+please enable javascript and cookies to continue.
+this website requires javascript to be enabled in order to work properly.
+javascript must be enabled to use this site.
+you have javascript disabled in your browser settings.
+to continue, turn on scripts and reload this page.
+this site needs cookies; please allow cookies and try again.
+your browser is not supported. please update to a newer version.
+the page you requested could not be located on our server.
+sorry, the page you are looking for does not exist or has been removed.
+the page cannot be displayed because an error occurred on the server.
+we could not find the content you requested.
+this article is no longer available.
+page not found
+not found. the requested resource could not be found on this server.
+you do not have permission to access this resource on this server.
+access to this page has been denied.
+you have been blocked from this site.
+your request was blocked by our security service.
+http error #. the upstream server failed to respond in time.
+gateway timeout: the server did not receive a timely response.
+the server is temporarily unable to service your request due to maintenance downtime or capacity problems.
+we are down for maintenance and will be back shortly.
+this site is under construction. please come back later.
+an unexpected error has occurred. please try again later.
+an error occurred while processing your request.
+the server encountered an internal error and was unable to complete your request.
+error establishing a database connection
+your connection timed out. check the address and try again.
+your session has timed out. please log in again.
+you must be logged in to view this content.
+you have exceeded the rate limit. slow down and try again later.
+please complete the security check to access this site.
+please solve the captcha to prove that you are human.
+we need to verify that you are not a robot before you proceed.
+our systems have detected unusual traffic from your computer network.
+this process is automatic. your browser will redirect to your requested content shortly.
+you are being redirected. click here if you are not redirected within # seconds.
+please wait while the page is loading.
+this content is blocked in your region for legal reasons.
+this is the default page of the web server. if you can read this page, it works.
+welcome to your new site. this is your first post. edit or delete it, then start writing.
+just another website. replace this text with your own content.
+the text of this section goes here. add your description.
+sample page: this is an example of a page with placeholder text.
+image caption goes here. add a title and author name.
+this domain is for sale or parked. contact the owner.
+index of / parent directory last modified size description
+uncaught exception in line # of file. stack trace follows.
+notice: undefined variable in template on line #
+syntax error: unexpected end of input
+null pointer exception at render
+ihr browser unterstützt kein javascript.
+bitte aktivieren sie javascript in ihrem browser, um diese seite zu sehen.
+die angeforderte seite konnte auf dem server nicht gefunden werden.
+zugriff verweigert. sie haben keine berechtigung, diese seite zu sehen.
+es ist ein fehler aufgetreten. bitte versuchen sie es später erneut.
+die seite wird gerade gewartet und ist in kürze wieder da.
+bitte warten, die seite wird geladen.
+zu viele anfragen. bitte warten sie einen moment.
+bitte melden sie sich an, um diesen inhalt zu sehen.
+dies ist ein platzhalter. fügen sie hier ihren text ein.
+votre navigateur ne prend pas en charge javascript.
+veuillez activer javascript dans votre navigateur pour afficher cette page.
+la page que vous cherchez est introuvable ou a été supprimée.
+vous n’avez pas l’autorisation d’accéder à cette page.
+une erreur est survenue sur le serveur. veuillez réessayer plus tard.
+le site est en maintenance et sera de retour bientôt.
+veuillez patienter pendant le chargement de la page.
+votre session a expiré. veuillez vous reconnecter.
+insérez votre texte ici. texte provisoire
+su navegador no admite javascript.
+active javascript en su navegador para ver esta página.
+la página que busca no existe o ha sido eliminada.
+no tiene permiso para acceder a esta página.
+se ha producido un error en el servidor. inténtelo de nuevo más tarde.
+el sitio está en mantenimiento y volverá pronto.
+espere mientras se carga la página.
+escriba aquí su texto. texto provisional
+seu navegador não suporta javascript.
+ative o javascript no navegador para ver esta página.
+a página que você procura não existe ou foi removida.
+você não tem permissão para acessar esta página.
+ocorreu um erro no servidor. tente novamente mais tarde.
+o site está em manutenção e voltará em breve.
+aguarde enquanto a página carrega.
+insira aqui o seu texto. texto provisório
+ваш браузер не поддерживает javascript.
+включите javascript в браузере, чтобы открыть эту страницу.
+запрошенная страница не существует или была удалена.
+у вас нет прав для доступа к этой странице.
+на сервере произошла ошибка. повторите попытку позже.
+сайт закрыт на обслуживание и скоро вернётся.
+подождите, страница загружается.
+введите здесь свой текст. временный текст
+您的浏览器不支持javascript,请启用后重试。
+请在浏览器中启用javascript以查看此页面。
+您访问的页面不存在,可能已被删除或移动。
+您没有权限访问该页面。
+服务器发生错误,请稍后重试。
+网站正在维护中,请稍后再来。
+页面正在加载,请稍候。
+您的会话已过期,请重新登录。
+请在此处输入正文内容,此为占位文字。
+""".strip().split("\n")
+
+# Furniture as publishers of all kinds word it.
+FURNITURE_GENERAL = """
+we use cookies and similar technologies to improve your experience.
+we use cookies to personalise content and ads, to provide social media features and to analyse our traffic.
+by clicking accept you agree to the storing of cookies on your device to enhance site navigation and analyse site usage.
+by continuing to use this site you consent to our use of cookies as described in our privacy policy.
+you can change your cookie settings or withdraw your consent at any time.
+sign in to leave a comment on this story.
+log in or create a free account to comment.
+subscribe to our newsletter to receive the best stories every week.
+sign up for our daily newsletter and never miss a story.
+enter your email address to get the latest news in your inbox.
+already a subscriber? log in to continue reading.
+become a member to support our journalism.
+share this article on social media.
+follow us on social networks and download our app.
+click here to read more related articles.
+this material may not be published, broadcast, rewritten or redistributed without permission.
+all rights reserved. reproduction in whole or in part is prohibited.
+contact us about us careers advertise with us help accessibility sitemap
+skip to main content
+back to top
+report an error in this article
+do you have a tip? write to our newsroom.
+comments are moderated and may take a while to appear.
+wir verwenden cookies, um inhalte und anzeigen zu personalisieren und zugriffe zu analysieren.
+mit der weiteren nutzung dieser seite stimmen sie der verwendung von cookies zu.
+melden sie sich an, um einen kommentar zu schreiben.
+abonnieren sie unseren newsletter und erhalten sie die besten geschichten der woche.
+folgen sie uns in den sozialen netzwerken.
+nous utilisons des cookies pour personnaliser le contenu et analyser le trafic.
+en poursuivant votre navigation, vous acceptez l’utilisation de cookies.
+connectez-vous pour laisser un commentaire.
+abonnez-vous à notre lettre d’information pour recevoir les meilleurs articles.
+suivez-nous sur les réseaux sociaux.
+utilizamos cookies para personalizar el contenido y analizar el tráfico.
+al continuar navegando, acepta el uso de cookies.
+inicie sesión para dejar un comentario.
+suscríbase a nuestro boletín para recibir las mejores historias.
+síganos en las redes sociales.
+usamos cookies para personalizar o conteúdo e analisar o tráfego.
+ao continuar a navegar, você aceita o uso de cookies.
+faça login para deixar um comentário.
+assine a nossa newsletter para receber as melhores histórias.
+siga-nos nas redes sociais.
+мы используем файлы cookie, чтобы улучшить работу сайта и анализировать трафик.
+продолжая пользоваться сайтом, вы соглашаетесь с использованием файлов cookie.
+войдите, чтобы оставить комментарий.
+подпишитесь на нашу рассылку, чтобы получать лучшие материалы.
+подписывайтесь на нас в социальных сетях.
+我们使用cookie来改善您的体验并分析流量。
+继续使用本网站即表示您同意我们使用cookie。
+登录后即可发表评论。
+订阅我们的邮件,每周接收精选内容。
+关注我们的社交媒体账号。
+""".strip().split("\n")
+
+# Text that only fills space. Any of its words fill space, in any number and order.
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+text test sample dummy placeholder foo bar baz qux bla blah
+asdf jkl qwer qwerty qwertz zxcv hjkl dfgh hjk fghj uiop xxx xx xxxx
+tk tktk tbd
+""".strip().split("\n")
+# Words that fill space in a script without blanks; they are joined to each other in every way.
+HAN_FILLER = "某某某|正文内容|此处填写|占位|示例|测试|文字".split("|")
+#: Words on the keys of one row, for what hands leave that rest on them.
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю")
+
+
+#: Log probability of a pair of letters that a side doesn't have.
+RAREST_PAIR = -14.0
+
+
+class Fill:
+    """Log odds, a character, that words are made up of the pieces of filler rather than written: pairs of letters of mock Latin and of rows of keys against those of a corpus."""
+
+    def __init__(self, lines: list[str]):
+        pieces = " ".join(w[i:j] for w in FILLER[0].split(" ") for i in range(len(w)) for j in range(i + 2, min(i + 5, len(w)) + 1))
+        joined = " ".join(a + b for a, b in zip(pieces.split(" "), reversed(pieces.split(" "))))  # pieces in new words
+        keys = " ".join(row[i:j] for row in KEY_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1))
+        self.tables = [self._pairs([FILLER[0], pieces, joined]), self._pairs([keys])]
+        self.corpus = self._pairs(lines)
+        self.known = {w for x in lines for w in _LETTERS.findall(x)}
+        self.letters = {c for w in self.known for c in w}
+
+    @staticmethod
+    def _pairs(texts: list[str]) -> dict[str, float]:
+        counts: dict[str, float] = defaultdict(float)
+        total = 0
+        for x in texts:
+            for w in _LETTERS.findall(x):
+                w = f" {w} "
+                total += len(w) - 1
+                for i in range(len(w) - 1):
+                    counts[w[i : i + 2]] += 1
+        return {k: max(math.log(v / total), RAREST_PAIR) for k, v in counts.items()}
+
+    def odds(self, masked: str) -> float:
+        """The larger of both kinds, over words that the corpus doesn't have; at most 0 if these are fewer than half. Pairs that neither side has tell nothing."""
+        words = _LETTERS.findall(masked)
+        new = [w for w in words if w not in self.known]
+        letters = "".join(new)
+        if len(new) < 4 or 2 * len(new) < len(words) or sum(c not in self.letters for c in letters) > 0.15 * len(letters):  # few new words, or a script that the corpus doesn't have
+            return 0.0
+        best, none = -math.inf, RAREST_PAIR
+        for table in self.tables:
+            total = n = 0.0
+            for w in new:
+                w = f" {w} "
+                for i in range(len(w) - 1):
+                    a, b = table.get(w[i : i + 2], none), self.corpus.get(w[i : i + 2], none)
+                    total += a - b
+                    n += 1
+            best = max(best, total / n)
+        return best
 
+
+# A template's slots.
 _SLOT = re.compile(
     r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|[#$]?\{[^\s{}][^{}\n]{0,60}\}|%%[^%\n]+%%|##[^#\n]+##|@[A-Za-z_][\w.|]*@|<%[^%>\n]*%>|</?[A-Za-z_][\w.| ]*>|\[%[^%\]\n]*%\]"
     r"|\[\[(?!IMG_\d+\]\])[^\[\]\n]*\]\]|(?<!\[)\[(?!object [Oo]bject\])[A-Za-z_][\w.| ]*\](?!\])|\$[A-Z_]{3,}\b|__[A-Za-z][\w.|]*?__|【这里[^】]*】"
 )
 _QUOTED_SLOT = re.compile(r"«(?:[A-Za-z]+[_.|][\w.|]*|[a-z]+_\w+|insert text here|amount|body|caption|city|date|headline|kicker|name|place|quote|section|summary|title|author|lead)»", re.I)
 _DIGITS = re.compile(r"\d+")
-_WORD = re.compile(r"⟨slot⟩|⟨latin⟩|⟨filler⟩|[^\W\d_]+|[#@©]")
-_LATIN = re.compile(rf"(?:{MOCK_LATIN})+", re.I)
-_FILL = re.compile(rf"(?:{FILLER})+")
+_WORD = re.compile(r"⟨slot⟩|[^\W\d_]+|[#@©]")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
 _HAN = re.compile(r"[㐀-鿿]+")
 
 
@@ -357,28 +579,19 @@ def mask(line: str, site: str | None) -> str:
 
 
 def tokens(masked: str) -> list[str]:
+    """Words, and pairs of Han characters."""
+    found = _WORD.findall(masked)
+    if masked.isascii():
+        return found
     out: list[str] = []
-    for w in _WORD.findall(masked):
-        if _HAN.match(w):
-            if _FILL.fullmatch(w):
-                out += ["⟨filler⟩"] * (len(w) // 2)
-            else:
-                out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+    for w in found:
+        if "㐀" <= w[0] <= "鿿":
+            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
         else:
-            out.append("⟨filler⟩" if _is_filler(w) else w)
+            out.append(w)
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _is_filler(word: str) -> bool:
-    return bool(_FILL.fullmatch(word))
-
-
-@lru_cache(maxsize=100_000)
-def is_mock_latin(word: str) -> bool:
-    return bool(_LATIN.fullmatch(word))
-
-
 _LIGHT = {"#", "@"}
 
 
@@ -389,62 +602,79 @@ class Exemplar:
     words: tuple[str, ...]
     open: bool
     first: str
+    bag: bool = False
 
 
 class Index:
-    """Inverted index from tokens to exemplars, with TF-IDF containment of a window in its best exemplar."""
+    """Inverted index from tokens to exemplars, with TF-IDF containment of a window in its best exemplars.
 
-    def __init__(self, labelled: dict[str, list[str]], floor: float = 0.6):
+    ``frequent`` are the inverse document frequencies of a corpus's frequent words, and ``rare`` what all others have; without
+    them the exemplars' own are taken. ``bags`` are exemplars of which a window may use any words, as often as it likes.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], floor: float = 0.6, bags: dict[str, list[str]] | None = None, frequent: dict[str, float] | None = None, rare: float | None = None):
         self.floor = floor
         self.exemplars = [
             Exemplar(label, x, tuple(w for w in tokens(mask(x.replace("…", " "), None)) if "…" not in x or len(w) > 1 or not _HAN.match(w)), "…" in x, next(iter(tokens(mask(x.split("…")[0], None))), "")) for label, texts in labelled.items() for x in texts
-        ]
+        ] + [Exemplar(label, x, tuple(tokens(mask(x, None))), False, "", True) for label, texts in (bags or {}).items() for x in texts]
         self.postings: dict[str, list[int]] = defaultdict(list)
         self.inside = [frozenset(e.words) for e in self.exemplars]
         for i, words in enumerate(self.inside):
             for w in words - _LIGHT:
                 self.postings[w].append(i)
         n = len(self.exemplars)
-        self.idf = {w: math.log(1 + n / len(p)) for w, p in self.postings.items()}
-        self.most = math.log(1 + n)
+        own = {w: math.log(1 + n / len(p)) for w, p in self.postings.items()}
+        self.most = rare if frequent is not None and rare is not None else math.log(1 + n)
+        self.idf = own if frequent is None else {w: frequent.get(w, self.most) for w in own}
+        self.frequent = frequent or {}
         self.openings = {e.first for e in self.exemplars if e.open}
         self.mass = [sum(self.idf[w] for w in words - _LIGHT) for words in self.inside]
 
     def weight(self, word: str) -> float:
-        return self.idf.get(word, self.most) if word not in _LIGHT else 0.5
+        return 0.5 if word in _LIGHT else self.idf[word] if word in self.idf else self.frequent.get(word, self.most)
 
     def best(self, words: list[str]) -> tuple[float, str]:
-        """(containment, label) of the exemplar that holds most of the window's weight. Of an exemplar with open
-        words, its own words must all stand in the window, which must begin like it."""
+        """(containment, label) of the exemplars that hold most of the window's weight: the best single one, or the two best of one label
+        together. Of an exemplar with open words, its own words must all stand in the window, which must begin like it."""
         if not words:
             return 0.0, ""
         total = known = 0.0
+        own, rest, most = self.idf, self.frequent, self.most
         for w in words:
-            value = 0.5 if w in _LIGHT else self.idf.get(w)
+            value = 0.5 if w in _LIGHT else own.get(w)
             if value is None:
-                total += self.most
+                total += rest.get(w, most)
             else:
                 known += value
                 total += value
-        if known < self.floor * total and words[0] not in self.openings:  # no exemplar can hold enough of the window
+        if known < self.floor * total and words[0] not in self.openings:  # no exemplars can hold enough of the window
             return 0.0, ""
         shared: dict[int, float] = defaultdict(float)
         for w in set(words) - _LIGHT:
             for i in self.postings.get(w, ()):
-                shared[i] += self.idf[w]
+                shared[i] += own[w]
         found, label = 0.0, ""
+        pairs: dict[str, list[tuple[float, float, int]]] = {}
         for i, mass in shared.items():
             e = self.exemplars[i]
+            inside = self.inside[i]
             if e.open:
                 value = 1.0 if mass >= 0.999 * self.mass[i] and words[0] == e.first else 0.0
             else:
-                most = min(1.0, 0.4 + mass / self.mass[i])
-                if most < self.floor or most <= found:
+                part = 1.0 if e.bag else min(1.0, 0.4 + mass / self.mass[i])
+                if part >= self.floor:
+                    pairs.setdefault(e.label, []).append((mass, part, i))
+                if part < self.floor or part <= found:
                     continue
-                inside = self.inside[i]
-                value = sum(self.weight(w) for w in words if w in inside) / total * most
+                value = sum([self.weight(w) for w in words if w in inside]) / total * part
             if value > found:
                 found, label = value, e.label
+        for name, each in pairs.items():
+            if len(each) > 1 and found < 1.0:
+                (_, p, i), (_, q, j) = sorted(each, reverse=True)[:2]
+                value = sum([self.weight(w) for w in words if w in self.inside[i] or w in self.inside[j]]) / total * min(p, q)
+                if value > found:
+                    found, label = value, name
         return found, label
 
 
@@ -452,6 +682,13 @@ PROSE = re.compile(r"[.!?。！？…][\"”“’»）)\]]*$")
 COUNT = re.compile(r"[^\W\d_]+|[㐀-鿿]")
 
 
+SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|(?<=[。！？])[”’»）]*")
+
+
+def sentences(masked: str) -> list[str]:
+    return [x for x in (p.strip() for p in SENTENCE.split(masked)) if x]
+
+
 def is_prose(line: str) -> bool:
     """A whole sentence: enough words and a mark at its end."""
     if not PROSE.search(line):

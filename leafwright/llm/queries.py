@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from leafwright.session import cut
 from leafwright.sources.tables import some_files, table
 
 
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
+def _pages(spark: SparkSession, folder: str, source: Callable[..., DataFrame] = table) -> DataFrame:
     """id, site, title and content_text of mini_gold; a null site is taken from the id, which begins with it."""
     site = F.coalesce("site", F.nullif(F.regexp_extract("id", "^(.*)__", 1), F.lit("")))
-    return table(spark, folder, "mini_gold", "id", "site", "title", "content_text").withColumn("site", site)
+    return source(spark, folder, "mini_gold", "id", "site", "title", "content_text").withColumn("site", site)
 
 
 def _encodings(spark: SparkSession, folder: str) -> encoding.Model:
@@ -22,25 +24,30 @@ def _encodings(spark: SparkSession, folder: str) -> encoding.Model:
     return encoding.fit(some_files(spark, folder, "mini_gold", "content_text"), "content_text")
 
 
+def _fitted(spark: SparkSession, folder: str, words: bool) -> residue.Fitted:
+    """All models of pages, fitted on a sample of at most 64 files; frequencies of words over all of them if ``words``."""
+    return residue.fit(_pages(spark, folder), "content_text", "site", _pages(spark, folder, some_files), words)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose text holds residue, filler, an error message or a notice, and no article."""
-    return residue.residue_pages(_pages(spark, folder), "id", "content_text", "site", _encodings(spark, folder))
+    return residue.residue_pages(_pages(spark, folder), "id", "content_text", "site", _fitted(spark, folder, True))
 
 
 def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and lengths of the pages that stay."""
-    kept = residue.exclude_residue(_pages(spark, folder), "id", "content_text", "site", _encodings(spark, folder))
+    kept = residue.exclude_residue(_pages(spark, folder), "id", "content_text", "site", _fitted(spark, folder, True))
     return kept.select("id", F.length("content_text").alias("n_characters")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Non-blank lines that aren't part of the article."""
-    return furniture.furniture_lines(_pages(spark, folder), "id", "content_text", "site", "title", _encodings(spark, folder))
+    return furniture.furniture_lines(_pages(spark, folder), "id", "content_text", "site", "title", _fitted(spark, folder, False))
 
 
 def p4_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The article alone of each page."""
-    return furniture.main_text(_pages(spark, folder), "id", "content_text", "site", "title", _encodings(spark, folder)).distinct()
+    return furniture.main_text(_pages(spark, folder), "id", "content_text", "site", "title", _fitted(spark, folder, False)).distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

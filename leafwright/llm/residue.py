@@ -1,41 +1,102 @@
 """Template residue, filler and error-page text.
 
-Labelled exemplars of residue and of page furniture stand in an inverted index. The lines of a page are its
-passage windows: for each, exemplars that share a token are retrieved and the TF-IDF containment of the
-window in the best of them is taken. Slots, mock Latin and hammered keys are tokens of their own, so that exemplars of
-unbounded kinds are matched like the others. A page is residue if windows of high coverage by residue stand on it
+Labelled exemplars of residue and of page furniture stand in an inverted index. The passage windows of a page are its lines, the
+sentences of a line, and lines in a row that no exemplar covers alone. For each window the exemplars that share a token are
+retrieved, and the containment of its TF-IDF mass in the best of them is taken; document frequencies are those of the
+corpus. Windows that no exemplar covers are judged by a classifier that is fitted on the exemplars against lines of articles, so
+that other wordings of the same notices are known, too. A page is residue if windows of high coverage by residue stand on it
 and no window of prose is left uncovered.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.encoding import Model
-from leafwright.llm.exemplars import FURNITURE, LIST_HEADINGS, MENU, RESIDUE, SIGNATURES, Index, is_mock_latin, is_prose, mask, tokens
-
-#: Containment from which a window counts as covered; share of a window's words that filler or slots must hold.
-COVERED, FILLED, SLOTTED = 0.66, 0.6, 0.15
-#: Uncovered windows of so many characters (Han: a third) are prose even without a mark at their end.
+from leafwright.llm import linemodel
+from leafwright.llm.encoding import Model, sample
+from leafwright.llm.exemplars import FILLER, FURNITURE, FURNITURE_GENERAL, HAN_FILLER, LIST_HEADINGS, MENU, RESIDUE, RESIDUE_GENERAL, SIGNATURES, Fill, Index, is_prose, mask, sentences, tokens
+from leafwright.session import cut
+
+#: Containment from which a window counts as covered; share of a window's words that slots must be; log odds from which the classifier counts as coverage.
+COVERED, SLOTTED, LIKELY = 0.66, 0.15, -1.0
+#: Share of a window's words that the classifier must know.
+FAMILIAR = 1 / 3
+#: Log odds a character from which new words count as filler.
+FILLING = 0.25
+#: Uncovered windows of so many characters (Han: a third) read as text even without a mark at their end.
 LONG = 90
+#: Lines in a row that make up one window.
+ROW = 3
 CACHE = 200_000
+#: Words on at least one of so many documents are frequent; so their number is at most that many times the words of a document on average.
+FREQUENT = 1000
 
-_SYMBOLS = re.compile(r"(?:([^\w\s])(?:\s*\1)*\s*){5,}|(?:\S{1,3}\s+)(?:\S{1,3}\s+){3,}\S{0,3}")
 _MARKS = re.compile(r"[\W_]+")
 
 
+@dataclass
+class Fitted:
+    """What is fitted on a corpus: its wrong encodings, the classifiers of lines, filler, and its frequent words. Any may be missing."""
+
+    encodings: Model | None = None
+    residue: linemodel.LineModel | None = None
+    furniture: linemodel.LineModel | None = None
+    fill: Fill | None = None
+    frequent: dict[str, float] | None = field(default=None, repr=False)
+    rare: float | None = None
+
+
+def labelled(residue: list[str] | None = None, furniture: list[str] | None = None) -> dict[str, list[str]]:
+    return {"residue": [*RESIDUE, *RESIDUE_GENERAL] if residue is None else residue, "furniture": [*FURNITURE, *FURNITURE_GENERAL, *LIST_HEADINGS, *SIGNATURES] if furniture is None else furniture}
+
+
+def bags() -> dict[str, list[str]]:
+    return {"residue": [*FILLER, " ".join(a + b for a in HAN_FILLER for b in HAN_FILLER)]}
+
+
+def frequent_words(df: DataFrame, text: str, one_of: int = FREQUENT) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the words, and pairs of Han characters, on at least one of ``one_of`` documents, and that of all others.
+
+    All documents count. Words are reduced to distinct ones of a document and counted on the map side; what reaches the driver is bounded as
+    told at :data:`FREQUENT`.
+    """
+    low = F.lower(F.col(text))
+    words = F.regexp_extract_all(low, F.lit("[\\p{L}&&[^\\p{IsHan}]]+"), F.lit(0))
+    pairs = F.regexp_extract_all(low, F.lit("(?=(\\p{IsHan}\\p{IsHan}))"), F.lit(1))
+    n = df.where(F.length(text) > 0).count()
+    each = df.where(F.length(text) > 0).select(F.explode(F.array_distinct(F.concat(words, F.when(low.rlike("\\p{IsHan}"), pairs).otherwise(F.array().cast("array<string>"))))).alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") * one_of >= n)
+    return {r.w: math.log(1 + n / r.c) for r in counts.toLocalIterator()}, math.log(1 + max(min(n, one_of), 1))
+
+
+def fit(df: DataFrame, text: str, site: str, part: DataFrame | None = None, words: bool = True) -> Fitted:
+    """Models of a corpus with columns ``text`` and ``site``. Word frequencies are counted over all of ``df``; the rest is fitted on a bounded sample of ``part`` (some of its files), else of ``df``."""
+    drawn = sample(df if part is None else part, text, source=site)
+    lines = [x for t, _ in drawn for x in t.split("\n")]
+    frequent, rare = frequent_words(df, text) if words else (None, None)
+    out = Fitted(Model(lines), furniture=linemodel.furniture_model(drawn), frequent=frequent, rare=rare)
+    index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
+    articles = linemodel.article_lines(drawn, index, COVERED)
+    out.residue = linemodel.residue_model(articles, labelled()["residue"])
+    out.fill = Fill(articles)
+    return out
+
+
 class Judge:
     """Labels of windows, remembered by their masked wording."""
 
-    def __init__(self, model: Model | None = None) -> None:
-        self.model = model
-        self.index = Index({"residue": RESIDUE, "furniture": [*FURNITURE, *LIST_HEADINGS, *SIGNATURES]})
+    def __init__(self, fitted: Fitted | None = None, exemplars: dict[str, list[str]] | None = None) -> None:
+        self.fitted = fitted or Fitted()
+        self.model = self.fitted.encodings
+        self.index = Index(exemplars or labelled(), bags=bags(), frequent=self.fitted.frequent, rare=self.fitted.rare)
         self.menu = set(MENU)
         self.known: dict[str, str] = {}
 
@@ -50,39 +111,57 @@ class Judge:
             self.known[masked] = out
         return out
 
-    def _label(self, masked: str) -> str:
-        words = tokens(masked)
+    def _covered(self, masked: str, words: list[str]) -> str:
+        """Label of a window that its slots, exemplars or filler cover, else an empty string."""
         slots = words.count("⟨slot⟩")
-        plain = [w for w in words if w not in ("#", "@", "©")]
-        letters = [w for w in plain if w != "⟨slot⟩"]
-        if slots and (not letters or slots >= 2 and slots >= SLOTTED * len(plain) or len(letters) <= 2):
-            return "residue"
-        if plain and plain.count("⟨filler⟩") >= FILLED * len(plain):
-            return "residue"
-        if len(letters) >= 4 and sum(map(is_mock_latin, letters)) >= 0.75 * len(letters):
-            return "residue"
-        if not letters and _repeats(masked):
-            return "residue"
+        if slots:
+            plain = [w for w in words if w not in ("#", "@", "©")]
+            letters = len(plain) - slots
+            if not letters or slots >= 2 and slots >= SLOTTED * len(plain) or letters <= 2:
+                return "residue"
         containment, label = self.index.best(words)
         if containment >= COVERED:
             return label
-        if is_prose(masked):
+        return "residue" if self.fitted.fill and "�" not in masked and self.fitted.fill.odds(masked) >= FILLING else ""
+
+    def _label(self, masked: str) -> str:
+        words = tokens(masked)
+        if not any(w not in ("#", "@", "©", "⟨slot⟩") for w in words) and "⟨slot⟩" not in words and _repeats(masked):
+            return "residue"
+        if found := self._covered(masked, words):
+            return found
+        prose = is_prose(masked)
+        if prose and len(parts := sentences(masked)) > 1:  # a passage is covered if each of its sentences is
+            each = [self._covered(p, tokens(p)) or ("residue" if self._likely(p) else "") for p in parts]
+            if all(each):
+                return "residue" if "residue" in each else "furniture"
+        if (prose or len(words) > 2) and self._likely(masked):
+            return "residue"
+        if prose:
             return "prose"
         han = sum("㐀" <= c <= "鿿" for c in masked)
         if len(masked) + 2 * han >= LONG and not self._menu(masked):
             return "prose"
         return "other"
 
+    def _likely(self, masked: str) -> bool:
+        """Whether the classifier takes a window for residue, by its words and altogether; words that it doesn't know tell nothing."""
+        model = self.fitted.residue
+        if model is None or "�" in masked:  # what lost its characters has no words
+            return False
+        words = tokens(masked)
+        return model.of_words(words) >= linemodel.WORDED and model.familiar(words) >= FAMILIAR and model.score(masked, words) >= LIKELY
+
     def _menu(self, masked: str) -> bool:
         parts = [p.strip() for p in re.split(r"[|/·>]", masked)]
         return sum(p in self.menu for p in parts) >= max(2, len(parts) - 1) or sum(w in self.menu for w in masked.split()) >= 0.6 * len(masked.split())
 
     def residue(self, text: str | None, site: str | None, mend: bool = False) -> tuple[bool, str | None]:
-        """Whether a text is residue, and the window of prose that speaks against it."""
+        """Whether a text is residue, and the window of prose, or an odd window in other letters, that speaks against it or leaves it open."""
         if not text or text.isspace():
             return False, None
         name = site.replace("_", " ") if site else None
-        hit = False
+        hit, odd = False, None
         for line in sorted(text.split("\n"), key=len, reverse=True):  # the longest are the likeliest to be prose, which settles a page
             if not line or line.isspace():
                 continue
@@ -91,11 +170,28 @@ class Judge:
                 found = self.label(mask(mended, name))
             if found == "prose":
                 return False, line
+            if found == "other" and odd is None and not line.isascii():
+                odd = line
             hit = hit or found == "residue"
-        return hit, None
+        return (True, None) if hit or self._rows(text, name) else (False, odd)
+
+    def _rows(self, text: str, name: str | None) -> bool:
+        """Whether lines in a row that nothing covers alone are residue together."""
+        run: list[str] = []
+        for line in [*text.split("\n"), ""]:
+            masked = mask(line, name) if line and not line.isspace() else ""
+            if masked and self.label(masked) == "other":
+                run = [*run, masked][-ROW:]
+                for n in range(2, len(run) + 1):
+                    joined = " ".join(run[-n:])
+                    if self._covered(joined, tokens(joined)) == "residue":
+                        return True
+            else:
+                run = []
+        return False
 
     def batch(self, texts: list[str | None], sites: list[str | None]) -> list[bool]:
-        """:meth:`residue` of many texts; those settled by an odd window are judged again by their original wording."""
+        """:meth:`residue` of many texts; those settled or left open by an odd window are judged again by their original wording."""
         found = [self.residue(t, s) for t, s in zip(texts, sites)]
         if self.model:
             asked = [i for i, (_, line) in enumerate(found) if line and not line.isascii()]
@@ -114,14 +210,14 @@ def _repeats(masked: str) -> bool:
     return (len(groups) >= 4 and len(set(groups)) <= 2) or (len(masked) >= 5 and len(set(masked) - {" "}) == 1)
 
 
-def residue_pages(df: DataFrame, key: str, text: str, site: str | None = None, model: Model | None = None) -> DataFrame:
+def residue_pages(df: DataFrame, key: str, text: str, site: str | None = None, fitted: Fitted | None = None) -> DataFrame:
     """(``key``): the distinct keys of the pages whose text is residue beside furniture and headlines.
 
     Null, empty and blank texts are none. ``site`` names the column with the site, whose name in a text counts as known;
-    it may be null. With a ``model`` of encodings, garbled lines are judged by their original wording. Whole texts are read;
+    it may be null. With ``fitted`` models, garbled lines are judged by their original wording and other wordings of notices are known. Whole texts are read;
     other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(fitted)
 
     def judge(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own = Judge(shared.value)
@@ -132,7 +228,7 @@ def residue_pages(df: DataFrame, key: str, text: str, site: str | None = None, m
     return rows.where(F.pandas_udf(judge, T.BooleanType())("_text", "_site")).select(F.col("_key").alias(key)).distinct()
 
 
-def exclude_residue(df: DataFrame, key: str, text: str, site: str | None = None, model: Model | None = None) -> DataFrame:
+def exclude_residue(df: DataFrame, key: str, text: str, site: str | None = None, fitted: Fitted | None = None) -> DataFrame:
     """``df`` without the rows whose key names a residue page; rows with a null key stay."""
-    gone = residue_pages(df, key, text, site, model).withColumnRenamed(key, "_gone")
+    gone = cut(residue_pages(df, key, text, site, fitted).withColumnRenamed(key, "_gone"))
     return df.join(gone, df[key] == gone["_gone"], "left_anti")

@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import product
 
 import pytest
-from leafwright.llm import encoding, exemplars, furniture, repetition, residue, sitelines
+from leafwright.llm import encoding, exemplars, furniture, linemodel, repetition, residue, sitelines
 
 PROSE = "In Norton the hearing was rerouted in silence because the historic bakery had been repaired."
 
@@ -126,6 +126,8 @@ ARTICLES = [PROSE, f"{PROSE}\n{{{{ ad_slot_3 }}}}", "Error 404 pages were reopen
 def test_residue(spark):
     rows = [(f"r{i}", t, None) for i, t in enumerate(RESIDUE)] + [(f"a{i}", t, "ardria_post") for i, t in enumerate(ARTICLES)] + [("r0", RESIDUE[0], None), ("long", PROSE * 5000, None)]
     df = spark.createDataFrame(rows, "id string, text string, site string").selectExpr("*", "1 AS _key")
+    fitted = residue.Fitted(fill=exemplars.Fill([PROSE.lower(), *map(str.lower, CLEAN)]))
+    assert {x.id for x in residue.residue_pages(df, "id", "text", "site", fitted).collect()} == {f"r{i}" for i in range(len(RESIDUE))}
     assert {x.id for x in residue.residue_pages(df, "id", "text", "site").collect()} == {f"r{i}" for i in range(len(RESIDUE))}
     assert {x.id for x in residue.exclude_residue(df, "id", "text", "site").collect()} == {f"a{i}" for i in range(len(ARTICLES))} | {"long"}
     assert residue.residue_pages(df.limit(0), "id", "text", "site").count() == 0
@@ -133,7 +135,7 @@ def test_residue(spark):
 
 def test_every_exemplar_finds_itself():
     judge = residue.Judge()
-    for x in exemplars.RESIDUE:
+    for x in [*exemplars.RESIDUE, *exemplars.RESIDUE_GENERAL]:
         assert judge.label(exemplars.mask(x.replace("…", "xyzzy").replace("#", "7").replace("@", "ardria post"), "ardria post")) == "residue", x
 
 
@@ -171,10 +173,60 @@ Next: Why the cable weighed in public
 GONE = {1, 2, 9, 12, 13, 14, 15, 16, 17}
 
 
+def _fitted(model, spread=False):
+    """Models fitted on pages of a few sites that end in lines of their own; with ``spread``, exemplars' words are left to the classifier."""
+    r = random.Random(6)
+    own = ["Join the reading circle of {s} today", "Plant of the week: {w}", "Ask the gardener: {w}", "Printed on paper from the mill at {s}"]
+    pages = []
+    for i in range(160):
+        s = f"site_{i % 4}"
+        body = [" ".join(r.sample(PROSE[:-1].split(), 9)) + " " + r.choice("abcdefgh") * 5 + f" {i}." for _ in range(5)]
+        pages.append(("\n".join([*body, *(x.format(s=s.replace("_", " "), w=" ".join(r.sample(PROSE[:-1].split(), 3))) for x in own)]), s))
+    index = exemplars.Index(residue.labelled(), bags=residue.bags())
+    articles = linemodel.article_lines(pages, index, residue.COVERED)
+    return residue.Fitted(model, linemodel.residue_model(articles, residue.labelled()["residue"]), linemodel.furniture_model(pages), exemplars.Fill(articles))
+
+
+def test_other_wordings_of_notices(model):
+    judge = residue.Judge(_fitted(model))
+    for x in ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Your browser does not support JavaScript. Please enable it to view this page.", "This website requires JavaScript to be enabled in order to work properly.", "HTTP 502 Bad Gateway. The upstream server failed to respond in time.", "Sorry, the page you requested could not be located on our server.", "This site needs JavaScript. Turn it on in your browser and reload the page.", "Please enable\nJavaScript to\nview this page", "Loqua sitdo remtur lorvelsec ipquaqua pistur elsum doloit secad turlaci qualor"]:
+        assert judge.residue(x, None)[0], x
+    for x in [PROSE, f"{PROSE} Please enable JavaScript to view this page.", "The hearing was rerouted because an error on a page had been found.", "A"]:
+        assert not judge.residue(x, None)[0], x
+
+
+def test_lines_that_repeat_teach_furniture(model):
+    fitted = _fitted(model)
+    c = furniture.Classifier(fitted)
+    text = f"{PROSE}\n\nPlant of the week: a new oak\n{PROSE}\nAsk the gardener: what of moss\nPrinted on paper from the mill at Zanholm"
+    assert c.batch([text], ["other_site"], [None]) == [[3, 5, 6]]
+    assert furniture.Classifier(residue.Fitted(model)).batch([text], ["other_site"], [None]) != [[3, 5, 6]]
+    for x in ["We use cookies and similar technologies to improve your experience.", "Sign in to leave a comment on this story.", "Subscribe to our newsletter to receive the best stories every week."]:
+        assert c.kind(exemplars.mask(x, None))[0] == "furniture"
+    lines, labels = linemodel.label_by_repetition([("", None), ("a b c d e f g", None), *[(f"x: {i}", "s") for i in range(4)]])
+    assert lines == ["a b c d e f g", *["x: #"] * 4] and labels == [0.0, 1.0, 1.0, 1.0, 1.0]
+    assert linemodel.LineModel([], []).score("x", ["x"]) == 0.0
+
+
+def test_frequent_words(spark):
+    df = spark.createDataFrame([("The Ox 数据库",), ("the cat 数据",), ("THE the",), (None,), ("",)], "t string")
+    frequent, rare = residue.frequent_words(df, "t", 2)
+    assert set(frequent) == {"the", "数据"} and frequent["the"] < frequent["数据"] <= rare
+    assert residue.frequent_words(df.limit(0), "t")[0] == {}
+
+
+def test_fitting_on_a_corpus(spark):
+    df = spark.createDataFrame([(f"{PROSE}\nTerms {i}\nGrößere Störung {i}", "s") for i in range(30)] + [(None, None), ("", "s")], "t string, s string")
+    fitted = residue.fit(df, "t", "s")
+    assert fitted.furniture is not None and fitted.residue is not None and "the" in fitted.frequent
+    empty = residue.fit(df.limit(0), "t", "s")
+    assert residue.Judge(empty).residue(PROSE, None) == (False, PROSE)
+
+
 def test_furniture(spark, model):
     rows = [("a", PAGE, "ardria_post", "A plan for the harbour"), ("a", PAGE, "ardria_post", "A plan for the harbour"), ("b", PAGE, None, None), ("c", RESIDUE[0], None, None), ("d", None, None, None), ("e", "", None, None)]
     df = spark.createDataFrame(rows, "id string, text string, site string, title string").selectExpr("*", "1 AS line_no", "2 AS _text")
-    got = furniture.furniture_lines(df, "id", "text", "site", "title", model).collect()
+    got = furniture.furniture_lines(df, "id", "text", "site", "title", residue.Fitted(model)).collect()
     assert {x.line_no for x in got if x.id == "a"} == GONE and len([x for x in got if x.id == "a"]) == len(GONE)
     assert {x.line_no for x in got if x.id == "b"} >= GONE - {17} and not [x for x in got if x.id in "cde"]
     text = {x.id: x.text for x in furniture.main_text(df, "id", "text", "site", "title").collect()}
@@ -185,7 +237,7 @@ def test_furniture(spark, model):
 def test_long_garbled_furniture(model):
     line = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in "© 2024 Harborwire. All rights reserved.")
     bad = encoding.garble(line, ("utf-8 twice", "cp1252"))
-    classifier = furniture.Classifier(model)
+    classifier = furniture.Classifier(residue.Fitted(model))
     assert len(exemplars.mask(bad, None)) > 240 and encoding.restore(bad, "utf-8 twice>cp1252") == line
     assert classifier.batch([f"{PROSE}\n\n{bad}", f"{PROSE}\n\n{encoding.garble(PROSE.replace('Norton', 'Größe') * 4, ('utf-8', 'cp1252'))}"], ["harborwire", None], [None, None]) == [[3], []]
 
