@@ -185,7 +185,10 @@ def _fold(code: int) -> int:
 
 def _codes(text: str) -> np.ndarray:
     """Code points, ASCII letters and digits folded to one letter, capital or digit."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return _folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64))
+
+
+def _folded(codes: np.ndarray) -> np.ndarray:
     codes = np.where((codes >= 97) & (codes <= 122), 97, codes)
     codes = np.where((codes >= 65) & (codes <= 90), 65, codes)
     return np.where((codes >= 48) & (codes <= 57), 48, codes)
@@ -266,8 +269,9 @@ class Model:
         self.bigrams, self.singles, self.blocks = (np.vstack([x, x[1:].max(axis=0)]) for x in (self.bigrams, self.singles, self.blocks))
 
     def _probability(self, k: int | slice, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        b, s1, s2, g = _bigram(before, now), _single(before), _single(now), _block(before) * 64 + _block(now)
-        size = (BLOCK_SIZE[_block(before)] * BLOCK_SIZE[_block(now)]).astype(np.float32)
+        first, second = _block(before), _block(now)
+        b, s1, s2, g = _bigram(before, now), _single(before), _single(now), first * 64 + second
+        size = (BLOCK_SIZE[first] * BLOCK_SIZE[second]).astype(np.float32)
         return WEIGHTS[0] * self.bigrams[k, b] + WEIGHTS[1] * self.singles[k, s1] * self.singles[k, s2] + WEIGHTS[2] * self.blocks[k, g] / size + 1e-14
 
     def emissions(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -331,13 +335,13 @@ class Model:
         out = [False] * len(lines)
         if not lines:
             return out
-        codes = _codes("\n" + "\n".join(lines) + "\n")
-        before, now = codes[:-1], codes[1:]
-        at = np.flatnonzero((before >= 0x80) | (now >= 0x80))
+        codes = np.frombuffer(("\n" + "\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        beyond = codes >= 0x80
+        at = np.flatnonzero(beyond[:-1] | beyond[1:])
         if not len(at):
             return out
-        line_of = np.cumsum(codes == 10)[at] - 1
-        logs = np.log(self._probability(0, before[at], now[at]))
+        line_of = np.searchsorted(np.flatnonzero(codes == 10), at, side="right") - 1
+        logs = np.log(self._probability(0, _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))))
         starts = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
         means = np.add.reduceat(logs, starts) / np.diff(np.r_[starts, len(at)])
         for k in np.flatnonzero(means <= USUAL):
@@ -349,17 +353,21 @@ class Model:
         n = int(((codes[:-1] >= 0x80) | (codes[1:] >= 0x80)).sum())
         return self.clean_score(line) / n if n else 0.0
 
-    def mend(self, line: str) -> str | None:
-        """The original of a garbled line, as far as it can be told; an empty string if not at all, null for a clean line."""
-        spans = self.label([line])[0]
+    def mend(self, line: str, spans: list[tuple[int, int, int]] | None = None) -> str | None:
+        """The original of a garbled line, as far as it can be told; an empty string if not at all, null for a clean line. ``spans`` are its labels, if they are known."""
+        spans = self.label([line])[0] if spans is None else spans
         found = self.verdict(line, spans)
         if found is None or found[1]:
             return found and found[1]
         best, rough, least = self.mean(line) + 1.0, "", sum(c > "\x7f" for c in line) / 6  # letters that must be left of those garbled
+        tried = {line}
         for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *STATES[1:-1]]):
             if state != "lost" and not state.startswith("utf-8 twice"):
                 written, read = state.split(">")
                 text = line.replace("�", "").encode(read, "ignore").decode(written, "ignore")
+                if text in tried:
+                    continue
+                tried.add(text)
                 if sum(c > "\x7f" and c.isalpha() for c in text) >= least and len(text) >= len(line) / 4 and self.mean(text) > best:
                     best, rough = self.mean(text), text
         return rough
@@ -449,6 +457,10 @@ class Model:
             return None  # marks alone, or capitals, which are rare, not garbled
         longest_first = sorted(spans, key=lambda s: s[0] - s[1])
         states = list(dict.fromkeys(STATES[s] for _, _, s in longest_first if STATES[s] != "lost"))
+        if len(states) == 1 and not lost and "�" not in line and self._covers(line, spans):  # one state's span is the whole line, so its inverse is the line's
+            back = restore(line, states[0])
+            if back is not None and back != line and not _NO_TEXT.search(back) and self._usual(back) and self.clean_score(back) >= self.clean_score(line) + MARGIN:
+                return states[0], back
         gain, pieces = self.unmix(line, states, spans) if states else (0.0, [])
         if not lost and (gain < MARGIN or self._left(line, spans, pieces)):  # the label may name a pair that differs in few characters from the right one
             wider = [x for x in dict.fromkeys(self._likeliest(line[a:b]) for a, b in [(0, len(line)), *(self._words(line, s) for s in spans)]) if x and x not in states]
@@ -466,6 +478,20 @@ class Model:
         whole = "�" not in line and not any(_NO_TEXT.search(p[3]) for p in changed) and not self._left(line, spans, pieces)
         return ("lost" if lost else max(size, key=lambda k: size[k])), back if whole else None
 
+    def _usual(self, text: str) -> bool:
+        """Whether no character outside ASCII is unlikely where it stands."""
+        codes = _codes("\n" + text + "\n")
+        logs = np.log(self._probability(0, codes[:-1], codes[1:]))
+        return not ((logs[:-1] + logs[1:] <= 2 * USUAL) & (codes[1:-1] >= 0x80)).any()
+
+    @staticmethod
+    def _covers(line: str, spans: list[tuple[int, int, int]]) -> bool:
+        """Whether spans hold all characters outside ASCII."""
+        left = line
+        for a, b, _ in sorted(spans, reverse=True):
+            left = left[:a] + left[b:]
+        return left.isascii()
+
     def _likeliest(self, text: str) -> str | None:
         """The pair whose inverse turns all of ``text`` into the likeliest clean text, if that gains enough."""
         best, found = self.clean_score(text) + MARGIN, None

@@ -520,7 +520,7 @@ class Fill:
         keys = " ".join(row[i:j] for row in KEY_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1))
         self.tables = [self._pairs([FILLER[0], pieces, joined]), self._pairs([keys])]
         self.corpus = self._pairs(lines)
-        self.known = {w for x in lines for w in _LETTERS.findall(x)}
+        self.known = {w for x in lines for w in tokens(x)}
         self.letters = {c for w in self.known for c in w}
 
     @staticmethod
@@ -535,12 +535,15 @@ class Fill:
                     counts[w[i : i + 2]] += 1
         return {k: max(math.log(v / total), RAREST_PAIR) for k, v in counts.items()}
 
-    def odds(self, masked: str) -> float:
+    def odds(self, words: list[str]) -> float:
         """The larger of both kinds, over words that the corpus doesn't have; at most 0 if these are fewer than half. Pairs that neither side has tell nothing."""
-        words = _LETTERS.findall(masked)
-        new = [w for w in words if w not in self.known]
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(new) < 4 or 2 * len(new) < len(words):
+            return 0.0
+        new = [w for w in new if len(w) > 1]
         letters = "".join(new)
-        if len(new) < 4 or 2 * len(new) < len(words) or sum(c not in self.letters for c in letters) > 0.15 * len(letters):  # few new words, or a script that the corpus doesn't have
+        if len(new) < 4 or sum(c not in self.letters for c in letters) > 0.15 * len(letters):  # few new words, or a script that the corpus doesn't have
             return 0.0
         best, none = -math.inf, RAREST_PAIR
         for table in self.tables:
@@ -572,7 +575,7 @@ def mask(line: str, site: str | None) -> str:
     s = line if line.isascii() else unicodedata.normalize("NFKC", line)
     if "«" in s:
         s = _QUOTED_SLOT.sub(" ⟨slot⟩ ", s)
-    if "__" in s or any(c in s for c in "{[#%@<$【"):
+    if "{" in s or "[" in s or "#" in s or "%" in s or "@" in s or "<" in s or "$" in s or "【" in s or "__" in s:
         s = _SLOT.sub(" ⟨slot⟩ ", s)
     s = _DIGITS.sub("#", " ".join(s.casefold().split()))
     return s.replace(site, "@") if site else s
@@ -581,7 +584,7 @@ def mask(line: str, site: str | None) -> str:
 def tokens(masked: str) -> list[str]:
     """Words, and pairs of Han characters."""
     found = _WORD.findall(masked)
-    if masked.isascii():
+    if masked.isascii() or not _HAN.search(masked):
         return found
     out: list[str] = []
     for w in found:
@@ -627,6 +630,7 @@ class Index:
         self.most = rare if frequent is not None and rare is not None else math.log(1 + n)
         self.idf = own if frequent is None else {w: frequent.get(w, self.most) for w in own}
         self.frequent = frequent or {}
+        self.weights = {**self.idf, **dict.fromkeys(_LIGHT, 0.5)}
         self.openings = {e.first for e in self.exemplars if e.open}
         self.mass = [sum(self.idf[w] for w in words - _LIGHT) for words in self.inside]
 
@@ -638,15 +642,10 @@ class Index:
         together. Of an exemplar with open words, its own words must all stand in the window, which must begin like it."""
         if not words:
             return 0.0, ""
-        total = known = 0.0
-        own, rest, most = self.idf, self.frequent, self.most
-        for w in words:
-            value = 0.5 if w in _LIGHT else own.get(w)
-            if value is None:
-                total += rest.get(w, most)
-            else:
-                known += value
-                total += value
+        own, rest, most = self.weights, self.frequent, self.most
+        hits = [own[w] for w in words if w in own]
+        known = sum(hits)
+        total = known + (sum([rest.get(w, most) for w in words if w not in own]) if rest else most * (len(words) - len(hits)))
         if known < self.floor * total and words[0] not in self.openings:  # no exemplars can hold enough of the window
             return 0.0, ""
         shared: dict[int, float] = defaultdict(float)
@@ -678,7 +677,7 @@ class Index:
         return found, label
 
 
-PROSE = re.compile(r"[.!?。！？…][\"”“’»）)\]]*$")
+ENDS, CLOSING = frozenset(".!?。！？…"), "\"”“’»）)]"
 COUNT = re.compile(r"[^\W\d_]+|[㐀-鿿]")
 
 
@@ -691,6 +690,6 @@ def sentences(masked: str) -> list[str]:
 
 def is_prose(line: str) -> bool:
     """A whole sentence: enough words and a mark at its end."""
-    if not PROSE.search(line):
+    if line.rstrip(CLOSING)[-1:] not in ENDS or not line:
         return False
     return line.count(" ") >= 5 or (not line.isascii() and sum(map(len, _HAN.findall(line))) >= 10)

@@ -53,14 +53,15 @@ def with_stems(words: list[str]) -> set[str]:
 class LineModel:
     """Weights of features; :meth:`score` is the log odds that a line belongs to the class."""
 
-    def __init__(self, lines: list[str], labels: list[float], weights: list[float] | None = None):
+    def __init__(self, lines: list[str], labels: list[float], weights: list[float] | None = None, stems: bool = False):
+        self.stems = stems
         names: dict[tuple[str, str], int] = {}
         row, column, value = [], [], []
         for i, masked in enumerate(lines):
             words = tokens(masked)
             if not words:
                 continue
-            distinct = with_stems(words)
+            distinct = with_stems(words) if stems else set(words)
             part = 1 / math.sqrt(len(set(words)))
             for f, v in [*((("word", w), part) for w in distinct), *((f, 1.0) for f in shape(masked, words))]:
                 row.append(i)
@@ -85,17 +86,30 @@ class LineModel:
 
     def of_words(self, words: list[str]) -> float:
         """What the words alone add."""
-        of = self.words.get
-        return sum([of(w, 0.0) for w in with_stems(words)]) / math.sqrt(len(set(words))) if words else 0.0
+        if not words:
+            return 0.0
+        distinct, of = set(words), self.words
+        found = sum([of[w] for w in distinct if w in of])
+        if self.stems:
+            found += sum([of[w] for w in {w[:STEM] + "~" for w in distinct if len(w) > STEM} if w in of])
+        return found / math.sqrt(len(distinct))
 
     def familiar(self, words: list[str]) -> float:
         """Share of words that the model has seen, or their beginnings."""
         distinct = set(words)
         return sum([w in self.words or w[:STEM] + "~" in self.words for w in distinct]) / len(distinct) if distinct else 0.0
 
-    def knows(self, masked: str, words: list[str]) -> bool:
-        """Whether a line has words, a beginning or a label that speak for the class; size and marks alone tell nothing."""
-        return self.of_words(words) >= WORDED or any(self.shapes.get(f, 0.0) >= BEGUN for f in shape(masked, words)[:2] + shape(masked, words)[-1:])
+    def known_odds(self, masked: str, words: list[str]) -> float:
+        """:meth:`score` of a line that has words, a beginning or a label that speak for the class, else 0; size and marks alone tell nothing."""
+        if not words:
+            return 0.0
+        part, of = self.of_words(words), self.shapes.get
+        if part < WORDED:
+            head = masked[:LABEL]
+            begun = max(of(("first", words[0]), 0.0), of(("second", " ".join(words[:2])), 0.0), of(("label", head.split(":")[0]), 0.0) if ":" in head else of(("label", ""), 0.0))
+            if begun < BEGUN:
+                return 0.0
+        return self.bias + part + sum([of(f, 0.0) for f in shape(masked, words)])
 
     def score(self, masked: str, words: list[str]) -> float:
         if not words:
@@ -146,4 +160,4 @@ def residue_model(articles: list[str], exemplars: list[str], seed: int = 5) -> L
     r = random.Random(seed)
     positives = [mask(e.replace("…", r.choice(["", "index.html", "/a/b/7", "x"])).replace("#", str(r.randint(1, 999))), None) for e in exemplars]
     weigh = len(articles) / max(len(positives), 1)
-    return LineModel(positives + articles, [1.0] * len(positives) + [0.0] * len(articles), [weigh / 2] * len(positives) + [1.0] * len(articles))
+    return LineModel(positives + articles, [1.0] * len(positives) + [0.0] * len(articles), [weigh / 2] * len(positives) + [1.0] * len(articles), stems=True)

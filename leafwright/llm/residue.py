@@ -35,7 +35,7 @@ FILLING = 0.25
 LONG = 90
 #: Lines in a row that make up one window.
 ROW = 3
-CACHE = 200_000
+CACHE, WINDOWS = 200_000, 50_000
 #: Words on at least one of so many documents are frequent; so their number is at most that many times the words of a document on average.
 FREQUENT = 1000
 
@@ -55,7 +55,7 @@ class Fitted:
 
 
 def labelled(residue: list[str] | None = None, furniture: list[str] | None = None) -> dict[str, list[str]]:
-    return {"residue": [*RESIDUE, *RESIDUE_GENERAL] if residue is None else residue, "furniture": [*FURNITURE, *FURNITURE_GENERAL, *LIST_HEADINGS, *SIGNATURES] if furniture is None else furniture}
+    return {"residue": [*RESIDUE, *RESIDUE_GENERAL] if residue is None else residue, "furniture": [*FURNITURE, *FURNITURE_GENERAL] if furniture is None else furniture, "heading": LIST_HEADINGS, "signature": SIGNATURES}
 
 
 def bags() -> dict[str, list[str]]:
@@ -90,28 +90,53 @@ def fit(df: DataFrame, text: str, site: str, part: DataFrame | None = None, word
     return out
 
 
+class Windows:
+    """Masked wording, words and cover of lines, remembered, so that several judges of a page work them out once."""
+
+    def __init__(self, fitted: Fitted, exemplars: dict[str, list[str]] | None = None) -> None:
+        self.index = Index(exemplars or labelled(), bags=bags(), frequent=fitted.frequent, rare=fitted.rare)
+        self.seen: dict[tuple[str, str | None], tuple[str, list[str], tuple[float, str] | None]] = {}
+
+    def of(self, line: str, name: str | None, keep: bool = False) -> tuple[str, list[str], tuple[float, str] | None]:
+        """Masked wording, words and cover of a line; only what is to be kept is covered at once."""
+        found = self.seen.get((line, name))
+        if found is None:
+            masked = mask(line, name)
+            words = tokens(masked)
+            found = masked, words, self.index.best(words) if keep else None
+            if keep:
+                self.seen[line, name] = found
+        return found
+
+    def trim(self) -> None:
+        """Forgets all if too much is remembered; lines of a batch stay together."""
+        if len(self.seen) > WINDOWS:
+            self.seen.clear()
+
+
 class Judge:
     """Labels of windows, remembered by their masked wording."""
 
-    def __init__(self, fitted: Fitted | None = None, exemplars: dict[str, list[str]] | None = None) -> None:
+    def __init__(self, fitted: Fitted | None = None, exemplars: dict[str, list[str]] | None = None, windows: Windows | None = None) -> None:
         self.fitted = fitted or Fitted()
         self.model = self.fitted.encodings
-        self.index = Index(exemplars or labelled(), bags=bags(), frequent=self.fitted.frequent, rare=self.fitted.rare)
+        self.windows = windows or Windows(self.fitted, exemplars)
+        self.index = self.windows.index
         self.menu = set(MENU)
         self.known: dict[str, str] = {}
 
-    def label(self, masked: str) -> str:
-        """``residue``, ``furniture``, ``prose`` or ``other`` (headlines, menus)."""
+    def label(self, masked: str, words: list[str] | None = None, cover: tuple[float, str] | None = None) -> str:
+        """``residue``, ``furniture``, ``prose`` or ``other`` (headlines, menus); a window's words and how exemplars cover it may be given."""
         if masked in self.known:
             return self.known[masked]
         if len(self.known) > CACHE:
             self.known.clear()
-        out = self._label(masked)
+        out = self._label(masked, tokens(masked) if words is None else words, cover)
         if len(masked) <= 160:
             self.known[masked] = out
         return out
 
-    def _covered(self, masked: str, words: list[str]) -> str:
+    def _covered(self, masked: str, words: list[str], cover: tuple[float, str] | None = None) -> str:
         """Label of a window that its slots, exemplars or filler cover, else an empty string."""
         slots = words.count("⟨slot⟩")
         if slots:
@@ -119,24 +144,21 @@ class Judge:
             letters = len(plain) - slots
             if not letters or slots >= 2 and slots >= SLOTTED * len(plain) or letters <= 2:
                 return "residue"
-        containment, label = self.index.best(words)
+        containment, label = self.index.best(words) if cover is None else cover
         if containment >= COVERED:
-            return label
-        return "residue" if self.fitted.fill and "�" not in masked and self.fitted.fill.odds(masked) >= FILLING else ""
+            return "residue" if label == "residue" else "furniture"
+        return "residue" if self.fitted.fill and "�" not in masked and self.fitted.fill.odds(words) >= FILLING else ""
 
-    def _label(self, masked: str) -> str:
-        words = tokens(masked)
+    def _label(self, masked: str, words: list[str], cover: tuple[float, str] | None) -> str:
         if not any(w not in ("#", "@", "©", "⟨slot⟩") for w in words) and "⟨slot⟩" not in words and _repeats(masked):
             return "residue"
-        if found := self._covered(masked, words):
+        if found := self._covered(masked, words, cover):
             return found
         prose = is_prose(masked)
-        if prose and len(parts := sentences(masked)) > 1:  # a passage is covered if each of its sentences is
-            each = [self._covered(p, tokens(p)) or ("residue" if self._likely(p) else "") for p in parts]
-            if all(each):
-                return "residue" if "residue" in each else "furniture"
-        if (prose or len(words) > 2) and self._likely(masked):
+        if (prose or len(words) > 2) and self._likely(masked, words):
             return "residue"
+        if prose and (self.fitted.residue is None or self.fitted.residue.of_words(words) >= 0) and (found := self._passage(masked)):
+            return found
         if prose:
             return "prose"
         han = sum("㐀" <= c <= "鿿" for c in masked)
@@ -144,20 +166,33 @@ class Judge:
             return "prose"
         return "other"
 
-    def _likely(self, masked: str) -> bool:
+    def _passage(self, masked: str) -> str:
+        """Label of a line whose every sentence is covered, else an empty string."""
+        parts, label = sentences(masked), "furniture"
+        if len(parts) < 2:
+            return ""
+        for part in parts:
+            words = tokens(part)
+            found = self._covered(part, words) or ("residue" if self._likely(part, words) else "")
+            if not found:
+                return ""
+            label = "residue" if found == "residue" else label
+        return label
+
+    def _likely(self, masked: str, words: list[str]) -> bool:
         """Whether the classifier takes a window for residue, by its words and altogether; words that it doesn't know tell nothing."""
         model = self.fitted.residue
         if model is None or "�" in masked:  # what lost its characters has no words
             return False
-        words = tokens(masked)
-        return model.of_words(words) >= linemodel.WORDED and model.familiar(words) >= FAMILIAR and model.score(masked, words) >= LIKELY
+        return model.of_words(words) >= linemodel.WORDED and model.score(masked, words) >= LIKELY and model.familiar(words) >= FAMILIAR
 
     def _menu(self, masked: str) -> bool:
         parts = [p.strip() for p in re.split(r"[|/·>]", masked)]
         return sum(p in self.menu for p in parts) >= max(2, len(parts) - 1) or sum(w in self.menu for w in masked.split()) >= 0.6 * len(masked.split())
 
-    def residue(self, text: str | None, site: str | None, mend: bool = False) -> tuple[bool, str | None]:
-        """Whether a text is residue, and the window of prose, or an odd window in other letters, that speaks against it or leaves it open."""
+    def residue(self, text: str | None, site: str | None, spans: dict[str, list] | None = None) -> tuple[bool, str | None]:
+        """Whether a text is residue, and the window of prose, or an odd window in other letters, that speaks against it or leaves it open.
+        With ``spans``, the labels of garbled lines, these are judged by their original wording."""
         if not text or text.isspace():
             return False, None
         name = site.replace("_", " ") if site else None
@@ -165,8 +200,8 @@ class Judge:
         for line in sorted(text.split("\n"), key=len, reverse=True):  # the longest are the likeliest to be prose, which settles a page
             if not line or line.isspace():
                 continue
-            found = self.label(mask(line, name))
-            if mend and found in ("prose", "other") and not line.isascii() and (mended := self.model.mend(line)):
+            found = self.label(*self.windows.of(line, name, True))
+            if spans is not None and found in ("prose", "other") and line in spans and (mended := self.model.mend(line, spans[line])):
                 found = self.label(mask(mended, name))
             if found == "prose":
                 return False, line
@@ -179,7 +214,7 @@ class Judge:
         """Whether lines in a row that nothing covers alone are residue together."""
         run: list[str] = []
         for line in [*text.split("\n"), ""]:
-            masked = mask(line, name) if line and not line.isspace() else ""
+            masked = self.windows.of(line, name)[0] if line and not line.isspace() else ""
             if masked and self.label(masked) == "other":
                 run = [*run, masked][-ROW:]
                 for n in range(2, len(run) + 1):
@@ -192,12 +227,15 @@ class Judge:
 
     def batch(self, texts: list[str | None], sites: list[str | None]) -> list[bool]:
         """:meth:`residue` of many texts; those settled or left open by an odd window are judged again by their original wording."""
+        self.windows.trim()
         found = [self.residue(t, s) for t, s in zip(texts, sites)]
         if self.model:
             asked = [i for i, (_, line) in enumerate(found) if line and not line.isascii()]
-            for i, odd in zip(asked, self.model.odd([found[i][1] for i in asked])):
-                if odd:
-                    found[i] = self.residue(texts[i], sites[i], mend=True)
+            asked = [i for i, odd in zip(asked, self.model.odd([found[i][1] for i in asked])) if odd]
+            lines = list(dict.fromkeys(x for i in asked for x in texts[i].split("\n") if not x.isascii()))
+            spans = dict(zip(lines, self.model.label(lines)))
+            for i in asked:
+                found[i] = self.residue(texts[i], sites[i], spans)
         return [x for x, _ in found]
 
 
