@@ -74,19 +74,23 @@ def measure(df: DataFrame, text: str) -> DataFrame:
     df = df.drop(*names)
     work = df.withColumn("_t", F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "\\p{N}+", "0"))
     marked = F.regexp_replace(F.regexp_replace("_t", ENDS, "\n"), "[^\\p{L}\\p{M}\\p{N}\\n]+", " ")
-    work = work.withColumn("_plain", marked).withColumn("_with_han", F.col("_plain").rlike("\\p{IsHan}"))
+    work = work.withColumn("_plain", marked).withColumn("_with_han", (F.octet_length("_plain") > F.length("_plain")) & F.col("_plain").rlike("\\p{IsHan}"))
     work = work.withColumn("_marked", F.when(F.col("_with_han"), F.regexp_replace("_plain", "(\\p{IsHan})", " $1 ")).otherwise(F.col("_plain")))
-    work = work.withColumn("_words", F.array_remove(F.split(F.translate("_marked", "\n", " "), " "), ""))
+    work = work.withColumn("_words", F.array_remove(F.split(F.replace("_marked", F.lit("\n"), F.lit(" ")), " "), ""))
     work = work.withColumn("_n", F.size("_words"))
     han = F.when(F.col("_with_han"), F.length(F.regexp_replace("_plain", "\\P{IsHan}+", ""))).otherwise(0)
     work = work.withColumn("_run", F.when(han * 2 > F.col("_n"), RUN_CHARACTERS).otherwise(RUN_WORDS))
-    # element by element, since slice() copies the whole array at each call
-    run_of = lambda i, n: F.xxhash64(*[F.get("_words", i + k) for k in range(n)])
-    starts = F.when(F.col("_n") >= F.col("_run"), F.sequence(F.lit(0), F.greatest(F.col("_n") - F.col("_run"), F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    runs = F.when(F.col("_run") == RUN_WORDS, F.transform(starts, lambda i: run_of(i, RUN_WORDS))).otherwise(F.transform(starts, lambda i: run_of(i, RUN_CHARACTERS)))
-    work = work.withColumn("_run_hash", runs)
+    # hashes of runs of one word are joined to those of runs of two, of four and so on
+    work = work.withColumn("_hash1", F.transform("_words", lambda w: F.xxhash64(w)))
+    width = 1
+    while width < RUN_CHARACTERS:
+        wider = lambda h, w: F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - w, F.lit(0))), F.slice(h, F.lit(w + 1), F.greatest(F.size(h) - w, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+        longer = wider(f"_hash{width}", width)
+        work = work.withColumn(f"_hash{2 * width}", longer if 2 * width <= RUN_WORDS else F.when(F.col("_run") == RUN_CHARACTERS, longer))
+        width *= 2
+    work = work.withColumn("_run_hash", F.when(F.col("_run") == RUN_WORDS, F.col(f"_hash{RUN_WORDS}")).otherwise(F.col(f"_hash{RUN_CHARACTERS}")))
     work = work.withColumn("_pieces", F.filter(F.split("_marked", "\n"), lambda p: F.trim(p) != ""))
-    work = work.withColumn("_piece_hash", F.transform("_pieces", lambda p: F.xxhash64(F.translate(p, " ", ""))))
+    work = work.withColumn("_piece_hash", F.transform("_pieces", lambda p: F.xxhash64(F.replace(p, F.lit(" "), F.lit("")))))
     repeats = (F.size(F.array_distinct("_run_hash")) < F.size("_run_hash")) | (F.size(F.array_distinct("_piece_hash")) < F.size("_piece_hash"))
     work = work.withColumn("_repeats", repeats)
     only = lambda c: F.when(F.col("_repeats"), c)
