@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from leafwright.pages import body, evidence
 from leafwright.pages.decode import decode
 from leafwright.pages.dom import Node, parse, select
+from leafwright.pages.readable import candidates
 from leafwright.pages.record import IMAGES
 
 # Blanks that are squeezed, publishers at the end of titles, blocks that are lines, and the strict form of a time.
@@ -130,3 +131,15 @@ def annotate(pages: DataFrame, recipes: tuple[Recipe, ...]) -> DataFrame:
 def evidence_dump(pages: DataFrame) -> DataFrame:
     """(id, evidence of :data:`EVIDENCE`) of (id, raw): what an annotator is shown of a page."""
     return pages.select("id", _per_page(pages, lambda root, _: evidence.dump(root), EVIDENCE, "raw", "id").alias("_e")).select("id", "_e.*")
+
+
+def content_candidates(pages: DataFrame) -> DataFrame:
+    """(id, rank, tag, length, preview): the blocks of a page that may be its article, by their text's length; what a person or a model is asked to choose from."""
+    kind = "array<struct<tag: string, length: int, preview: string>>"
+
+    def run(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in raws:
+            yield pd.Series([[{"tag": n.tag, "length": size, "preview": n.text()[:120]} for n, size in candidates(parse(decode(bytes(raw or b""))[0]))] for raw in batch])
+
+    each = F.posexplode(F.pandas_udf(run, T._parse_datatype_string(kind))("raw")).alias("_at", "c")
+    return pages.select("id", each).select("id", (F.col("_at") + 1).alias("rank"), "c.*")

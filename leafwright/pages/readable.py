@@ -80,3 +80,22 @@ def readable(root: Node) -> Node | None:
     if len(kept) > 1:
         whole.children.extend(kept)
     return whole if len(whole.text()) >= LEAST_TEXT else None
+
+
+# Elements that may hold a page's text, how long it must be, how many are kept, and the share of an outer one's text from which an inner one says the same.
+CANDIDATE_TAGS, CANDIDATE_TEXT, CANDIDATES, SAME = ("article", "div", "section", "main", "p"), 300, 8, 0.85
+
+
+def candidates(root: Node, most: int = CANDIDATES, least: int = CANDIDATE_TEXT, same: float = SAME) -> list[tuple[Node, int]]:
+    """The elements of most text with its length, the longest first, of equals the first; one that holds nearly all of a kept element around it is passed over."""
+    lengths = [(n, len(n.text(""))) for n in root.all(*CANDIDATE_TAGS)]
+    kept: list[tuple[Node, int]] = []
+    sizes: dict[int, int] = {}
+    for node, length in sorted((x for x in lengths if x[1] >= least), key=lambda x: -x[1]):
+        if any(id(a) in sizes and length > same * sizes[id(a)] for a in node.above()):
+            continue
+        kept.append((node, length))
+        sizes[id(node)] = length
+        if len(kept) == most:
+            break
+    return kept

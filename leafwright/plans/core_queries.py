@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafwright.functions.columns import paragraphs, should_reject, smaller_share, time_confused, time_score, written_time, zone_status
 from leafwright.operators import lenses, scoring
 from leafwright.operators.instants import to_utc
+from leafwright.operators.medians import medians
 from leafwright.operators.packed import may_be_packed, split_packed
 from leafwright.operators.validate import violations
 from leafwright.sources.index import upsert
@@ -163,7 +164,8 @@ def lax_report(spark, folder):
 
 def word_scores(spark, folder):
     fields = ["title", "authors", "publish_time", "content_text"]
-    return lenses.score_words(_gold(spark, folder, *fields), _pred(spark, folder, *fields))
+    scores = lenses.score_words(_gold(spark, folder, *fields), _pred(spark, folder, *fields))
+    return scores.select("id", *[F.round(c, 6).alias(c) for c in ("title", "authors", "content")])
 
 
 def day_scores(spark, folder):
@@ -221,8 +223,10 @@ def first_pages_per_site(spark, folder):
 
 
 def extraction_medians(spark, folder):
-    rows = table(spark, folder, "dev5_validation", "id", "site", "trafilatura").distinct()
-    return rows.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("trafilatura.error").isNotNull()).alias("failed"), F.round(F.median("trafilatura.elapsed_ms_median"), 6).alias("median_ms"))
+    rows = table(spark, folder, "dev5_validation", "id", "site", "trafilatura").select("id", "site", F.col("trafilatura.error").alias("error"), F.col("trafilatura.elapsed_ms_median").alias("ms"), "trafilatura").distinct().drop("trafilatura")
+    counts = rows.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    middle = medians(rows, "site", "ms", "m").withColumnRenamed("site", "_site")
+    return counts.join(middle, F.col("site").eqNullSafe(F.col("_site")), "left").select("site", "pages", "failed", F.round("m", 6).alias("median_ms"))
 
 
 def refusal_sweep(spark, folder):
@@ -348,7 +352,30 @@ _BAD_VIEWS = " UNION ALL ".join(f"SELECT '{v}' AS view, {x} AS value, id FROM j
 _PUBLISH = "g.publish_time.value"
 _FIRST = "(SELECT id, min(struct_pack(f := fetched_at, b := bytes)) AS r FROM spotcheck_index GROUP BY id)"
 
+def _runs_sql(x: str) -> str:
+    """Runs of four words of a text, or all of a shorter one, as a list of strings."""
+    words = f"list_filter(string_split_regex(coalesce({x}, ''), '{_SPACE}+'), lambda w: w <> '')"
+    return f"(SELECT CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, chr(31))] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], chr(31))) END FROM (SELECT {words} AS w))"
+
+
+def _bag_f1_sql(a: str, b: str) -> str:
+    """F1 of two bags of strings."""
+    common = f"list_sum(list_transform(list_distinct({a}), lambda g: least(len(list_filter({a}, lambda h: h = g)), len(list_filter({b}, lambda h: h = g)))))"
+    return f"CASE WHEN coalesce({common}, 0) = 0 THEN 0.0::DOUBLE ELSE 2.0 * {common} / (len({a}) + len({b})) END"
+
+
+def _names_sql(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform(coalesce({x}.authors, []), lambda x: regexp_replace(lower(x), '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> ''))"
+
+
+_WORDS = f"""WITH t AS (SELECT g.id, g.title AS gt, g.content_text AS gc, {_names_sql('g')} AS ga, {_names_sql('p')} AS pa, {_runs_sql('p.title')} AS ptr, {_runs_sql('g.title')} AS gtr, {_runs_sql('p.content_text')} AS pcr, {_runs_sql('g.content_text')} AS gcr FROM {PAIRS}),
+ grams AS (SELECT id, r, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'g') AS g FROM (SELECT id, 'p' AS side, unnest(pcr) AS r FROM t UNION ALL SELECT id, 'g', unnest(gcr) FROM t) GROUP BY id, r),
+ common AS (SELECT id, sum(least(p, g))::DOUBLE AS c FROM grams GROUP BY id)
+ SELECT t.id, CASE WHEN coalesce(gt, '') <> '' THEN {_bag_f1_sql('ptr', 'gtr')} END AS title, CASE WHEN len(ga) > 0 THEN CASE WHEN len(list_intersect(pa, ga)) = 0 THEN 0.0::DOUBLE ELSE 2.0 * len(list_intersect(pa, ga)) / (len(pa) + len(ga)) END END AS authors,
+ CASE WHEN coalesce(gc, '') <> '' THEN CASE WHEN coalesce(c, 0) = 0 THEN 0.0::DOUBLE ELSE 2.0 * c / (len(pcr) + len(gcr)) END END AS content FROM t LEFT JOIN common ON t.id = common.id"""
+
 ORACLES: dict[str, str] = {
+    "word_scores": f"SELECT id, round(title, 6) AS title, round(authors, 6) AS authors, round(content, 6) AS content FROM ({_WORDS})",
     "pred_last_wins": f"SELECT id, line_no, title FROM {PRED}",
     "gold_left_join_pred": f"SELECT g.dataset, count(*) AS pages, count(*) FILTER (p.id IS NULL) AS missing FROM {PAIRS} GROUP BY g.dataset",
     "rejection_accuracy": f"SELECT g.route, count(*) AS pages, round(avg(CASE WHEN p.id IS NULL OR coalesce(p.rejected, false) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {PAIRS} WHERE {_REJECT} GROUP BY g.route",

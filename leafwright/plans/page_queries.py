@@ -85,9 +85,14 @@ def extracted_authors(spark, folder):
     return got.select(_number(got), F.array_join("authors", "; ").alias("authors"), F.try_element_at("provenance", F.lit("authors")).alias("origin"))
 
 
+def pages_of_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, site, raw): a whole page for each prediction line."""
+    return _predicted(spark, folder, "title", "authors", "publish_time", "update_time", "content_text")
+
+
 def extract_records(spark, folder):
     """Whole records of whole pages."""
-    return pages_to_records.extract(_predicted(spark, folder, "title", "authors", "publish_time", "update_time", "content_text"))
+    return pages_to_records.extract(pages_of_predictions(spark, folder))
 
 
 def _laid_out(spark: SparkSession, folder: str) -> DataFrame:

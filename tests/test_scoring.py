@@ -1,6 +1,7 @@
 import pytest
 from leafwright.functions import texts
 from leafwright.operators import scoring
+from leafwright.operators.medians import medians
 from leafwright.operators.validate import violations
 from leafwright.sources.index import read_gold, read_pred, upsert, write_lines
 
@@ -102,3 +103,13 @@ def test_tags_of_unknown_times_wrong_texts_and_bad_refusals(spark):
     assert told[0].publish_time_tags.gold_all_xx == 1 and told[0].refusals.asDict() == {"n": 1, "correct": 0} and sum(told[0].publish_time_zones) == 0
     assert {(r.view, r.value, r.id) for r in scoring.bad_refusals(scores).collect()} >= {("overall", "all", "b"), ("content_structure", "list_page", "b")}
     assert {r.id: r.refusal_correct for r in scoring.refusals(gold, pred).collect()} == {"a": None, "b": 0}
+
+
+def test_medians_equal_spark(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", "c"]), r.choice([None, *map(float, range(6))])) for _ in range(200)] + [("d", None), (None, 2.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {x.g: x.m for x in df.groupBy("g").agg(F.median("v").alias("m")).collect() if x.m is not None}
+    assert {x.g: x.median for x in medians(df, "g", "v").collect()} == want and medians(df.limit(0), "g", "v").count() == 0

@@ -86,6 +86,13 @@ def test_gold_tools(spark):
     assert (shown.title_tag, shown.headings, shown.meta["author"], shown.bylines, shown.images) == ("T", ["H"], "A", ["来源: X"], 2)
 
 
+def test_content_candidates(spark):
+    long, short = "x" * 400, "y" * 320
+    html = f"<main><div><p>{long}</p></div><div><p>{short}</p><p>{short}</p></div></main><p>{'z' * 299}</p>"
+    got = tools.content_candidates(spark.createDataFrame([("a", html.encode()), ("b", None)], "id string, raw binary")).collect()
+    assert [(r.id, r.rank, r.tag, r.length) for r in sorted(got, key=lambda r: r["rank"])] == [("a", 1, "main", 1040), ("a", 2, "div", 640), ("a", 3, "div", 400), ("a", 4, "p", 320), ("a", 5, "p", 320)]
+
+
 def test_iteration(spark, tmp_path):
     pages = spark.createDataFrame([("a", "s", f"<title>Plan</title><article>{P * 4}</article>".encode()), ("n", "s", b"<p>x</p>")], "id string, site string, raw binary")
     gold = spark.createDataFrame([("a", "d", "s", "r", "single", None, "Plan", None, None, None, "\n".join([P[3:-4]] * 4))], "id string, dataset string, site string, route string, content_structure string, page_condition string, title string, authors array<string>, publish_time struct<value: string, utc_offset: string>, update_time struct<value: string, utc_offset: string>, content_text string")
