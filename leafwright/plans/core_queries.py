@@ -68,8 +68,10 @@ def _pairs(spark: SparkSession, folder: str, gold: list, pred: list) -> DataFram
 
 
 #: What a page is judged by, with a text cut to whether it is null, empty or neither, where nothing else of it matters.
-_HINT = F.left("content_text", F.lit(1)).alias("content_text")
-_TITLE_HINT = F.left("title", F.lit(1)).alias("title")
+def _hint(column: str) -> Column:
+    return F.left(column, F.lit(1)).alias(column)
+
+
 _FACTS = ["dataset", "site", "route", "content_structure", "page_condition"]
 _TIMES = ["publish_time", "update_time"]
 
@@ -120,7 +122,7 @@ def written_times(spark, folder):
 
 
 def field_tags(spark, folder):
-    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _hint("title"), "authors", *_TIMES, _hint("content_text")), _pred(spark, folder, _hint("title"), "authors", *_TIMES, _hint("content_text"), "rejected"))
     tags = F.explode(F.array(*[F.struct(F.lit(c[:-4]).alias("field"), F.col(c).alias("tag")) for c in ("title_tag", "authors_tag", "content_text_tag", "publish_time_tag", "update_time_tag")]))
     return scores.where("not refuse").select(tags.alias("x")).groupBy("x.field", "x.tag").agg(F.count("*").alias("pages")).select("field", "tag", "pages")
 
@@ -135,19 +137,19 @@ def score_report(spark, folder):
 
 def report_grouping_sets(spark, folder):
     """The part of the report that needs no text normalisation."""
-    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _hint("title"), "authors", *_TIMES, _hint("content_text")), _pred(spark, folder, _hint("title"), "authors", *_TIMES, _hint("content_text"), "rejected"))
     return scoring.report(scores).select("view", "value", "n_pages", "n_scored", *[F.round(c, 6).alias(c) for c in ("refusal_accuracy", "title_miss_rate", "authors_false_fill_rate", "content_text_miss_rate")])
 
 
 def time_report(spark, folder):
     """Tags, zones and confusions of the publication time by view."""
-    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    scores = scoring.score_pages(_gold(spark, folder, *_FACTS, _hint("title"), "authors", *_TIMES, _hint("content_text")), _pred(spark, folder, _hint("title"), "authors", *_TIMES, _hint("content_text"), "rejected"))
     return scoring.report(scores).select("view", "value", "publish_time_tags.*", "publish_time_zones.match", "publish_time_zones.mismatch", F.col("publish_time_zones.missing").alias("zone_missing"), "publish_time_zones.gold_absent", F.col("publish_time_confusions").alias("confused"), F.round("publish_time_score", 6).alias("score"))
 
 
 def bad_refusals(spark, folder):
     """Pages that should have been refused and weren't, under each view."""
-    facts = scoring.refusals(_gold(spark, folder, *_FACTS, _TITLE_HINT, "authors", *_TIMES, _HINT), _pred(spark, folder, _TITLE_HINT, "authors", *_TIMES, _HINT, "rejected"))
+    facts = scoring.refusals(_gold(spark, folder, *_FACTS, _hint("title"), "authors", *_TIMES, _hint("content_text")), _pred(spark, folder, _hint("title"), "authors", *_TIMES, _hint("content_text"), "rejected"))
     return scoring.bad_refusals(facts)
 
 
