@@ -357,9 +357,11 @@ class Model:
         """The original of a garbled line, as far as it can be told; an empty string if not at all, null for a clean line. ``spans`` are its labels, if they are known."""
         spans = self.label([line])[0] if spans is None else spans
         found = self.verdict(line, spans)
-        if found is None or found[1]:
-            return found and found[1]
-        best, rough, least = self.mean(line) + 1.0, "", sum(c > "\x7f" for c in line) / 6  # letters that must be left of those garbled
+        if found and found[1]:
+            return found[1]
+        if found is None and "�" not in line:
+            return None
+        best, rough, least = self.mean(line) + 1.0, "", len(line) / 6  # letters that must be left
         tried = {line}
         for state in dict.fromkeys([*(STATES[s] for _, _, s in spans), *STATES[1:-1]]):
             if state != "lost" and not state.startswith("utf-8 twice"):
@@ -368,7 +370,7 @@ class Model:
                 if text in tried:
                     continue
                 tried.add(text)
-                if sum(c > "\x7f" and c.isalpha() for c in text) >= least and len(text) >= len(line) / 4 and self.mean(text) > best:
+                if sum(map(str.isalpha, text)) >= least and len(text) >= len(line) / 4 and self.mean(text) > best:
                     best, rough = self.mean(text), text
         return rough
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 # One exemplar a line, as publishers word them.
@@ -507,6 +507,8 @@ HAN_FILLER = "某某某|正文内容|此处填写|占位|示例|测试|文字".s
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю")
 
 
+#: Pages of a sample that a known word stands on; fewer where the sample is small.
+ON_PAGES = 3
 #: Log probability of a pair of letters that a side doesn't have.
 RAREST_PAIR = -14.0
 
@@ -514,13 +516,18 @@ RAREST_PAIR = -14.0
 class Fill:
     """Log odds, a character, that words are made up of the pieces of filler rather than written: pairs of letters of mock Latin and of rows of keys against those of a corpus."""
 
-    def __init__(self, lines: list[str]):
+    def __init__(self, pages: list[str]):
+        """``pages`` are masked texts. Words on several of them are known; what stands on one may itself be filler."""
         pieces = " ".join(w[i:j] for w in FILLER[0].split(" ") for i in range(len(w)) for j in range(i + 2, min(i + 5, len(w)) + 1))
         joined = " ".join(a + b for a, b in zip(pieces.split(" "), reversed(pieces.split(" "))))  # pieces in new words
         keys = " ".join(row[i:j] for row in KEY_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1))
         self.tables = [self._pairs([FILLER[0], pieces, joined]), self._pairs([keys])]
-        self.corpus = self._pairs(lines)
-        self.known = {w for x in lines for w in tokens(x)}
+        on: Counter[str] = Counter()
+        for x in pages:
+            on.update(set(tokens(x)))
+        least = max(1, min(ON_PAGES, len(pages) // 50))
+        self.known = {w for w, n in on.items() if n >= least}
+        self.corpus = self._pairs([f"{w} " * min(on[w], 100) for w in self.known])
         self.letters = {c for w in self.known for c in w}
 
     @staticmethod
@@ -536,10 +543,10 @@ class Fill:
         return {k: max(math.log(v / total), RAREST_PAIR) for k, v in counts.items()}
 
     def odds(self, words: list[str]) -> float:
-        """The larger of both kinds, over words that the corpus doesn't have; at most 0 if these are fewer than half. Pairs that neither side has tell nothing."""
+        """The larger of both kinds, over words that the corpus doesn't have; at most 0 if these are fewer than a third. Pairs that neither side has tell nothing."""
         known = self.known
         new = [w for w in words if w not in known]
-        if len(new) < 4 or 2 * len(new) < len(words):
+        if len(new) < 4 or 3 * len(new) < len(words):
             return 0.0
         new = [w for w in new if len(w) > 1]
         letters = "".join(new)

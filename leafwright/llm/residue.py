@@ -30,7 +30,7 @@ COVERED, SLOTTED, LIKELY = 0.66, 0.15, -1.0
 #: Share of a window's words that the classifier must know.
 FAMILIAR = 1 / 3
 #: Log odds a character from which new words count as filler.
-FILLING = 0.25
+FILLING = 0.22
 #: Uncovered windows of so many characters (Han: a third) read as text even without a mark at their end.
 LONG = 90
 #: Lines in a row that make up one window.
@@ -86,7 +86,7 @@ def fit(df: DataFrame, text: str, site: str, part: DataFrame | None = None, word
     index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
     articles = linemodel.article_lines(drawn, index, COVERED)
     out.residue = linemodel.residue_model(articles, labelled()["residue"])
-    out.fill = Fill(articles)
+    out.fill = Fill([mask(t, None) for t, _ in drawn])
     return out
 
 

@@ -191,7 +191,7 @@ def test_other_wordings_of_notices(model):
     judge = residue.Judge(_fitted(model))
     for x in ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Your browser does not support JavaScript. Please enable it to view this page.", "This website requires JavaScript to be enabled in order to work properly.", "HTTP 502 Bad Gateway. The upstream server failed to respond in time.", "Sorry, the page you requested could not be located on our server.", "This site needs JavaScript. Turn it on in your browser and reload the page.", "Please enable\nJavaScript to\nview this page", "Loqua sitdo remtur lorvelsec ipquaqua pistur elsum doloit secad turlaci qualor"]:
         assert judge.residue(x, None)[0], x
-    for x in [PROSE, f"{PROSE} Please enable JavaScript to view this page.", "The hearing was rerouted because an error on a page had been found.", "A"]:
+    for x in [PROSE, f"{PROSE} Please enable JavaScript to view this page.", "The historic bakery in Norton had been repaired because of an error in the hearing.", "A"]:
         assert not judge.residue(x, None)[0], x
 
 
