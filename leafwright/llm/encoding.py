@@ -2,9 +2,10 @@
 
 A hidden Markov model labels the characters of a line. One state is clean text; one state stands for each
 pair (written in, read in) of encodings; one for text that lost characters. Emissions are character bigrams,
-backed off to single characters and Unicode blocks. They are estimated on a bounded sample of the corpus: each pair's
-state on the sample put through the pair's wrong decoding, the clean state on the sample, and once more on what the
-first model leaves of it. Bigrams
+backed off to single characters and Unicode blocks. They are counted over all lines of the corpus's distinct texts: each pair's
+state on the lines put through the pair's wrong decoding, the clean state on the lines, and once more on what the
+first model leaves of them. Most pairs turn each character into characters of its own, so their counts follow from those of the
+corpus's bigrams; the others are counted on its words. Bigrams
 of two ASCII characters are alike in all states, so only positions beside a character outside ASCII are
 scored, and lines in plain ASCII are clean.
 
@@ -25,10 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafwright.session import cut
+
 # Pairs (written in, read in). "utf-8>cp1252" twice in a row is a pair of its own.
 PAIRS = [
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("utf-8", "gb18030"), ("utf-8", "cp1251"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("utf-8", "cp850"),
@@ -38,7 +42,7 @@ PAIRS = [
 ]
 STATES = ["clean", *[f"{w}>{r}" for w, r in PAIRS], "lost"]
 
-#: Bounds of what the model is fitted on: distinct texts, their characters in all, and the longest text that is drawn.
+#: Bounds of a :func:`sample`: distinct texts, their characters in all, and the longest text that is drawn.
 SAMPLE_PAGES, SAMPLE_CHARACTERS, SAMPLE_LONGEST = 3000, 1_500_000, 20_000
 TABLE = 1 << 17
 #: Chance of leaving a state from one scored position to the next, and of a line's first state not being clean.
@@ -225,6 +229,19 @@ def _block(codes: np.ndarray) -> np.ndarray:
 BLOCK_SIZE = np.array([20] + [128] * 47 + [4096] * 10 + [8192, 6400, 1536, 240, 1, 1], dtype=np.float64)
 
 
+#: Places of a state's counts: bigrams, single characters, blocks.
+PLACES = 2 * TABLE + 64 * 64
+
+
+def _places(before: np.ndarray, now: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """How often each bigram, single character and pair of blocks occurs, over the positions beside a character outside ASCII; each ``times``, if given."""
+    scored = (before >= 0x80) | (now >= 0x80)
+    before, now = before[scored], now[scored]
+    n = None if times is None else times[scored].astype(np.float64)  # sums of whole numbers below 2 ** 53 are exact
+    parts = [np.bincount(_bigram(before, now), n, TABLE), np.bincount(_single(before), n, TABLE), np.bincount(_block(before) * 64 + _block(now), n, 64 * 64)]
+    return np.concatenate(parts).astype(np.int64)
+
+
 class Model:
     """Log probabilities of the states' emissions."""
 
@@ -253,16 +270,30 @@ class Model:
         self._count(0, "\n".join([x for x in lines if x.isascii()] + [x for i, x in enumerate(outside) if i not in dirty]))
         self._logs.clear()
 
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> Model:
+        """The model of :func:`_places` counted per state; the clean state on all lines."""
+        self = cls.__new__(cls)
+        self.bigrams = np.zeros((len(STATES), TABLE), dtype=np.float32)
+        self.singles = np.zeros((len(STATES), TABLE), dtype=np.float32)
+        self.blocks = np.zeros((len(STATES), 64 * 64), dtype=np.float32)
+        for k in range(len(STATES)):
+            self._set(k, counts[k])
+        self._prepare()
+        self._logs = {}
+        return self
+
     def _count(self, k: int, text: str) -> None:
         """Probabilities of (before, now) pairs of a state: joint, so that both sides of a boundary count."""
         codes = _codes("\n" + text + "\n")
-        before, now = codes[:-1], codes[1:]
-        scored = (before >= 0x80) | (now >= 0x80)
-        before, now = before[scored], now[scored]
-        total = max(len(before), 1)
-        self.bigrams[k] = np.bincount(_bigram(before, now), minlength=TABLE) / total
-        self.singles[k] = np.bincount(_single(before), minlength=TABLE) / total
-        self.blocks[k] = (np.bincount(_block(before) * 64 + _block(now), minlength=64 * 64) + 1e-3) / (total + 1e-3 * 4096)
+        self._set(k, _places(codes[:-1], codes[1:]))
+
+    def _set(self, k: int, counts: np.ndarray) -> None:
+        bigrams, singles, blocks = counts[:TABLE], counts[TABLE : 2 * TABLE], counts[2 * TABLE :]
+        total = max(int(singles.sum()), 1)
+        self.bigrams[k] = bigrams / total
+        self.singles[k] = singles / total
+        self.blocks[k] = (blocks + 1e-3) / (total + 1e-3 * 4096)
 
     def _prepare(self) -> None:
         """A last row bounds every state but the clean one from above."""
@@ -595,9 +626,223 @@ def sample(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int
         share = min(1.0, 8 * share)  # few distinct texts among many copies
 
 
-def fit(df: DataFrame, text: str, pages: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS, longest: int = SAMPLE_LONGEST) -> Model:
-    """The model of a corpus, from a bounded :func:`sample` of it. All texts, long ones too, are labelled by it."""
-    return Model([line for t in sample(df, text, pages, characters, longest) for line in t.split("\n")])
+#: Wrong readings that lose characters.
+LOSSES = [("cp1252", "utf-8"), ("utf-8", "ascii"), ("gb18030", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "utf-8")]
+#: Pairs whose reader takes several bytes together, so that what a character turns into depends on its neighbours; blanks separate them.
+TOGETHER = [k for k, (_, read) in enumerate(PAIRS) if read in ("gb18030", "big5", "shift_jis")]
+#: Bigrams and words of a task that are held before they are counted.
+HELD = 300_000
+#: At a line's very end a reader of several bytes takes what follows a digit for cut off, so such words are read alone.
+_DIGIT = re.compile(b"[0-9]")
+COUNTS = T.StructType([T.StructField("lines", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
+
+
+@lru_cache(maxsize=200_000)
+def _bits(c: str) -> int:
+    """Bit k if pair k changes a character, bit 32 + k if it can't be written in it; bit 62 and so on if a loss's encoding can't write it."""
+    out = 0
+    for k, pair in enumerate(PAIRS):
+        other = garble(c, pair)
+        out |= 1 << 32 + k if other is None else (other != c) << k
+    for k, (written, _) in enumerate(LOSSES):
+        out |= (_bytes_of(c, written) is None) << 62 + k
+    return out
+
+
+def _loses(line: str, bits: int) -> int:
+    """Bit k if loss k loses characters of a line with these :func:`_bits`."""
+    out = 0
+    for k, (written, read) in enumerate(LOSSES):
+        if not bits >> 62 + k & 1:
+            try:
+                out |= ("�" in _write(line, written).decode(read)) << k
+            except UnicodeDecodeError:
+                out |= 1 << k
+    return out
+
+
+def _weighted(lines: list[str], times: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes (before, now) of all places of lines, and how often each counts."""
+    codes = _codes("\n" + "\n".join(lines) + "\n")
+    return codes[:-1], codes[1:], np.array(times, dtype=np.int64)[np.cumsum(codes == 10)[:-1] - 1]
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+
+
+class Counter:
+    """Counts of a task's lines: bigrams by the pairs that change their lines, and what words turn into where characters are read together."""
+
+    def __init__(self) -> None:
+        self.words: dict[tuple[int, str], int] = {}
+        self.lost = np.zeros((len(STATES), PLACES), dtype=np.int64)
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, lines: list[str], times: list[int]) -> None:
+        """Counts lines that aren't plain ASCII, each so many times."""
+        of: dict[int, tuple[list[str], list[int]]] = {}
+        together = sum(1 << k for k in TOGETHER)
+        words = self.words
+        for line, n in zip(lines, times):
+            bits = 0
+            for c in set(line):
+                if c > "\x7f":
+                    bits |= _bits(c)
+            changed = bits & ~(bits >> 32) & (1 << len(PAIRS)) - 1
+            some = of.setdefault(changed, ([], []))
+            some[0].append(line)
+            some[1].append(n)
+            asked = changed & together | _loses(line, bits) << 32
+            own = line.split(" ")
+            for i, w in enumerate(own):
+                if not w.isascii():
+                    end = " " if i < len(own) - 1 else "" if _DIGIT.search(w[-3:].encode("gb18030", "replace")) else "\n"
+                    key = asked, ("\n" if i == 0 else " ") + w + end
+                    words[key] = words.get(key, 0) + n
+        for changed, (some, each) in of.items():
+            before, now, n = _weighted(some, each)
+            scored = (before >= 0x80) | (now >= 0x80)
+            keys, n = _added(before[scored] << 21 | now[scored], n[scored])
+            if changed in self.keys:
+                held = self.keys[changed]
+                keys, n = _added(np.concatenate([held[0], keys]), np.concatenate([held[1], n]))
+            self.keys[changed] = keys, n
+        if len(words) > HELD:
+            self._read()
+
+    def _read(self) -> None:
+        """Puts the words that are held through what reads characters together."""
+        alike: dict[tuple[int, int], list[str]] = {}
+        for (asked, w), n in self.words.items():
+            alike.setdefault((asked, n), []).append(w)
+        self.words.clear()
+        by_times: dict[tuple[int, int], list[str]] = {}
+        for (asked, n), some in alike.items():
+            parts = ["".join(w for w in some if w[-1] in " \n") + "\n\n\n", *(w for w in some if w[-1] not in " \n")]
+            for k in TOGETHER:
+                if asked >> k & 1:
+                    by_times.setdefault((k, n), []).extend(parts)
+            for k in range(len(LOSSES)):
+                if asked >> 32 + k & 1:
+                    by_times.setdefault((32 + k, n), []).extend(parts)
+        for (k, n), some in by_times.items():
+            read = [garble(x, PAIRS[k] if k < 32 else LOSSES[k - 32]) for x in some]
+            if k >= 32:
+                read += [garble(x, ("utf-8", "gb18030")) for x in read]  # U+FFFD written and read once more
+            codes = _codes("\n".join(read) + "\n")
+            self.lost[k + 1 if k < 32 else len(STATES) - 1] += n * _places(codes[:-1], codes[1:])
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What lines have in common, the places, how often each: negative for a state's places, else the pairs that change them and their bigrams."""
+        self._read()
+        for k in range(len(STATES)):
+            at = np.flatnonzero(self.lost[k])
+            if len(at):
+                yield -1 - k, at, self.lost[k][at]
+        for changed, (keys, n) in self.keys.items():
+            yield changed, keys, n
+
+
+class Expander:
+    """Counts of the states from counts of bigrams."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros((len(STATES), PLACES), dtype=np.int64)
+        self.turned: dict[tuple[int, int], tuple[int, int, list[tuple[int, int]]]] = {}
+
+    def _turn(self, k: int, code: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """First and last code that a character turns into by a pair, and the bigrams between."""
+        found = self.turned.get((k, code))
+        if found is None:
+            codes = [_fold(ord(c)) for c in garble(chr(code), PAIRS[k])]
+            found = self.turned[k, code] = codes[0], codes[-1], list(zip(codes, codes[1:]))
+        return found
+
+    def add(self, changed: int, keys: np.ndarray, n: np.ndarray) -> None:
+        if changed < 0:
+            self.counts[-1 - changed] += np.bincount(keys, n, PLACES).astype(np.int64)
+            return
+        before, now = keys >> 21, keys & (1 << 21) - 1
+        self.counts[0] += _places(before, now, n)
+        chars, at = np.unique(np.concatenate([before, now]), return_inverse=True)
+        held = np.bincount(at[len(before) :], n, len(chars))
+        for k in range(len(PAIRS)):
+            if changed >> k & 1 and k not in TOGETHER:
+                turned = [self._turn(k, int(c)) for c in chars]
+                first, last = np.array([t[0] for t in turned]), np.array([t[1] for t in turned])
+                inner = [(a, b, m) for t, m in zip(turned, held) for a, b in t[2]]
+                a, b, m = (np.array([x[i] for x in inner], dtype=np.int64) for i in range(3))
+                self.counts[k + 1] += _places(np.concatenate([last[at[: len(before)]], a]), np.concatenate([first[at[len(before) :]], b]), np.concatenate([n, m]))
+
+
+def _batches(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lines, place, n in parts:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), lines, dtype=np.int64)), pa.array(place.astype(np.int64)), pa.array(n.astype(np.int64))], ["lines", "place", "n"])
+
+
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = Counter()
+    for batch in batches:
+        counter.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    yield from _batches(list(counter.rows()))
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    expander = Expander()
+    for batch in batches:
+        lines, place, n = (np.asarray(c) for c in batch.columns)
+        for changed in np.unique(lines):
+            own = lines == changed
+            expander.add(int(changed), place[own], n[own])
+    yield from _batches([(k, at, expander.counts[k][at]) for k in range(len(STATES)) if len(at := np.flatnonzero(expander.counts[k]))])
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """Counts by state and place; at most one row for each reaches the driver."""
+    out = np.zeros((len(STATES), PLACES), dtype=np.int64)
+    found = rows.groupBy("lines", "place").agg(F.sum("n").alias("n")).toArrow()
+    lines, place, n = (found.column(i).to_numpy() for i in range(3))
+    out[lines, place] = n
+    return out
+
+
+def odd_lines(df: DataFrame, text: str) -> DataFrame:
+    """(``line``, ``n``): the lines that hold characters outside ASCII and how often they stand in distinct texts; copies of a text count once."""
+    beyond = "[^\\x00-\\x7f]"
+    own = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(beyond))
+    texts = df.where(F.col(text).rlike(beyond)).select(F.xxhash64(text).alias("h"), F.array_join(own, "\n").alias("t")).distinct()
+    return texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def fit(df: DataFrame, text: str) -> Model:
+    """The model of a corpus, counted over all its distinct texts; equal to the :class:`Model` of their lines, however many they are."""
+    lines = cut(odd_lines(df, text))
+    counts = _summed(lines.mapInArrow(_count_lines, COUNTS).groupBy("lines", "place").agg(F.sum("n").alias("n")).mapInArrow(_expand, COUNTS))
+    model = Model.of_counts(counts)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def garbled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = shared.value, np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            values, times, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            while at < len(values):
+                size, start = 0, at
+                while at < len(values) and size < BATCH_CHARACTERS:
+                    size += len(values[at])
+                    at += 1
+                some = values[start:at]
+                dirty = [i for i, (x, spans) in enumerate(zip(some, own.label(some))) if own.verdict(x, spans)]
+                if dirty:
+                    found += _places(*_weighted([some[i] for i in dirty], [times[start + i] for i in dirty]))
+        at = np.flatnonzero(found)
+        yield from _batches([(0, at, found[at])])
+
+    model._set(0, counts[0] - _summed(lines.mapInArrow(garbled, COUNTS))[0])
+    model._logs.clear()
+    return model
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:

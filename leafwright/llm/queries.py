@@ -20,8 +20,8 @@ def _pages(spark: SparkSession, folder: str, source: Callable[..., DataFrame] =
 
 
 def _encodings(spark: SparkSession, folder: str) -> encoding.Model:
-    """The model of wrong encodings, fitted on a sample of at most 64 files."""
-    return encoding.fit(some_files(spark, folder, "mini_gold", "content_text"), "content_text")
+    """The model of wrong encodings, counted over all texts."""
+    return encoding.fit(table(spark, folder, "mini_gold", "content_text"), "content_text")
 
 
 def _fitted(spark: SparkSession, folder: str, words: bool) -> residue.Fitted:

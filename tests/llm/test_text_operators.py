@@ -291,6 +291,20 @@ def test_saved_model(spark, model, tmp_path):
     assert encoding.load(spark, str(tmp_path / "m")).label(["MÃ¼hle über"]) == model.label(["MÃ¼hle über"])
 
 
+def test_model_counts_all_lines_of_distinct_texts(spark):
+    r = random.Random(4)
+    words = [w for x in CLEAN for w in x.split(" ")]
+    lines = [f"{' '.join(r.choices(words, k=6))} {i:04}" for i in range(encoding.SAMPLE_PAGES + 500)]
+    lines += [y for i, x in enumerate(lines[:300]) if (y := encoding.garble(x, encoding.PAIRS[i % len(encoding.PAIRS)]))] + ["ï¿½ a\\b ~ü", "« – »", "…" * 30_000, "x\u3000\x85y", "Ã¼ �"]
+    lines = list(dict.fromkeys(x for x in lines if not x.isascii()))
+    df = spark.createDataFrame([(x,) for x in [*lines, *lines[:50], None, "", "plain", "\n".join(lines[:7]) + "\nplain\n"]], "t string").repartition(7)
+    got, want = encoding.fit(df, "t"), encoding.Model([*lines, *lines[:7]])
+    for table in ("bigrams", "singles", "blocks"):
+        a, b = getattr(got, table), getattr(want, table)
+        assert a.shape == b.shape and all((x == y).all() for x, y in zip(a, b)), table
+    assert encoding.fit(df.limit(0), "t").label(["x", "ü"])[0] == []
+
+
 def test_sample_is_distinct_and_bounded(spark):
     rows = [("Größere Störung über der Mühle",)] * 500 + [(f"Zeile {i} über Mühlen",) for i in range(40)] + [("ü" * 5000,)]
     df = spark.createDataFrame(rows, "t string")
