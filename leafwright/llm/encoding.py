@@ -283,6 +283,23 @@ class Model:
         self._logs = {}
         return self
 
+    def __getstate__(self) -> dict:
+        """Without the places that nothing was counted at, which are most."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("_of", "_feeds", "_logs")}
+        for name in ("bigrams", "singles"):
+            at = np.flatnonzero(state[name])
+            state[name] = state[name].shape, at.astype(np.int32), state[name].ravel()[at]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._logs = {}
+        for name in ("bigrams", "singles"):
+            shape, at, values = state[name]
+            table = np.zeros(shape, dtype=np.float32)
+            table.ravel()[at] = values
+            setattr(self, name, table)
+
     def _count(self, k: int, text: str) -> None:
         """Probabilities of (before, now) pairs of a state: joint, so that both sides of a boundary count."""
         codes = _codes("\n" + text + "\n")
@@ -841,6 +858,7 @@ def fit(df: DataFrame, text: str) -> Model:
         yield from _batches([(0, at, found[at])])
 
     model._set(0, counts[0] - _summed(lines.mapInArrow(garbled, COUNTS))[0])
+    shared.destroy()
     model._logs.clear()
     return model
 

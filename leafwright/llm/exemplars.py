@@ -509,6 +509,8 @@ KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azer
 
 #: Pages of a sample that a known word stands on; fewer where the sample is small.
 ON_PAGES = 3
+#: One of so many pages must hold a known word of a large corpus; so their number is at most that many times the words of a page on average.
+ONE_OF_PAGES = 3000
 #: Log probability of a pair of letters that a side doesn't have.
 RAREST_PAIR = -14.0
 
@@ -518,14 +520,28 @@ class Fill:
 
     def __init__(self, pages: list[str]):
         """``pages`` are masked texts. Words on several of them are known; what stands on one may itself be filler."""
+        on: Counter[str] = Counter()
+        for x in pages:
+            on.update(set(tokens(x)))
+        self._know(on, self.least(len(pages)))
+
+    @staticmethod
+    def least(pages: int) -> int:
+        """On how many of so many pages a word must stand to be known; beyond a few thousand a fixed share of them."""
+        return max(1, min(ON_PAGES, pages // 50), -(-pages // ONE_OF_PAGES))
+
+    @classmethod
+    def of_counts(cls, on: dict[str, int], least: int) -> Fill:
+        """From the numbers of pages that words stand on."""
+        self = cls.__new__(cls)
+        self._know(on, least)
+        return self
+
+    def _know(self, on: dict[str, int], least: int) -> None:
         pieces = " ".join(w[i:j] for w in FILLER[0].split(" ") for i in range(len(w)) for j in range(i + 2, min(i + 5, len(w)) + 1))
         joined = " ".join(a + b for a, b in zip(pieces.split(" "), reversed(pieces.split(" "))))  # pieces in new words
         keys = " ".join(row[i:j] for row in KEY_ROWS for i in range(len(row)) for j in range(i + 3, len(row) + 1))
         self.tables = [self._pairs([FILLER[0], pieces, joined]), self._pairs([keys])]
-        on: Counter[str] = Counter()
-        for x in pages:
-            on.update(set(tokens(x)))
-        least = max(1, min(ON_PAGES, len(pages) // 50))
         self.known = {w for w, n in on.items() if n >= least}
         self.corpus = self._pairs([f"{w} " * min(on[w], 100) for w in self.known])
         self.letters = {c for w in self.known for c in w}

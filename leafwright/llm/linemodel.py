@@ -2,8 +2,8 @@
 
 Two are fitted. *Furniture*: its labels come from the pages themselves. A line that stands in the same masked wording on several
 pages of one site, or begins with a label that does, is furniture; a line of several words that stands once is text. *Residue*:
-its labels are the exemplars of residue against lines of the corpus that no exemplar covers. Both are fitted on a bounded sample; they
-judge every line.
+its labels are the exemplars of residue against lines of the corpus that no exemplar covers. Both can be fitted on all lines of a
+corpus: each step of the descent is a pass over its lines, which are kept as numbers of features.
 """
 
 from __future__ import annotations
@@ -11,10 +11,15 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafwright.llm.exemplars import Index, is_prose, mask, tokens
+from leafwright.session import cut
 
 #: Pages of a site in the sample that must hold a wording, or begin a line with a label, for it to count as furniture; words that a single line needs to count as text.
 REPEATED, LABELLED, TEXT_WORDS = 3, 4, 6
@@ -28,6 +33,10 @@ WORDED, BEGUN = 0.3, 0.5
 STEM = 5
 #: Characters of a line in which a label before a colon may end.
 LABEL = 40
+#: Features on at least one of so many lines get a weight; so their number is at most that many times the features of a line on average.
+ONE_OF = 100_000
+#: Features of a task that are held before their counts move; most partitions of the lines that the descent passes over, and lines for which one more is made.
+HELD, PARTS, PART_LINES = 500_000, 64, 50_000
 
 
 def shape(masked: str, words: list[str]) -> list[tuple[str, str]]:
@@ -50,6 +59,19 @@ def with_stems(words: list[str]) -> set[str]:
     return found | {w[:STEM] + "~" for w in found if len(w) > STEM}
 
 
+def features(masked: str, stems: bool) -> list[tuple[tuple[str, str], float]]:
+    """Features of a line and what each counts; none for a line without words."""
+    words = tokens(masked)
+    if not words:
+        return []
+    part = 1 / math.sqrt(len(set(words)))
+    return [*((("word", w), part) for w in (with_stems(words) if stems else set(words))), *((f, 1.0) for f in shape(masked, words))]
+
+
+def _counted(held: Counter[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([x for _, x in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["kind", "name", "n"])
+
+
 class LineModel:
     """Weights of features; :meth:`score` is the log odds that a line belongs to the class."""
 
@@ -58,27 +80,89 @@ class LineModel:
         names: dict[tuple[str, str], int] = {}
         row, column, value = [], [], []
         for i, masked in enumerate(lines):
-            words = tokens(masked)
-            if not words:
-                continue
-            distinct = with_stems(words) if stems else set(words)
-            part = 1 / math.sqrt(len(set(words)))
-            for f, v in [*((("word", w), part) for w in distinct), *((f, 1.0) for f in shape(masked, words))]:
+            for f, v in features(masked, stems):
                 row.append(i)
                 column.append(names.setdefault(f, len(names)))
                 value.append(v)
         y, each = np.array(labels), np.array(weights if weights is not None else np.ones(len(labels)))
         r, c, x = np.array(row, dtype=np.int64), np.array(column, dtype=np.int64), np.array(value)
+
+        def slope(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+            off = (1 / (1 + np.exp(-(np.bincount(r, x * w[c], len(y)) + bias))) - y) * each
+            return np.bincount(c, x * off[r], len(names)), float(off.sum())
+
+        self._descend(list(names), float(each.sum()) if len(lines) else 0.0, slope)
+
+    @classmethod
+    def of_corpus(cls, lines: DataFrame, stems: bool = False) -> LineModel:
+        """The model of all rows of ``lines`` (``line``, masked; ``label``, 1 or 0; ``n``, what it weighs)."""
+        self = cls.__new__(cls)
+        self.stems = stems
+        lines = cut(lines)
+        count, total = lines.agg(F.count("*"), F.sum("n")).first()
+        least = count / ONE_OF
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: Counter[tuple[str, str]] = Counter()
+            for batch in batches:
+                for masked in batch.column(0).to_pylist():
+                    held.update([f for f, _ in features(masked, stems)])
+                if len(held) > HELD:
+                    yield _counted(held)
+                    held.clear()
+            yield _counted(held)
+
+        kept = lines.select("line").mapInArrow(found, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        names = sorted((r.kind, r.name) for r in kept.toLocalIterator())
+        context = lines.sparkSession.sparkContext
+        known = context.broadcast({f: i for i, f in enumerate(names)})
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = known.value
+            for batch in batches:
+                own = [[(of[f], v) for f, v in features(masked, stems) if f in of] for masked in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in x] for x in own], pa.list_(pa.int32())), pa.array([[v for _, v in x] for x in own], pa.list_(pa.float32())), batch.column(1), batch.column(2)], ["f", "v", "label", "n"])
+
+        rows = cut(lines.select("line", F.col("label").cast("double"), F.col("n").cast("double")).mapInArrow(numbered, "f array<int>, v array<float>, label double, n double").coalesce(max(1, min(PARTS, count // PART_LINES))))
+
+        def slope(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+            now = context.broadcast((w, bias))
+
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                w, bias = now.value
+                out, rest = np.zeros(len(w)), 0.0
+                for batch in batches:
+                    f, v, y, each = batch.columns
+                    r = np.repeat(np.arange(len(f)), np.diff(f.offsets.to_numpy()))
+                    c, x = f.flatten().to_numpy(), v.flatten().to_numpy()
+                    off = (1 / (1 + np.exp(-(np.bincount(r, x * w[c], len(f)) + bias))) - y.to_numpy()) * each.to_numpy()
+                    out += np.bincount(c, x * off[r], len(w))
+                    rest += float(off.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([rest])], ["slope", "rest"])
+
+            whole, rest = np.zeros(len(w)), 0.0
+            for one in rows.mapInArrow(part, "slope binary, rest double").toArrow().to_pylist():
+                whole += np.frombuffer(one["slope"])
+                rest += one["rest"]
+            now.destroy()
+            return whole, rest
+
+        self._descend(names, float(total or 0.0), slope)
+        known.destroy()
+        return self
+
+    def _descend(self, names: list[tuple[str, str]], total: float, slope: Callable[[np.ndarray, float], tuple[np.ndarray, float]]) -> None:
+        """Weights of the features; ``slope`` gives the sums over all lines for weights and a bias."""
         w, self.bias, spread = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6)
-        for _ in range(ROUNDS if len(lines) and each.sum() > 0 else 0):
-            off = (1 / (1 + np.exp(-(np.bincount(r, x * w[c], len(y)) + self.bias))) - y) * each / each.sum()
-            slope = np.bincount(c, x * off[r], len(names)) + PULL * w
-            spread += slope * slope
-            w -= RATE * slope / np.sqrt(spread)
-            self.bias -= RATE * float(off.sum())
+        for _ in range(ROUNDS if total > 0 else 0):
+            whole, rest = slope(w, self.bias)
+            each = whole / total + PULL * w
+            spread += each * each
+            w = w - RATE * each / np.sqrt(spread)
+            self.bias -= RATE * rest / total
         self.words: dict[str, float] = {}
         self.shapes: dict[tuple[str, str], float] = {}
-        for f, k in names.items():
+        for k, f in enumerate(names):
             if f[0] == "word":
                 self.words[f[1]] = float(w[k])
             else:
@@ -155,9 +239,29 @@ def article_lines(pages: list[tuple[str, str | None]], index: Index, covered: fl
     return list(out)
 
 
+def _positives(exemplars: list[str], seed: int) -> list[str]:
+    r = random.Random(seed)
+    return [mask(e.replace("…", r.choice(["", "index.html", "/a/b/7", "x"])).replace("#", str(r.randint(1, 999))), None) for e in exemplars]
+
+
 def residue_model(articles: list[str], exemplars: list[str], seed: int = 5) -> LineModel:
     """Exemplars, with numbers filled in, against lines of articles, both sides weighing the same."""
-    r = random.Random(seed)
-    positives = [mask(e.replace("…", r.choice(["", "index.html", "/a/b/7", "x"])).replace("#", str(r.randint(1, 999))), None) for e in exemplars]
+    positives = _positives(exemplars, seed)
     weigh = len(articles) / max(len(positives), 1)
     return LineModel(positives + articles, [1.0] * len(positives) + [0.0] * len(articles), [weigh / 2] * len(positives) + [1.0] * len(articles), stems=True)
+
+
+def residue_model_of(pages: DataFrame, index: Index, covered: float, exemplars: list[str], seed: int = 5) -> LineModel:
+    """:func:`residue_model` against the :func:`article_lines` of all ``pages`` (``t``, ``s``)."""
+    shared = pages.sparkSession.sparkContext.broadcast(index)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = article_lines(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), shared.value, covered)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["line"])
+
+    articles = cut(pages.select("t", "s").mapInArrow(lines, "line string").distinct())
+    positives = _positives(exemplars, seed)
+    weigh = articles.count() / max(len(positives), 1)
+    ours = pages.sparkSession.createDataFrame([(x, 1.0, weigh / 2) for x in positives], "line string, label double, n double")
+    return LineModel.of_corpus(articles.select("line", F.lit(0.0).alias("label"), F.lit(1.0).alias("n")).union(ours), stems=True)

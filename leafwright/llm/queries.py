@@ -24,9 +24,9 @@ def _encodings(spark: SparkSession, folder: str) -> encoding.Model:
     return encoding.fit(table(spark, folder, "mini_gold", "content_text"), "content_text")
 
 
-def _fitted(spark: SparkSession, folder: str, words: bool) -> residue.Fitted:
-    """All models of pages, fitted on a sample of at most 64 files; frequencies of words over all of them if ``words``."""
-    return residue.fit(_pages(spark, folder), "content_text", "site", _pages(spark, folder, some_files), words)
+def _fitted(spark: SparkSession, folder: str, residue_only: bool) -> residue.Fitted:
+    """The models that p2 (``residue_only``) or p4 judges pages by; p2's weigh words by their frequencies, p4 needs furniture, too."""
+    return residue.fit(_pages(spark, folder), "content_text", "site", words=residue_only, furniture=not residue_only)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

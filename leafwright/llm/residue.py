@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm import linemodel
+from leafwright.llm import encoding, linemodel
 from leafwright.llm.encoding import Model, sample
 from leafwright.llm.exemplars import FILLER, FURNITURE, FURNITURE_GENERAL, HAN_FILLER, LIST_HEADINGS, MENU, RESIDUE, RESIDUE_GENERAL, SIGNATURES, Fill, Index, is_prose, mask, sentences, tokens
 from leafwright.session import cut
@@ -77,16 +79,43 @@ def frequent_words(df: DataFrame, text: str, one_of: int = FREQUENT) -> tuple[di
     return {r.w: math.log(1 + n / r.c) for r in counts.toLocalIterator()}, math.log(1 + max(min(n, one_of), 1))
 
 
-def fit(df: DataFrame, text: str, site: str, part: DataFrame | None = None, words: bool = True) -> Fitted:
-    """Models of a corpus with columns ``text`` and ``site``. Word frequencies are counted over all of ``df``; the rest is fitted on a bounded sample of ``part`` (some of its files), else of ``df``."""
-    drawn = sample(df if part is None else part, text, source=site)
-    lines = [x for t, _ in drawn for x in t.split("\n")]
+def distinct_pages(df: DataFrame, text: str, site: str) -> DataFrame:
+    """(``t``, ``s``): the distinct texts that aren't empty, each with one of its sites."""
+    return df.select(F.col(text).alias("t"), F.col(site).alias("s")).where(F.length("t") > 0).groupBy("t").agg(F.min("s").alias("s"))
+
+
+def fill_of(pages: DataFrame, encodings: Model) -> Fill:
+    """What tells filler from the words of all ``pages`` (``t``); those of lines that read as garbled don't count."""
+    shared = pages.sparkSession.sparkContext.broadcast(encodings)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                lines = t.split("\n")
+                held.update({w for x, odd in zip(lines, shared.value.odd(lines)) if not odd and "�" not in x for w in tokens(mask(x, None))})
+            if len(held) > linemodel.HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+
+    least = Fill.least(pages.count())
+    counts = pages.select("t").mapInArrow(found, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    on = {r.w: r.n for r in counts.orderBy("w").toLocalIterator()}
+    shared.destroy()
+    return Fill.of_counts(on, least)
+
+
+def fit(df: DataFrame, text: str, site: str, words: bool = True, furniture: bool = True) -> Fitted:
+    """Models of a corpus with columns ``text`` and ``site``, on all its distinct texts; word frequencies and the model of furniture only if asked for."""
+    pages = cut(distinct_pages(df, text, site))
     frequent, rare = frequent_words(df, text) if words else (None, None)
-    out = Fitted(Model(lines), furniture=linemodel.furniture_model(drawn), frequent=frequent, rare=rare)
+    out = Fitted(encoding.fit(pages, "t"), frequent=frequent, rare=rare)
+    if furniture:
+        out.furniture = linemodel.furniture_model(sample(pages, "t", source="s"))
     index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
-    articles = linemodel.article_lines(drawn, index, COVERED)
-    out.residue = linemodel.residue_model(articles, labelled()["residue"])
-    out.fill = Fill([mask(t, None) for t, _ in drawn])
+    out.residue = linemodel.residue_model_of(pages, index, COVERED, labelled()["residue"])
+    out.fill = fill_of(pages, out.encodings)
     return out
 
 

@@ -223,6 +223,21 @@ def test_fitting_on_a_corpus(spark):
     assert residue.Judge(empty).residue(PROSE, None) == (False, PROSE)
 
 
+def test_line_model_of_a_corpus_is_that_of_its_lines(spark):
+    rows = [(exemplars.mask(x, None), float(i % 2), 1.0 + i % 3) for i, x in enumerate([*CLEAN, PROSE, PAGE.replace("\n", " "), "- - -"])]
+    got = linemodel.LineModel.of_corpus(spark.createDataFrame(rows, "line string, label double, n double").repartition(3), True)
+    want = linemodel.LineModel(*map(list, zip(*rows)), True)
+    assert got.bias == pytest.approx(want.bias, abs=1e-5) and got.words == pytest.approx(want.words, abs=1e-5) and got.shapes == pytest.approx(want.shapes, abs=1e-5)
+
+
+def test_residue_models_know_all_texts(spark):
+    own = " ".join("Zanholm gardeners moored seventeen barges beside the orchard." for _ in range(400))
+    texts = [f"{own}\n{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\nUnder {chr(97 + i)} oak." for i in range(20)]
+    assert len(own) > encoding.SAMPLE_LONGEST  # no sample holds these
+    fitted = residue.fit(spark.createDataFrame([(t, "post") for t in texts], "t string, s string"), "t", "s", furniture=False)
+    assert {"gardeners", "barges"} <= fitted.fill.known and fitted.residue.words["gardeners"] < 0
+
+
 def test_furniture(spark, model):
     rows = [("a", PAGE, "ardria_post", "A plan for the harbour"), ("a", PAGE, "ardria_post", "A plan for the harbour"), ("b", PAGE, None, None), ("c", RESIDUE[0], None, None), ("d", None, None, None), ("e", "", None, None)]
     df = spark.createDataFrame(rows, "id string, text string, site string, title string").selectExpr("*", "1 AS line_no", "2 AS _text")
