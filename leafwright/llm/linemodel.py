@@ -228,6 +228,38 @@ def furniture_model(pages: list[tuple[str, str | None]]) -> LineModel:
     return LineModel(*label_by_repetition(pages))
 
 
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """(``line``, ``label``, ``n``): :func:`label_by_repetition` of all ``pages`` (``t``, ``s``), equal lines of one label as one row."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = site.replace("_", " ") if site else None
+                held = Counter(mask(x, name) for x in text.split("\n") if x and not x.isspace())
+                rows += [(site, m, m[:LABEL].split(":")[0] if ":" in m[:LABEL] else None, len(tokens(m)), n) for m, n in held.items()]
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["s", "line", "head", "words", "n"])
+
+    lines = cut(pages.select("t", "s").mapInArrow(own, "s string, line string, head string, words long, n long").groupBy("s", "line", "head", "words").agg(F.count("*").alias("held"), F.sum("n").alias("n")))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = site.replace("_", " ") if site else None
+                masked = (mask(x, name) for x in text.split("\n") if ":" in x or "：" in x or not x.isascii())
+                rows += [(site, h) for h in {m[:LABEL].split(":")[0] for m in masked if ":" in m[:LABEL]}]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())], ["s", "head"])
+
+    begun = pages.where(F.col("s").isNotNull()).select("t", "s").mapInArrow(heads, "s string, head string").groupBy("s", "head").count().where(F.col("count") >= LABELLED).select("s", "head", F.lit(True).alias("begun"))
+    told = lines.join(begun, ["s", "head"], "left")
+    furniture = F.col("s").isNotNull() & ((F.col("held") >= REPEATED) | F.col("begun").isNotNull())
+    label = F.when(furniture, 1.0).when((F.col("held") == 1) & (F.col("words") >= TEXT_WORDS), 0.0)
+    return told.select("line", label.alias("label"), "n").where(F.col("label").isNotNull()).groupBy("line", "label").agg(F.sum("n").cast("double").alias("n"))
+
+
 def article_lines(pages: list[tuple[str, str | None]], index: Index, covered: float) -> list[str]:
     """Distinct masked lines, not covered by ``index``, of the pages with several sentences that it doesn't cover either: these are surely articles."""
     out: dict[str, None] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwright.llm import encoding, linemodel
-from leafwright.llm.encoding import Model, sample
+from leafwright.llm.encoding import Model
 from leafwright.llm.exemplars import FILLER, FURNITURE, FURNITURE_GENERAL, HAN_FILLER, LIST_HEADINGS, MENU, RESIDUE, RESIDUE_GENERAL, SIGNATURES, Fill, Index, is_prose, mask, sentences, tokens
 from leafwright.session import cut
 
@@ -112,7 +112,7 @@ def fit(df: DataFrame, text: str, site: str, words: bool = True, furniture: bool
     frequent, rare = frequent_words(df, text) if words else (None, None)
     out = Fitted(encoding.fit(pages, "t"), frequent=frequent, rare=rare)
     if furniture:
-        out.furniture = linemodel.furniture_model(sample(pages, "t", source="s"))
+        out.furniture = linemodel.LineModel.of_corpus(linemodel.repeated_lines(pages))
     index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
     out.residue = linemodel.residue_model_of(pages, index, COVERED, labelled()["residue"])
     out.fill = fill_of(pages, out.encodings)

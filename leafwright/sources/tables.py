@@ -9,15 +9,3 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """The named table, restricted to ``columns`` if any are given, so that the scan reads no others."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def some_files(spark: SparkSession, folder: str, name: str, *columns: str, files: int = 64) -> DataFrame:
-    """:func:`table` over at most ``files`` of its files, picked by a hash of their names: what a model is fitted on needn't be all of a large table."""
-    import hashlib
-
-    whole = table(spark, folder, name, *columns)
-    paths = sorted(whole.inputFiles(), key=lambda p: hashlib.sha1(p.rsplit("/", 1)[-1].encode()).hexdigest())
-    if len(paths) <= files:
-        return whole
-    some = spark.read.parquet(*paths[:files])
-    return some.select(*columns) if columns else some

@@ -238,6 +238,15 @@ def test_residue_models_know_all_texts(spark):
     assert {"gardeners", "barges"} <= fitted.fill.known and fitted.residue.words["gardeners"] < 0
 
 
+def test_repeated_lines_of_all_texts(spark):
+    r = random.Random(8)
+    long = " ".join(["quay"] * 5000)  # no sample holds texts of that length
+    pages = [("\n".join([long, f"Tide {i}: {r.choice('abc')}", f"Tide {i}: x", "Moor here", *(["Rare"] if i < 2 else []), f"{PROSE} {chr(97 + i)}", *([f"{PROSE} {chr(97 + i)}"] if i % 5 == 0 else [])]), r.choice(["a_b", "c_d", None])) for i in range(24)]
+    got = linemodel.repeated_lines(spark.createDataFrame(pages, "t string, s string").repartition(3)).collect()
+    assert {(x.line, x.label): x.n for x in got} == Counter(zip(*linemodel.label_by_repetition(pages)))
+    assert len(long) > encoding.SAMPLE_LONGEST and any(x.label == 1 for x in got)
+
+
 def test_furniture(spark, model):
     rows = [("a", PAGE, "ardria_post", "A plan for the harbour"), ("a", PAGE, "ardria_post", "A plan for the harbour"), ("b", PAGE, None, None), ("c", RESIDUE[0], None, None), ("d", None, None, None), ("e", "", None, None)]
     df = spark.createDataFrame(rows, "id string, text string, site string, title string").selectExpr("*", "1 AS line_no", "2 AS _text")
