@@ -17,6 +17,7 @@ may hold spans of several states. A label stands only if its span gains by the i
 
 from __future__ import annotations
 
+import codecs
 import math
 import pickle
 import re
@@ -61,31 +62,28 @@ BATCH_CHARACTERS = 150_000
 _C1 = {chr(i): bytes([i]) for i in range(0x80, 0xA0)}
 
 
-def _read(data: bytes, encoding: str) -> str:
-    """``data`` as a careless reader in ``encoding`` sees it: bytes that Windows code pages leave open pass through, others are lost."""
-    if encoding in ("cp1252", "cp1251"):
-        return data.decode(encoding, "surrogateescape").translate(_UNDEFINED)
-    return data.decode(encoding, "replace")
+def _pass(e: UnicodeError) -> tuple[bytes | str, int]:
+    """Takes bytes that a Windows code page leaves open, and their characters, for each other."""
+    part = e.object[e.start : e.end]
+    if isinstance(e, UnicodeDecodeError):
+        return part.decode("latin-1"), e.end
+    if all(c in _C1 for c in part):
+        return part.encode("latin-1"), e.end
+    raise e
 
 
-_UNDEFINED = {0xDC00 + i: i for i in range(0x80, 0x100)}
+codecs.register_error("leafwright-pass", _pass)
 
 
-def _write(text: str, encoding: str) -> bytes:
+def _read(data: bytes, encoding: str) -> str:
+    """``data`` as a careless reader in ``encoding`` sees it: bytes that Windows code pages leave open pass through, others are lost."""
     if encoding in ("cp1252", "cp1251"):
-        try:
-            return text.encode(encoding)
-        except UnicodeEncodeError:
-            return b"".join(_C1[c] if c in _C1 and not _encodes(c, encoding) else c.encode(encoding) for c in text)
-    return text.encode(encoding)
+        return data.decode(encoding, "leafwright-pass")
+    return data.decode(encoding, "replace")
 
 
-def _encodes(c: str, encoding: str) -> bool:
-    try:
-        c.encode(encoding)
-    except UnicodeEncodeError:
-        return False
-    return True
+def _write(text: str, encoding: str) -> bytes:
+    return text.encode(encoding, "leafwright-pass" if encoding in ("cp1252", "cp1251") else "strict")
 
 
 def garble(text: str, pair: tuple[str, str]) -> str | None:
@@ -242,6 +240,25 @@ def _places(before: np.ndarray, now: np.ndarray, times: np.ndarray | None = None
     return np.concatenate(parts).astype(np.int64)
 
 
+#: How far sums of float32 logs, taken in another order, may differ.
+SLACK = 0.05
+
+
+def _spans(gains: np.ndarray, starts: np.ndarray, lengths: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Of each asked line the most that the positions of one span gain together."""
+    lengths = lengths[asked]
+    if not len(lengths):
+        return np.zeros(0)
+    own = np.repeat(starts[asked] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+    sums = np.cumsum(gains[own].astype(np.float64))
+    first = np.cumsum(lengths) - lengths
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    before = np.r_[0.0, sums[:-1]]
+    apart = line * (np.ptp(np.r_[0.0, sums]) + 1.0)  # so that what precedes a line is never its least
+    least = np.minimum.accumulate(before - apart) + apart
+    return np.maximum.reduceat(sums - least, first)
+
+
 class Model:
     """Log probabilities of the states' emissions."""
 
@@ -317,9 +334,16 @@ class Model:
         self.bigrams, self.singles, self.blocks = (np.vstack([x, x[1:].max(axis=0)]) for x in (self.bigrams, self.singles, self.blocks))
 
     def _probability(self, k: int | slice, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        return self._at(k, self._where(before, now))
+
+    @staticmethod
+    def _where(before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the probabilities of positions stand in the tables, and the sizes of their blocks."""
         first, second = _block(before), _block(now)
-        b, s1, s2, g = _bigram(before, now), _single(before), _single(now), first * 64 + second
-        size = (BLOCK_SIZE[first] * BLOCK_SIZE[second]).astype(np.float32)
+        return _bigram(before, now), _single(before), _single(now), first * 64 + second, (BLOCK_SIZE[first] * BLOCK_SIZE[second]).astype(np.float32)
+
+    def _at(self, k: int | slice, where: tuple[np.ndarray, ...]) -> np.ndarray:
+        b, s1, s2, g, size = where
         return WEIGHTS[0] * self.bigrams[k, b] + WEIGHTS[1] * self.singles[k, s1] * self.singles[k, s2] + WEIGHTS[2] * self.blocks[k, g] / size + 1e-14
 
     def emissions(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -332,21 +356,25 @@ class Model:
         asked = [i for i, x in enumerate(lines) if not x.isascii()]
         if not asked:
             return found
-        codes = _codes("\n" + "\n".join(lines[i] for i in asked) + "\n")
-        before, now = codes[:-1], codes[1:]
-        at = np.flatnonzero((before >= 0x80) | (now >= 0x80))
-        line_of = np.cumsum(codes == 10)[at] - 1  # the line that `before` stands in, or that its line feed opens
+        codes = np.frombuffer(("\n" + "\n".join(lines[i] for i in asked) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        beyond = codes >= 0x80
+        at = np.flatnonzero(beyond[:-1] | beyond[1:])
+        before, now = _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))
+        line_of = np.searchsorted(np.flatnonzero(codes == 10), at, side="right") - 1  # the line that `before` stands in, or that its line feed opens
         starts = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
         lengths = np.diff(np.r_[starts, len(at)])
-        # a line stays clean if not even the best of all states at each position could make up for the first change of state
-        clean, most = self._probability(0, before[at], now[at]), self._probability(-1, before[at], now[at])
-        possible = np.add.reduceat(np.log(np.maximum(most, clean)) - np.log(clean), starts) > -np.log(DIRTY)
+        # a line stays clean if not even the best of all states at each position of a span could make up for the first change of state
+        where = self._where(before, now)
+        clean, most = self._at(0, where), self._at(-1, where)
+        more = np.log(most) - np.log(clean)
+        possible = np.add.reduceat(np.maximum(more, 0.0), starts) > -np.log(DIRTY)
+        enough = -np.log(DIRTY / (len(STATES) - 1))
+        possible[possible] = _spans(more, starts, lengths, possible) > enough - SLACK
         if not possible.any():
             return found
-        picked = np.repeat(possible, lengths)
-        scores = self.emissions(before[at[picked]], now[at[picked]])
+        picked = np.flatnonzero(np.repeat(possible, lengths))
+        scores = np.log(self._at(slice(0, len(STATES)), tuple(x[picked] for x in where))).T
         ends = np.cumsum(lengths[possible])
-        enough = -np.log(DIRTY / (len(STATES) - 1))
         worth: list[tuple[int, int, np.ndarray]] = []
         for s, n, end in zip(starts[possible], lengths[possible], ends):
             own = scores[end - n : end]
@@ -654,27 +682,34 @@ _DIGIT = re.compile(b"[0-9]")
 COUNTS = T.StructType([T.StructField("lines", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
 
 
-@lru_cache(maxsize=200_000)
-def _bits(c: str) -> int:
-    """Bit k if pair k changes a character, bit 32 + k if it can't be written in it; bit 62 and so on if a loss's encoding can't write it."""
-    out = 0
+def _bits(c: str) -> tuple[int, int]:
+    """Bit k if pair k changes a character, bit 32 + k if it can't be written in it; bit k of the second number if a loss's encoding can't write it."""
+    pairs = losses = 0
     for k, pair in enumerate(PAIRS):
         other = garble(c, pair)
-        out |= 1 << 32 + k if other is None else (other != c) << k
+        pairs |= 1 << 32 + k if other is None else (other != c) << k
     for k, (written, _) in enumerate(LOSSES):
-        out |= (_bytes_of(c, written) is None) << 62 + k
-    return out
+        losses |= (_bytes_of(c, written) is None) << k
+    return pairs, losses
 
 
-def _loses(line: str, bits: int) -> int:
-    """Bit k if loss k loses characters of a line with these :func:`_bits`."""
-    out = 0
+@lru_cache(maxsize=1)
+def _bit_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_bits` of all characters, and which of them are known so far."""
+    known = np.zeros(0x110000, dtype=bool)
+    known[:0x80] = True
+    return known, np.zeros(0x110000, dtype=np.int64), np.zeros(0x110000, dtype=np.uint8)
+
+
+def _loses(lines: list[str], barred: np.ndarray) -> np.ndarray:
+    """Per line bit k if loss k loses characters of it; ``barred`` has bit k where the loss's encoding can't write a line."""
+    out = np.zeros(len(lines), dtype=np.int64)
     for k, (written, read) in enumerate(LOSSES):
-        if not bits >> 62 + k & 1:
-            try:
-                out |= ("�" in _write(line, written).decode(read)) << k
-            except UnicodeDecodeError:
-                out |= 1 << k
+        own = np.flatnonzero(barred >> k & 1 == 0)
+        if len(own):  # no line feed is ever part of a character
+            data = _write("\n".join([lines[i] for i in own]), written)
+            lost = [not x.isascii() if read == "ascii" else "�" in x for x in (data.split(b"\n") if read == "ascii" else data.decode(read, "replace").split("\n"))]
+            out[own] |= np.array(lost, dtype=np.int64) << k
     return out
 
 
@@ -686,8 +721,12 @@ def _weighted(lines: list[str], times: list[int]) -> tuple[np.ndarray, np.ndarra
 
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sum of each."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
 
 
 class Counter:
@@ -696,61 +735,73 @@ class Counter:
     def __init__(self) -> None:
         self.words: dict[tuple[int, str], int] = {}
         self.lost = np.zeros((len(STATES), PLACES), dtype=np.int64)
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.groups: dict[int, int] = {}
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, lines: list[str], times: list[int]) -> None:
         """Counts lines that aren't plain ASCII, each so many times."""
-        of: dict[int, tuple[list[str], list[int]]] = {}
-        together = sum(1 << k for k in TOGETHER)
+        if not lines:
+            return
+        text, each = "\n" + "\n".join(lines) + "\n", np.array(times, dtype=np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        feeds, beyond = np.flatnonzero(codes == 10), codes >= 0x80
+        known, pairs, losses = _bit_tables()
+        for c in np.unique(codes[~known[codes]]):
+            known[c], (pairs[c], losses[c]) = True, _bits(chr(c))
+        bits = np.bitwise_or.reduceat(pairs[codes], feeds[:-1])
+        changed = bits & ~(bits >> 32) & (1 << len(PAIRS)) - 1
+        asked = changed & sum(1 << k for k in TOGETHER) | _loses(lines, np.bitwise_or.reduceat(losses[codes], feeds[:-1])) << 32
+
+        blanks = np.flatnonzero((codes == 32) | (codes == 10))
+        odd = np.flatnonzero(np.add.reduceat(beyond, blanks[:-1], dtype=np.int64))
+        a, b = blanks[odd], blanks[odd + 1]
+        line = np.searchsorted(feeds, a, side="right") - 1
         words = self.words
-        for line, n in zip(lines, times):
-            bits = 0
-            for c in set(line):
-                if c > "\x7f":
-                    bits |= _bits(c)
-            changed = bits & ~(bits >> 32) & (1 << len(PAIRS)) - 1
-            some = of.setdefault(changed, ([], []))
-            some[0].append(line)
-            some[1].append(n)
-            asked = changed & together | _loses(line, bits) << 32
-            own = line.split(" ")
-            for i, w in enumerate(own):
-                if not w.isascii():
-                    end = " " if i < len(own) - 1 else "" if _DIGIT.search(w[-3:].encode("gb18030", "replace")) else "\n"
-                    key = asked, ("\n" if i == 0 else " ") + w + end
-                    words[key] = words.get(key, 0) + n
-        for changed, (some, each) in of.items():
-            before, now, n = _weighted(some, each)
-            scored = (before >= 0x80) | (now >= 0x80)
-            keys, n = _added(before[scored] << 21 | now[scored], n[scored])
-            if changed in self.keys:
-                held = self.keys[changed]
-                keys, n = _added(np.concatenate([held[0], keys]), np.concatenate([held[1], n]))
-            self.keys[changed] = keys, n
+        for i, j, q, n, last in zip(a.tolist(), (b + 1).tolist(), asked[line].tolist(), each[line].tolist(), (codes[b] == 10).tolist()):
+            w = text[i:j]
+            if last and _DIGIT.search(w[1:-1][-3:].encode("gb18030", "replace")):
+                w = w[:-1]
+            words[q, w] = words.get((q, w), 0) + n
+
+        at = np.flatnonzero(beyond[:-1] | beyond[1:])
+        line = np.searchsorted(feeds, at, side="right") - 1
+        found, of = np.unique(changed, return_inverse=True)
+        group = np.array([self.groups.setdefault(int(x), len(self.groups)) for x in found])[of][line]
+        before, now = _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))
+        self.keys.append(_added(group << 42 | before << 21 | now, each[line]))
+        if sum(len(k) for k, _ in self.keys) > 4 * HELD:
+            self._merge()
         if len(words) > HELD:
             self._read()
 
+    def _merge(self) -> None:
+        if self.keys:
+            self.keys = [_added(np.concatenate([k for k, _ in self.keys]), np.concatenate([n for _, n in self.keys]))]
+
     def _read(self) -> None:
         """Puts the words that are held through what reads characters together."""
-        alike: dict[tuple[int, int], list[str]] = {}
+        of: dict[int, tuple[list[str], list[int]]] = {}
         for (asked, w), n in self.words.items():
-            alike.setdefault((asked, n), []).append(w)
+            some = of.setdefault(asked, ([], []))
+            some[0].append(w)
+            some[1].append(n)
         self.words.clear()
-        by_times: dict[tuple[int, int], list[str]] = {}
-        for (asked, n), some in alike.items():
-            parts = ["".join(w for w in some if w[-1] in " \n") + "\n\n\n", *(w for w in some if w[-1] not in " \n")]
-            for k in TOGETHER:
-                if asked >> k & 1:
-                    by_times.setdefault((k, n), []).extend(parts)
-            for k in range(len(LOSSES)):
-                if asked >> 32 + k & 1:
-                    by_times.setdefault((32 + k, n), []).extend(parts)
-        for (k, n), some in by_times.items():
-            read = [garble(x, PAIRS[k] if k < 32 else LOSSES[k - 32]) for x in some]
-            if k >= 32:
-                read += [garble(x, ("utf-8", "gb18030")) for x in read]  # U+FFFD written and read once more
-            codes = _codes("\n".join(read) + "\n")
-            self.lost[k + 1 if k < 32 else len(STATES) - 1] += n * _places(codes[:-1], codes[1:])
+        for k in [*TOGETHER, *range(32, 32 + len(LOSSES))]:
+            state = k + 1 if k < 32 else len(STATES) - 1
+            own = [x for asked, x in of.items() if asked >> k & 1]
+            words, times = [w for x in own for w in x[0]], np.array([n for x in own for n in x[1]], dtype=np.int64)
+            ended = np.array([w[-1] in " \n" for w in words], dtype=bool)
+            alone = [words[i] for i in np.flatnonzero(~ended)]
+            whole = "".join([words[i] for i in np.flatnonzero(ended)]) + "\n\n\n"  # no reader makes or takes a blank, so each word keeps its two
+            pair = PAIRS[k] if k < 32 else LOSSES[k - 32]
+            read = [garble(x, pair) for x in [whole, *alone]]
+            for one in [read, [garble(x, ("utf-8", "gb18030")) for x in read]] if k >= 32 else [read]:  # U+FFFD written and read once more
+                codes = _codes(one[0])
+                nth = np.cumsum((codes == 32) | (codes == 10)) - 1 >> 1
+                self.lost[state] += _places(codes[:-1], codes[1:], np.r_[times[ended], 0, 0][nth[:-1]])
+                if alone:
+                    codes = _codes("\n".join(one[1:]) + "\n")
+                    self.lost[state] += _places(codes[:-1], codes[1:], np.repeat(times[~ended], [len(x) + 1 for x in one[1:]])[:-1])
 
     def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """What lines have in common, the places, how often each: negative for a state's places, else the pairs that change them and their bigrams."""
@@ -759,8 +810,11 @@ class Counter:
             at = np.flatnonzero(self.lost[k])
             if len(at):
                 yield -1 - k, at, self.lost[k][at]
-        for changed, (keys, n) in self.keys.items():
-            yield changed, keys, n
+        self._merge()
+        for keys, n in self.keys:
+            for changed, group in self.groups.items():
+                a, b = np.searchsorted(keys, [group << 42, group + 1 << 42])
+                yield changed, keys[a:b] & (1 << 42) - 1, n[a:b]
 
 
 class Expander:

@@ -329,6 +329,26 @@ def test_model_counts_all_lines_of_distinct_texts(spark):
     assert encoding.fit(df.limit(0), "t").label(["x", "ü"])[0] == []
 
 
+def test_counting_takes_one_look_at_words_however_often_they_stand(monkeypatch):
+    r = random.Random(6)
+    words = [w for x in CLEAN for w in x.split(" ")]
+    lines = [f"{' '.join(r.choices(words, k=5))} {i}{r.choice(['', ' ', 'é', '日'])}" for i in range(300)] + ["ï¿½ a ~ü", "\x80\x81ü 日本1", "x\u3000\x85y", "é7", "  ü  "]
+    lines = [x for x in dict.fromkeys(lines) if not x.isascii()]
+    times = [1 + i % 40 for i in range(len(lines))]
+    looks, places = [], encoding._places
+    monkeypatch.setattr(encoding, "_places", lambda *a: looks.append(1) or places(*a))
+    counter, each = encoding.Counter(), encoding.Counter()
+    counter.add(lines, times)
+    rows = list(counter.rows())
+    assert len(looks) <= 2 * len(encoding.TOGETHER) + 4 * len(encoding.LOSSES)
+    each.add([x for x, n in zip(lines, times) for _ in range(n)], [1] * sum(times))
+    got, want = encoding.Expander(), encoding.Expander()
+    for expander, own in (got, rows), (want, each.rows()):
+        for row in own:
+            expander.add(*row)
+    assert (got.counts == want.counts).all() and got.counts[1:].any(axis=1).all()
+
+
 def test_sample_is_distinct_and_bounded(spark):
     rows = [("Größere Störung über der Mühle",)] * 500 + [(f"Zeile {i} über Mühlen",) for i in range(40)] + [("ü" * 5000,)]
     df = spark.createDataFrame(rows, "t string")
