@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.session import cut
+from leafwright.session import cut, release
 
 # Pairs (written in, read in). "utf-8>cp1252" twice in a row is a pair of its own.
 PAIRS = [
@@ -880,17 +880,20 @@ def _summed(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def odd_lines(df: DataFrame, text: str) -> DataFrame:
-    """(``line``, ``n``): the lines that hold characters outside ASCII and how often they stand in distinct texts; copies of a text count once."""
+def odd_lines(df: DataFrame, text: str, distinct: bool = False) -> DataFrame:
+    """(``line``, ``n``): the lines that hold characters outside ASCII and how often they stand in distinct texts; copies of a text count once.
+    ``distinct`` tells that there are none."""
     beyond = "[^\\x00-\\x7f]"
     own = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(beyond))
-    texts = df.where(F.col(text).rlike(beyond)).select(F.xxhash64(text).alias("h"), F.array_join(own, "\n").alias("t")).distinct()
+    texts = df.where(F.col(text).rlike(beyond)).select(F.xxhash64(text).alias("h"), F.array_join(own, "\n").alias("t"))
+    texts = texts if distinct else texts.distinct()
     return texts.select(F.explode(F.split("t", "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
-def fit(df: DataFrame, text: str) -> Model:
-    """The model of a corpus, counted over all its distinct texts; equal to the :class:`Model` of their lines, however many they are."""
-    lines = cut(odd_lines(df, text))
+def fit(df: DataFrame, text: str, distinct: bool = False) -> Model:
+    """The model of a corpus, counted over all its distinct texts; equal to the :class:`Model` of their lines, however many they are.
+    ``distinct`` tells that ``df`` holds each text once."""
+    lines = cut(odd_lines(df, text, distinct))
     counts = _summed(lines.mapInArrow(_count_lines, COUNTS).groupBy("lines", "place").agg(F.sum("n").alias("n")).mapInArrow(_expand, COUNTS))
     model = Model.of_counts(counts)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -913,6 +916,7 @@ def fit(df: DataFrame, text: str) -> Model:
 
     model._set(0, counts[0] - _summed(lines.mapInArrow(garbled, COUNTS))[0])
     shared.destroy()
+    release(lines)
     model._logs.clear()
     return model
 

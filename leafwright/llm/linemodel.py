@@ -3,23 +3,28 @@
 Two are fitted. *Furniture*: its labels come from the pages themselves. A line that stands in the same masked wording on several
 pages of one site, or begins with a label that does, is furniture; a line of several words that stands once is text. *Residue*:
 its labels are the exemplars of residue against lines of the corpus that no exemplar covers. Both can be fitted on all lines of a
-corpus: each step of the descent is a pass over its lines, which are kept as numbers of features.
+corpus: each step of the descent is a pass over its lines, which are kept as numbers of features. The passes of a descent run in one
+barrier stage, whose tasks read their lines once and exchange sums after each pass.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import random
+import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.exemplars import Index, is_prose, mask, tokens
-from leafwright.session import cut
+from leafwright.session import broadcast_if_small, cut, release
 
 #: Pages of a site in the sample that must hold a wording, or begin a line with a label, for it to count as furniture; words that a single line needs to count as text.
 REPEATED, LABELLED, TEXT_WORDS = 3, 4, 6
@@ -35,8 +40,12 @@ STEM = 5
 LABEL = 40
 #: Features on at least one of so many lines get a weight; so their number is at most that many times the features of a line on average.
 ONE_OF = 100_000
-#: Features of a task that are held before their counts move; most partitions of the lines that the descent passes over, and lines for which one more is made.
-HELD, PARTS, PART_LINES = 500_000, 64, 50_000
+#: Words of a task that are held before their counts move; most partitions of the lines that the descent passes over; lines whose features are numbered together.
+HELD, PARTS, BLOCK = 500_000, 64, 10_000
+#: Bytes of sums that the tasks of a descent may send the first in a pass; beyond it each pass is a job of its own.
+EXCHANGED = 512_000_000
+#: Features of a line besides its words.
+SHAPES = 7
 
 
 def shape(masked: str, words: list[str]) -> list[tuple[str, str]]:
@@ -68,8 +77,131 @@ def features(masked: str, stems: bool) -> list[tuple[tuple[str, str], float]]:
     return [*((("word", w), part) for w in (with_stems(words) if stems else set(words))), *((f, 1.0) for f in shape(masked, words))]
 
 
-def _counted(held: Counter[tuple[str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([x for _, x in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["kind", "name", "n"])
+class Block:
+    """Lines as numbers of the features that stand in them."""
+
+    SCHEMA = "names array<string>, counts array<long>, words binary, ends binary, shapes binary, parts binary, labels binary, weights binary, size long, total double"
+
+    def __init__(self, stems: bool) -> None:
+        self.stems = stems
+        self.numbers: dict[tuple[str, str] | str, int] = {}  # words alone, shapes with their kind
+        self.words: list[int] = []
+        self.shapes: list[int] = []
+        self.ends: list[int] = []
+        self.parts: list[float] = []
+        self.labels: list[float] = []
+        self.weights: list[float] = []
+
+    def add(self, masked: str, label: float, weight: float) -> None:
+        """:func:`features` of a line."""
+        of, words = self.numbers, tokens(masked)
+        if words:
+            self.words += [of.setdefault(w, len(of)) for w in (with_stems(words) if self.stems else set(words))]
+            self.shapes += [of.setdefault(f, len(of)) for f in shape(masked, words)]
+        else:
+            self.shapes += [-1] * SHAPES
+        self.ends.append(len(self.words))
+        self.parts.append(1 / math.sqrt(len(set(words)) or 1))
+        self.labels.append(label)
+        self.weights.append(weight)
+
+    def row(self) -> pa.RecordBatch:
+        words, shapes = np.array(self.words, dtype=np.int32), np.array(self.shapes, dtype=np.int32)
+        counts = np.bincount(words, minlength=len(self.numbers)) + np.bincount(shapes[shapes >= 0], minlength=len(self.numbers))
+        names = ["word\t" + f if isinstance(f, str) else "\t".join(f) for f in self.numbers]
+        arrays = [words, np.array(self.ends, dtype=np.int32), shapes, np.array(self.parts, dtype=np.float32), np.array(self.labels, dtype=np.float64), np.array(self.weights, dtype=np.float64)]
+        columns = [pa.array([names], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(self.ends)]), pa.array([float(sum(self.weights))])]
+        return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in self.SCHEMA.split(", ")])
+
+
+class Slope:
+    """Sums over lines of a task, which lie in a file as numbers of the features that count."""
+
+    def __init__(self, known: dict[str, int], file: tempfile._TemporaryFileWrapper) -> None:
+        self.known, self.file = known, file
+        self.blocks: list[list[tuple[int, int, np.dtype]]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for row in batch.to_pylist():
+            to = np.array([*(self.known.get(x, -1) for x in row["names"]), -1], dtype=np.int64)  # a last one for shapes that a line lacks
+            words = to[np.frombuffer(row["words"], dtype=np.int32)]
+            counts = words >= 0
+            ends = np.r_[0, np.cumsum(counts)][np.r_[0, np.frombuffer(row["ends"], dtype=np.int32)]]
+            shapes = to[np.frombuffer(row["shapes"], dtype=np.int32)]
+            shapes[shapes < 0] = len(self.known)
+            parts, labels, weights = np.frombuffer(row["parts"], dtype=np.float32), np.frombuffer(row["labels"]), np.frombuffer(row["weights"])
+            block = []
+            for a in (words[counts].astype(np.int32), ends, shapes.astype(np.int32), parts.astype(np.float64), labels, weights):
+                block.append((self.file.tell(), len(a), a.dtype))
+                self.file.write(a.tobytes())
+            self.blocks.append(block)
+
+    def __call__(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        out, rest, w = np.zeros(len(w) + 1), 0.0, np.r_[w, 0.0]
+        self.file.flush()
+        whole = np.memmap(self.file, dtype=np.uint8, mode="r") if self.blocks else None
+        for block in self.blocks:
+            words, ends, shapes, parts, labels, weights = (whole[at : at + n * kind.itemsize].view(kind) for at, n, kind in block)
+            sums = np.r_[0.0, np.cumsum(w[words])][ends]
+            odds = parts * np.diff(sums) + w[shapes].reshape(-1, SHAPES).sum(axis=1) + bias
+            off = (1 / (1 + np.exp(-odds)) - labels) * weights
+            out += np.bincount(words, np.repeat(parts * off, np.diff(ends)), len(out)) + np.bincount(shapes, np.repeat(off, SHAPES), len(out))
+            rest += float(off.sum())
+        return out[:-1], rest
+
+
+class Exchange:
+    """Sums over the tasks of a barrier stage. The first task adds up what the others send it; the stage's own gathering takes a second each time."""
+
+    def __init__(self, task: BarrierTaskContext, key: bytes) -> None:
+        self.others: list[Connection] = []
+        hosts = [x.address.rsplit(":", 1)[0] for x in task.getTaskInfos()]
+        if task.partitionId() == 0:
+            with Listener(("", 0), backlog=len(hosts), authkey=key) as listener:
+                task.allGather(str(listener.address[1]))
+                found = [listener.accept() for _ in hosts[1:]]
+            self.others = self._ordered(found)
+            self.first = None
+        else:
+            self.first = Client((hosts[0], int(task.allGather("")[0])), authkey=key)
+            self.first.send_bytes(str(task.partitionId()).encode())
+
+    @staticmethod
+    def _ordered(found: list[Connection]) -> list[Connection]:
+        of = {int(x.recv_bytes()): x for x in found}
+        return [of[i] for i in sorted(of)]
+
+    def sum(self, mine: np.ndarray) -> np.ndarray:
+        if self.first is not None:
+            self.first.send_bytes(mine.tobytes())
+            return np.frombuffer(self.first.recv_bytes())
+        whole = mine.copy()
+        for x in self.others:  # in the order of the tasks
+            whole += np.frombuffer(x.recv_bytes())
+        for x in self.others:
+            x.send_bytes(whole.tobytes())
+        return whole
+
+    def close(self) -> None:
+        for x in [*self.others, *([self.first] if self.first is not None else [])]:
+            x.close()
+
+
+def _local_file() -> tempfile._TemporaryFileWrapper:
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+
+
+def _descent(n: int, total: float, slope: Callable[[np.ndarray, float], tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias; ``slope`` gives the sums over all lines for weights and a bias."""
+    w, bias, spread = np.zeros(n), 0.0, np.full(n, 1e-6)
+    for _ in range(ROUNDS if total > 0 else 0):
+        whole, rest = slope(w, bias)
+        each = whole / total + PULL * w
+        spread += each * each
+        w = w - RATE * each / np.sqrt(spread)
+        bias -= RATE * rest / total
+    return w, bias
 
 
 class LineModel:
@@ -91,53 +223,64 @@ class LineModel:
             off = (1 / (1 + np.exp(-(np.bincount(r, x * w[c], len(y)) + bias))) - y) * each
             return np.bincount(c, x * off[r], len(names)), float(off.sum())
 
-        self._descend(list(names), float(each.sum()) if len(lines) else 0.0, slope)
+        self._take(list(names), *_descent(len(names), float(each.sum()) if len(lines) else 0.0, slope))
 
     @classmethod
     def of_corpus(cls, lines: DataFrame, stems: bool = False) -> LineModel:
         """The model of all rows of ``lines`` (``line``, masked; ``label``, 1 or 0; ``n``, what it weighs)."""
         self = cls.__new__(cls)
         self.stems = stems
-        lines = cut(lines)
-        count, total = lines.agg(F.count("*"), F.sum("n")).first()
-        least = count / ONE_OF
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: Counter[tuple[str, str]] = Counter()
-            for batch in batches:
-                for masked in batch.column(0).to_pylist():
-                    held.update([f for f, _ in features(masked, stems)])
-                if len(held) > HELD:
-                    yield _counted(held)
-                    held.clear()
-            yield _counted(held)
-
-        kept = lines.select("line").mapInArrow(found, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        names = sorted((r.kind, r.name) for r in kept.toLocalIterator())
         context = lines.sparkSession.sparkContext
-        known = context.broadcast({f: i for i, f in enumerate(names)})
+        scala = context._jsc.sc()
+        slots = min(PARTS, scala.maxNumConcurrentTasks(scala.resourceProfileManager().defaultResourceProfile()))
 
-        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = known.value
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(stems)
             for batch in batches:
-                own = [[(of[f], v) for f, v in features(masked, stems) if f in of] for masked in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in x] for x in own], pa.list_(pa.int32())), pa.array([[v for _, v in x] for x in own], pa.list_(pa.float32())), batch.column(1), batch.column(2)], ["f", "v", "label", "n"])
+                for line, label, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    block.add(line, label, n)
+                    if len(block.ends) >= BLOCK:
+                        yield block.row()
+                        block = Block(stems)
+            if block.ends:
+                yield block.row()
+
+        blocks = cut(lines.select("line", F.col("label").cast("double"), F.col("n").cast("double")).mapInArrow(packed, Block.SCHEMA).coalesce(max(1, slots)))
+        count, total = blocks.agg(F.sum("size"), F.sum("total")).first()
+        least = (count or 0) / ONE_OF
+        kept = blocks.select(F.explode(F.arrays_zip("names", "counts")).alias("x")).groupBy("x.names").agg(F.sum("x.counts").alias("n")).where(F.col("n") >= least)
+        names = sorted(tuple(r.names.split("\t", 1)) for r in kept.toLocalIterator())
+        known = context.broadcast({"\t".join(f): i for i, f in enumerate(names)})
+        rows = blocks.drop("counts", "size", "total")
+
+        key = os.urandom(32)
+
+        def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = BarrierTaskContext.get()
+            with _local_file() as file:
+                own = Slope(known.value, file)
+                for batch in batches:
+                    own.add(batch)
+                exchange = Exchange(task, key)
 
-        rows = cut(lines.select("line", F.col("label").cast("double"), F.col("n").cast("double")).mapInArrow(numbered, "f array<int>, v array<float>, label double, n double").coalesce(max(1, min(PARTS, count // PART_LINES))))
+                def slope(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+                    whole = exchange.sum(np.r_[own(w, bias)])
+                    return whole[:-1], float(whole[-1])
 
-        def slope(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+                w, bias = _descent(len(known.value), total, slope)
+                exchange.close()
+            if task.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([float(bias)])], ["w", "bias"])
+
+        def sums(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
             now = context.broadcast((w, bias))
 
             def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                w, bias = now.value
-                out, rest = np.zeros(len(w)), 0.0
-                for batch in batches:
-                    f, v, y, each = batch.columns
-                    r = np.repeat(np.arange(len(f)), np.diff(f.offsets.to_numpy()))
-                    c, x = f.flatten().to_numpy(), v.flatten().to_numpy()
-                    off = (1 / (1 + np.exp(-(np.bincount(r, x * w[c], len(f)) + bias))) - y.to_numpy()) * each.to_numpy()
-                    out += np.bincount(c, x * off[r], len(w))
-                    rest += float(off.sum())
+                with _local_file() as file:
+                    own = Slope(known.value, file)
+                    for batch in batches:
+                        own.add(batch)
+                    out, rest = own(*now.value)
                 yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([rest])], ["slope", "rest"])
 
             whole, rest = np.zeros(len(w)), 0.0
@@ -147,19 +290,20 @@ class LineModel:
             now.destroy()
             return whole, rest
 
-        self._descend(names, float(total or 0.0), slope)
+        if not total:
+            w, bias = np.zeros(len(names)), 0.0
+        elif context.getConf().get("spark.dynamicAllocation.enabled", "false") != "true" and 8 * len(names) * slots < EXCHANGED:
+            found = rows.mapInArrow(rounds, "w binary, bias double", barrier=True).collect()[0]
+            w, bias = np.frombuffer(found.w), found.bias
+        else:
+            w, bias = _descent(len(names), total, sums)
+        self._take(names, w, bias)
         known.destroy()
+        release(blocks)
         return self
 
-    def _descend(self, names: list[tuple[str, str]], total: float, slope: Callable[[np.ndarray, float], tuple[np.ndarray, float]]) -> None:
-        """Weights of the features; ``slope`` gives the sums over all lines for weights and a bias."""
-        w, self.bias, spread = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6)
-        for _ in range(ROUNDS if total > 0 else 0):
-            whole, rest = slope(w, self.bias)
-            each = whole / total + PULL * w
-            spread += each * each
-            w = w - RATE * each / np.sqrt(spread)
-            self.bias -= RATE * rest / total
+    def _take(self, names: list[tuple[str, str]], w: np.ndarray, bias: float) -> None:
+        self.bias = bias
         self.words: dict[str, float] = {}
         self.shapes: dict[tuple[str, str], float] = {}
         for k, f in enumerate(names):
@@ -228,8 +372,25 @@ def furniture_model(pages: list[tuple[str, str | None]]) -> LineModel:
     return LineModel(*label_by_repetition(pages))
 
 
+#: Beginnings of lines by site up to which they are broadcast.
+BEGINNINGS = 100_000
+
+
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """(``line``, ``label``, ``n``): :func:`label_by_repetition` of all ``pages`` (``t``, ``s``), equal lines of one label as one row."""
+    return _labelled(_lines_and_heads(pages))
+
+
+def furniture_model_of(pages: DataFrame) -> LineModel:
+    """:func:`furniture_model` of all ``pages`` (``t``, ``s``)."""
+    both = _lines_and_heads(pages)
+    out = LineModel.of_corpus(_labelled(both))
+    release(both)
+    return out
+
+
+def _lines_and_heads(pages: DataFrame) -> DataFrame:
+    """By site the masked lines, how many pages hold them and how often; and, without a line, the labels that lines begin with."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,37 +398,39 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
             for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = site.replace("_", " ") if site else None
                 held = Counter(mask(x, name) for x in text.split("\n") if x and not x.isspace())
-                rows += [(site, m, m[:LABEL].split(":")[0] if ":" in m[:LABEL] else None, len(tokens(m)), n) for m, n in held.items()]
+                heads = {m: m[:LABEL].split(":")[0] for m in held if ":" in m[:LABEL]}
+                rows += [(site, m, heads.get(m), len(tokens(m)), n) for m, n in held.items()]
+                rows += [(site, None, h, None, 1) for h in set(heads.values()) if site is not None]
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["s", "line", "head", "words", "n"])
 
-    lines = cut(pages.select("t", "s").mapInArrow(own, "s string, line string, head string, words long, n long").groupBy("s", "line", "head", "words").agg(F.count("*").alias("held"), F.sum("n").alias("n")))
+    return cut(pages.select("t", "s").mapInArrow(own, "s string, line string, head string, words long, n long").groupBy("s", "line", "head", "words").agg(F.count("*").alias("held"), F.sum("n").alias("n")))
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = site.replace("_", " ") if site else None
-                masked = (mask(x, name) for x in text.split("\n") if ":" in x or "：" in x or not x.isascii())
-                rows += [(site, h) for h in {m[:LABEL].split(":")[0] for m in masked if ":" in m[:LABEL]}]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())], ["s", "head"])
 
-    begun = pages.where(F.col("s").isNotNull()).select("t", "s").mapInArrow(heads, "s string, head string").groupBy("s", "head").count().where(F.col("count") >= LABELLED).select("s", "head", F.lit(True).alias("begun"))
-    told = lines.join(begun, ["s", "head"], "left")
+def _labelled(both: DataFrame) -> DataFrame:
+    lines = both.where(F.col("line").isNotNull())
+    begun = both.where(F.col("line").isNull() & (F.col("held") >= LABELLED)).select("s", "head", F.lit(True).alias("begun"))
+    told = lines.join(broadcast_if_small(begun, BEGINNINGS), ["s", "head"], "left")
     furniture = F.col("s").isNotNull() & ((F.col("held") >= REPEATED) | F.col("begun").isNotNull())
     label = F.when(furniture, 1.0).when((F.col("held") == 1) & (F.col("words") >= TEXT_WORDS), 0.0)
     return told.select("line", label.alias("label"), "n").where(F.col("label").isNotNull()).groupBy("line", "label").agg(F.sum("n").cast("double").alias("n"))
 
 
+def article_part(masked: list[str], covered: Callable[[str], bool]) -> list[str]:
+    """The masked lines of a page that exemplars don't cover, if several sentences are among them; such pages are surely articles."""
+    if sum(map(is_prose, masked)) < ARTICLE_SENTENCES:
+        return []
+    own = [m for m in masked if not covered(m)]
+    return own if sum(map(is_prose, own)) >= ARTICLE_SENTENCES else []
+
+
 def article_lines(pages: list[tuple[str, str | None]], index: Index, covered: float) -> list[str]:
-    """Distinct masked lines, not covered by ``index``, of the pages with several sentences that it doesn't cover either: these are surely articles."""
+    """Distinct masked lines, not covered by ``index``, of the pages with several sentences that it doesn't cover either."""
     out: dict[str, None] = {}
     for text, site in pages:
         name = site.replace("_", " ") if site else None
-        own = [m for m in (mask(x, name) for x in text.split("\n") if x and not x.isspace()) if index.best(tokens(m))[0] < covered]
-        if sum(map(is_prose, own)) >= ARTICLE_SENTENCES:
-            out.update(dict.fromkeys(own))
+        out.update(dict.fromkeys(article_part([mask(x, name) for x in text.split("\n") if x and not x.isspace()], lambda m: index.best(tokens(m))[0] >= covered)))
     return list(out)
 
 
@@ -283,17 +446,9 @@ def residue_model(articles: list[str], exemplars: list[str], seed: int = 5) -> L
     return LineModel(positives + articles, [1.0] * len(positives) + [0.0] * len(articles), [weigh / 2] * len(positives) + [1.0] * len(articles), stems=True)
 
 
-def residue_model_of(pages: DataFrame, index: Index, covered: float, exemplars: list[str], seed: int = 5) -> LineModel:
-    """:func:`residue_model` against the :func:`article_lines` of all ``pages`` (``t``, ``s``)."""
-    shared = pages.sparkSession.sparkContext.broadcast(index)
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = article_lines(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), shared.value, covered)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["line"])
-
-    articles = cut(pages.select("t", "s").mapInArrow(lines, "line string").distinct())
+def residue_model_of(articles: DataFrame, exemplars: list[str], seed: int = 5) -> LineModel:
+    """:func:`residue_model` against the distinct lines ``articles`` (``line``) of all articles, which are read twice."""
     positives = _positives(exemplars, seed)
     weigh = articles.count() / max(len(positives), 1)
-    ours = pages.sparkSession.createDataFrame([(x, 1.0, weigh / 2) for x in positives], "line string, label double, n double")
+    ours = articles.sparkSession.createDataFrame([(x, 1.0, weigh / 2) for x in positives], "line string, label double, n double").coalesce(1)
     return LineModel.of_corpus(articles.select("line", F.lit(0.0).alias("label"), F.lit(1.0).alias("n")).union(ours), stems=True)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from leafwright.llm import encoding, linemodel
 from leafwright.llm.encoding import Model
 from leafwright.llm.exemplars import FILLER, FURNITURE, FURNITURE_GENERAL, HAN_FILLER, LIST_HEADINGS, MENU, RESIDUE, RESIDUE_GENERAL, SIGNATURES, Fill, Index, is_prose, mask, sentences, tokens
-from leafwright.session import cut
+from leafwright.session import cut, release
 
 #: Containment from which a window counts as covered; share of a window's words that slots must be; log odds from which the classifier counts as coverage.
 COVERED, SLOTTED, LIKELY = 0.66, 0.15, -1.0
@@ -84,38 +84,77 @@ def distinct_pages(df: DataFrame, text: str, site: str) -> DataFrame:
     return df.select(F.col(text).alias("t"), F.col(site).alias("s")).where(F.length("t") > 0).groupBy("t").agg(F.min("s").alias("s"))
 
 
-def fill_of(pages: DataFrame, encodings: Model) -> Fill:
-    """What tells filler from the words of all ``pages`` (``t``); those of lines that read as garbled don't count."""
-    shared = pages.sparkSession.sparkContext.broadcast(encodings)
+def words_and_articles(pages: DataFrame, index: Index, encodings: Model) -> DataFrame:
+    """(``line``, ``w``, ``n``): a row each for the masked lines of articles in ``pages`` (``t``, ``s``), which may repeat, and for how many of some
+    pages hold a word ``w``; words of lines that read as garbled don't count."""
+    shared, model = pages.sparkSession.sparkContext.broadcast(index), pages.sparkSession.sparkContext.broadcast(encodings)
+
+    def rows(lines: list[str], held: Counter[str]) -> pa.RecordBatch:
+        n = len(lines)
+        columns = [pa.array([*lines, *[None] * len(held)], pa.string()), pa.array([*[None] * n, *held], pa.string()), pa.array([*[None] * n, *held.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["line", "w", "n"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        own, held, told = shared.value, Counter(), {}
+
+        def covered(masked: str) -> bool:
+            if masked not in told:
+                told[masked] = own.best(tokens(masked))[0] >= COVERED
+            return told[masked]
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                lines = t.split("\n")
-                held.update({w for x, odd in zip(lines, shared.value.odd(lines)) if not odd and "�" not in x for w in tokens(mask(x, None))})
+            out: dict[str, None] = {}
+            texts, sites, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                start, size, asked = at, 0, {}
+                while at < len(texts) and size < encoding.BATCH_CHARACTERS:
+                    size += len(texts[at])
+                    asked.update(dict.fromkeys(x for x in texts[at].split("\n") if not x.isascii()) if not texts[at].isascii() else {})
+                    at += 1
+                odd = {x for x, strange in zip(asked, model.value.odd(list(asked))) if strange}
+                for text, site in zip(texts[start:at], sites[start:at]):
+                    name, masked, words = site.replace("_", " ") if site else None, [], set()
+                    for x in text.split("\n"):
+                        if x and not x.isspace():
+                            plain = mask(x, None)
+                            masked.append(plain.replace(name, "@") if name else plain)
+                            if "�" not in x and x not in odd:
+                                words.update(tokens(plain))
+                    held.update(words)
+                    out.update(dict.fromkeys(linemodel.article_part(masked, covered)))
+                if len(told) > CACHE:
+                    told.clear()
             if len(held) > linemodel.HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+                yield rows([], held)
                 held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+            yield rows(list(out), Counter())
+        yield rows([], held)
+
+    return cut(pages.select("t", "s").mapInArrow(found, "line string, w string, n long"))
+
 
-    least = Fill.least(pages.count())
-    counts = pages.select("t").mapInArrow(found, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    on = {r.w: r.n for r in counts.orderBy("w").toLocalIterator()}
-    shared.destroy()
-    return Fill.of_counts(on, least)
+def fill_of(counts: DataFrame, pages: int) -> Fill:
+    """What tells filler from how many of all ``pages`` hold each word (``w``, ``n``)."""
+    least = Fill.least(pages)
+    found = counts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return Fill.of_counts({r.w: r.n for r in found.orderBy("w").toLocalIterator()}, least)
 
 
 def fit(df: DataFrame, text: str, site: str, words: bool = True, furniture: bool = True) -> Fitted:
     """Models of a corpus with columns ``text`` and ``site``, on all its distinct texts; word frequencies and the model of furniture only if asked for."""
     pages = cut(distinct_pages(df, text, site))
     frequent, rare = frequent_words(df, text) if words else (None, None)
-    out = Fitted(encoding.fit(pages, "t"), frequent=frequent, rare=rare)
+    out = Fitted(encoding.fit(pages, "t", distinct=True), frequent=frequent, rare=rare)
     if furniture:
-        out.furniture = linemodel.LineModel.of_corpus(linemodel.repeated_lines(pages))
+        out.furniture = linemodel.furniture_model_of(pages)
     index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
-    out.residue = linemodel.residue_model_of(pages, index, COVERED, labelled()["residue"])
-    out.fill = fill_of(pages, out.encodings)
+    both = words_and_articles(pages, index, out.encodings)
+    out.fill = fill_of(both.where(F.col("w").isNotNull()).select("w", "n"), pages.count())
+    release(pages)
+    articles = cut(both.where(F.col("line").isNotNull()).select("line").distinct())
+    release(both)
+    out.residue = linemodel.residue_model_of(articles, labelled()["residue"])
+    release(articles)
     return out
 
 

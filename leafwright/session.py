@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a :func:`cut` that nothing reads any more; otherwise they stay until the driver collects garbage."""
+    context = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` materialised once and marked for broadcast if it has at most ``rows`` rows, else left to shuffle joins."""
     from pyspark.sql import functions as F

@@ -2,6 +2,7 @@ import random
 import unicodedata
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import pytest
 from leafwright.llm import encoding, exemplars, furniture, linemodel, repetition, residue, sitelines
@@ -230,6 +231,39 @@ def test_line_model_of_a_corpus_is_that_of_its_lines(spark):
     assert got.bias == pytest.approx(want.bias, abs=1e-5) and got.words == pytest.approx(want.words, abs=1e-5) and got.shapes == pytest.approx(want.shapes, abs=1e-5)
 
 
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_passes_of_a_descent_are_no_jobs(spark, monkeypatch):
+    lines = [(f"{r} ⟨slot⟩ {PROSE.lower()} {i % 7}", float(i % 2), 1.0 + i % 3) for i, r in enumerate(["quay", "tide", "moor - here:", ""] * 60)] + [("- - -", 0.0, 2.0)]
+    df = spark.createDataFrame(lines, "line string, label double, n double").repartition(5)
+    monkeypatch.setattr(linemodel, "BLOCK", 11)
+    got, jobs = _jobs(spark, "stage", lambda: linemodel.LineModel.of_corpus(df))
+    assert jobs < linemodel.ROUNDS / 4
+    monkeypatch.setattr(linemodel, "EXCHANGED", 0)
+    want = linemodel.LineModel.of_corpus(df)
+    alone = linemodel.LineModel(*map(list, zip(*lines)))
+    for other in want, alone:
+        assert got.bias == pytest.approx(other.bias, abs=1e-5) and got.words == pytest.approx(other.words, abs=1e-5) and got.shapes == pytest.approx(other.shapes, abs=1e-5)
+    empty = linemodel.LineModel.of_corpus(df.limit(0))
+    assert empty.bias == 0 and not empty.words
+
+
+def test_fit_leaves_no_large_checkpoints(spark):
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = {x for x in folder.iterdir() if any(x.iterdir())}
+    df = spark.createDataFrame([(f"{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\n{PROSE} {i} times.\nTerms: {i}\nGrößere Störung {i}", "a_b") for i in range(12)], "t string, s string")
+    fitted = residue.fit(df, "t", "s", words=False)
+    assert {x for x in folder.iterdir() if any(x.iterdir())} - before <= {x for x in folder.iterdir() if sum(f.stat().st_size for f in x.rglob("part-*")) < 2000}
+    assert "grössere" in fitted.fill.known and fitted.residue.words["hearing"] < 0 and ("label", "terms") in fitted.furniture.shapes
+
+
 def test_residue_models_know_all_texts(spark):
     own = " ".join("Zanholm gardeners moored seventeen barges beside the orchard." for _ in range(400))
     texts = [f"{own}\n{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\nUnder {chr(97 + i)} oak." for i in range(20)]
