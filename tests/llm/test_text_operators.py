@@ -255,6 +255,15 @@ def test_passes_of_a_descent_are_no_jobs(spark, monkeypatch):
     assert empty.bias == 0 and not empty.words
 
 
+def test_residue_fit_takes_few_jobs(spark):
+    pages = [(f"{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\n{PROSE} {i} times.\nUnder {chr(97 + i)} oak.\nStörung", "a_b") for i in range(12)]
+    fitted, jobs = _jobs(spark, "residue", lambda: residue.fit(spark.createDataFrame(pages, "t string, s string"), "t", "s", furniture=False))
+    assert 0 < jobs < linemodel.ROUNDS and fitted.residue.words["hearing"] < 0
+    index = exemplars.Index(residue.labelled(), bags=residue.bags(), frequent=fitted.frequent, rare=fitted.rare)
+    both = residue.words_and_articles(spark.createDataFrame(pages, "t string, s string"), index, fitted.encodings).collect()
+    assert {x.line for x in both if x.line} == set(linemodel.article_lines(pages, index, residue.COVERED)) and sum(x.n for x in both if x.w == "oak") == 12
+
+
 def test_fit_leaves_no_large_checkpoints(spark):
     folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
     before = {x for x in folder.iterdir() if any(x.iterdir())}
