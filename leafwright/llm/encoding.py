@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.session import cut, release
+from leafwright.session import release, stored
 
 # Pairs (written in, read in). "utf-8>cp1252" twice in a row is a pair of its own.
 PAIRS = [
@@ -187,21 +187,23 @@ def _fold(code: int) -> int:
 
 def _codes(text: str) -> np.ndarray:
     """Code points, ASCII letters and digits folded to one letter, capital or digit."""
-    return _folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64))
+    return _folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
 
 
 def _folded(codes: np.ndarray) -> np.ndarray:
-    codes = np.where((codes >= 97) & (codes <= 122), 97, codes)
-    codes = np.where((codes >= 65) & (codes <= 90), 65, codes)
-    return np.where((codes >= 48) & (codes <= 57), 48, codes)
+    """``codes`` are unsigned: what is below a range is far beyond it once the range's first is taken off."""
+    for first, many in ((97, 26), (65, 26), (48, 10)):
+        codes = np.where(codes - np.uint32(first) < many, np.uint32(first), codes)
+    return codes
 
 
 def _bigram(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return ((before * 0x9E3779B1 + now * 0x85EBCA6B) >> 7) & (TABLE - 1)
+    """Only the low 24 bits of the sum count, so that it may run over."""
+    return ((before.astype(np.uint32, copy=False) * np.uint32(0x9E3779B1) + now.astype(np.uint32, copy=False) * np.uint32(0x85EBCA6B)) >> 7) & (TABLE - 1)
 
 
 def _single(now: np.ndarray) -> np.ndarray:
-    return ((now * 0x9E3779B1) >> 5) & (TABLE - 1)
+    return ((now.astype(np.uint32, copy=False) * np.uint32(0x9E3779B1)) >> 5) & (TABLE - 1)
 
 
 def _class(code: int) -> int:
@@ -302,7 +304,7 @@ class Model:
 
     def __getstate__(self) -> dict:
         """Without the places that nothing was counted at, which are most."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("_of", "_feeds", "_logs")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("_of", "_feeds", "_logs", "_turned")}
         for name in ("bigrams", "singles"):
             at = np.flatnonzero(state[name])
             state[name] = state[name].shape, at.astype(np.int32), state[name].ravel()[at]
@@ -310,7 +312,7 @@ class Model:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._logs = {}
+        self._logs, self._turned = {}, None
         for name in ("bigrams", "singles"):
             shape, at, values = state[name]
             table = np.zeros(shape, dtype=np.float32)
@@ -323,6 +325,7 @@ class Model:
         self._set(k, _places(codes[:-1], codes[1:]))
 
     def _set(self, k: int, counts: np.ndarray) -> None:
+        self._turned = None
         bigrams, singles, blocks = counts[:TABLE], counts[TABLE : 2 * TABLE], counts[2 * TABLE :]
         total = max(int(singles.sum()), 1)
         self.bigrams[k] = bigrams / total
@@ -346,9 +349,17 @@ class Model:
         b, s1, s2, g, size = where
         return WEIGHTS[0] * self.bigrams[k, b] + WEIGHTS[1] * self.singles[k, s1] * self.singles[k, s2] + WEIGHTS[2] * self.blocks[k, g] / size + 1e-14
 
+    def _all(self, where: tuple[np.ndarray, ...]) -> np.ndarray:
+        """:meth:`_at` of all states, a row for each position; what stands of a place in the tables lies together."""
+        if self._turned is None:
+            self._turned = tuple(np.ascontiguousarray(x[: len(STATES)].T) for x in (self.bigrams, self.singles, self.blocks))
+        bigrams, singles, blocks = self._turned
+        b, s1, s2, g, size = where
+        return WEIGHTS[0] * bigrams[b] + WEIGHTS[1] * singles[s1] * singles[s2] + WEIGHTS[2] * blocks[g] / size[:, None] + 1e-14
+
     def emissions(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
         """Log probability per position and state."""
-        return np.log(self._probability(slice(0, len(STATES)), before, now)).T
+        return np.log(self._all(self._where(before, now)))
 
     def label(self, lines: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per line the spans (from, to, state) that aren't clean."""
@@ -359,7 +370,7 @@ class Model:
         codes = np.frombuffer(("\n" + "\n".join(lines[i] for i in asked) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         beyond = codes >= 0x80
         at = np.flatnonzero(beyond[:-1] | beyond[1:])
-        before, now = _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))
+        before, now = _folded(codes[at]), _folded(codes[at + 1])
         line_of = np.searchsorted(np.flatnonzero(codes == 10), at, side="right") - 1  # the line that `before` stands in, or that its line feed opens
         starts = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
         lengths = np.diff(np.r_[starts, len(at)])
@@ -373,7 +384,7 @@ class Model:
         if not possible.any():
             return found
         picked = np.flatnonzero(np.repeat(possible, lengths))
-        scores = np.log(self._at(slice(0, len(STATES)), tuple(x[picked] for x in where))).T
+        scores = np.log(self._all(tuple(x[picked] for x in where)))
         ends = np.cumsum(lengths[possible])
         worth: list[tuple[int, int, np.ndarray]] = []
         for s, n, end in zip(starts[possible], lengths[possible], ends):
@@ -417,7 +428,7 @@ class Model:
         if not len(at):
             return out
         line_of = np.searchsorted(np.flatnonzero(codes == 10), at, side="right") - 1
-        logs = np.log(self._probability(0, _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))))
+        logs = np.log(self._probability(0, _folded(codes[at]), _folded(codes[at + 1])))
         starts = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
         means = np.add.reduceat(logs, starts) / np.diff(np.r_[starts, len(at)])
         for k in np.flatnonzero(means <= USUAL):
@@ -767,8 +778,8 @@ class Counter:
         line = np.searchsorted(feeds, at, side="right") - 1
         found, of = np.unique(changed, return_inverse=True)
         group = np.array([self.groups.setdefault(int(x), len(self.groups)) for x in found])[of][line]
-        before, now = _folded(codes[at].astype(np.int64)), _folded(codes[at + 1].astype(np.int64))
-        self.keys.append(_added(group << 42 | before << 21 | now, each[line]))
+        before, now = _folded(codes[at]), _folded(codes[at + 1])
+        self.keys.append(_added(group << 42 | before.astype(np.int64) << 21 | now.astype(np.int64), each[line]))
         if sum(len(k) for k, _ in self.keys) > 4 * HELD:
             self._merge()
         if len(words) > HELD:
@@ -893,7 +904,7 @@ def odd_lines(df: DataFrame, text: str, distinct: bool = False) -> DataFrame:
 def fit(df: DataFrame, text: str, distinct: bool = False) -> Model:
     """The model of a corpus, counted over all its distinct texts; equal to the :class:`Model` of their lines, however many they are.
     ``distinct`` tells that ``df`` holds each text once."""
-    lines = cut(odd_lines(df, text, distinct))
+    lines = stored(odd_lines(df, text, distinct))
     counts = _summed(lines.mapInArrow(_count_lines, COUNTS).groupBy("lines", "place").agg(F.sum("n").alias("n")).mapInArrow(_expand, COUNTS))
     model = Model.of_counts(counts)
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -588,7 +588,7 @@ _SLOT = re.compile(
 )
 _QUOTED_SLOT = re.compile(r"«(?:[A-Za-z]+[_.|][\w.|]*|[a-z]+_\w+|insert text here|amount|body|caption|city|date|headline|kicker|name|place|quote|section|summary|title|author|lead)»", re.I)
 _DIGITS = re.compile(r"\d+")
-_WORD = re.compile(r"⟨slot⟩|[^\W\d_]+|[#@©]")
+_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+|[#@©]|⟨slot⟩"), re.compile(r"[A-Za-z]+|[#@]")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _HAN = re.compile(r"[㐀-鿿]+")
 
@@ -606,8 +606,10 @@ def mask(line: str, site: str | None) -> str:
 
 def tokens(masked: str) -> list[str]:
     """Words, and pairs of Han characters."""
+    if masked.isascii():
+        return _ASCII_WORD.findall(masked)
     found = _WORD.findall(masked)
-    if masked.isascii() or not _HAN.search(masked):
+    if not _HAN.search(masked):
         return found
     out: list[str] = []
     for w in found:

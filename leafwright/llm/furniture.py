@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwright.llm.exemplars import LIST_HEADINGS, MENU, is_prose, mask, sentences, tokens
-from leafwright.llm.residue import CACHE, COVERED, Fitted, Judge, Windows
+from leafwright.llm.residue import CACHE, COVERED, SHORT, Fitted, Judge, Windows
 
 #: Cost of calling a line content less that of calling it boilerplate, by kind; positive pulls towards boilerplate.
 COSTS = {"furniture": 6.0, "heading": 6.0, "menu": 6.0, "menu word": 4.0, "slot": 5.0, "notice": 2.5, "numbered": 2.5, "headline": -1.0, "entry": 0.8, "bullet": -4.0, "signature": -6.0, "image": -6.0, "prose": -6.0, "title": -5.0, "long": -2.0}
@@ -79,6 +79,7 @@ class Classifier:
         self.menu, self.headings = set(menu), set(LIST_HEADINGS if exemplars is None else exemplars["heading"])
         self.phrases = sorted((m for m in self.menu if " " in m), key=len, reverse=True)
         self.known: dict[str, tuple[str, float]] = {}
+        self.seen: dict[tuple[str, str | None], tuple[str, str, float]] = {}
 
     def kind(self, masked: str, words: list[str] | None = None, cover: tuple[float, str] | None = None) -> tuple[str, float]:
         """Kind of a line and what is added to that kind's cost; its words and how exemplars cover it may be given."""
@@ -138,6 +139,8 @@ class Classifier:
     def lines(self, texts: list[str | None], sites: list[str | None], titles: list[str | None]) -> list[list[list]]:
         """Per text its non-blank lines: number from 1, kind, whether a blank line is before it, and what is added to the kind's cost."""
         self.windows.trim()
+        if len(self.seen) > CACHE:
+            self.seen.clear()
         pages: list[list[list]] = []
         doubtful: list[list] = []
         for text, site, title in zip(texts, sites, titles):
@@ -148,8 +151,13 @@ class Classifier:
                 if not x or x.isspace():
                     gap = True
                     continue
-                masked, words, cover = self.windows.of(x, name)
-                kind, more = self.kind(masked, words, cover)
+                found = self.seen.get((x, name))
+                if found is None:
+                    masked, words, cover = self.windows.of(x, name)
+                    found = masked, *self.kind(masked, words, cover)
+                    if len(x) <= SHORT:
+                        self.seen[x, name] = found
+                masked, kind, more = found
                 if kind in UNSURE:
                     if own and masked == own:
                         kind, more = "title", 0.0

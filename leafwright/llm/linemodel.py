@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.exemplars import Index, is_prose, mask, tokens
-from leafwright.session import broadcast_if_small, cut, release
+from leafwright.session import broadcast_if_small, cut, forget_shuffles, release, stored
 
 #: Pages of a site in the sample that must hold a wording, or begin a line with a label, for it to count as furniture; words that a single line needs to count as text.
 REPEATED, LABELLED, TEXT_WORDS = 3, 4, 6
@@ -42,10 +42,13 @@ LABEL = 40
 ONE_OF = 100_000
 #: Words of a task that are held before their counts move; most partitions of the lines that the descent passes over; lines whose features are numbered together.
 HELD, PARTS, BLOCK = 500_000, 64, 10_000
+#: Lines whose wording a task remembers, and their characters at most.
+LINES, REMEMBERED = 100_000, 160
 #: Bytes of sums that the tasks of a descent may send the first in a pass; beyond it each pass is a job of its own.
 EXCHANGED = 512_000_000
 #: Features of a line besides its words.
-SHAPES = 7
+_KINDS = ("first", "second", "last", "end", "size", "parts", "label")
+SHAPES = len(_KINDS)
 
 
 def shape(masked: str, words: list[str]) -> list[tuple[str, str]]:
@@ -57,7 +60,7 @@ def shape(masked: str, words: list[str]) -> list[tuple[str, str]]:
         ("last", words[-1]),
         ("end", masked[-1] if not masked[-1].isalnum() else "a"),
         ("size", str(min(int(2 * math.log2(len(words) + 1)), 14))),
-        ("parts", str(min(sum(masked.count(c) for c in "|>·/"), 3))),
+        ("parts", str(min(masked.count("|") + masked.count(">") + masked.count("·") + masked.count("/"), 3))),
         ("label", head.split(":")[0] if ":" in head else ""),
     ]
 
@@ -77,45 +80,74 @@ def features(masked: str, stems: bool) -> list[tuple[tuple[str, str], float]]:
     return [*((("word", w), part) for w in (with_stems(words) if stems else set(words))), *((f, 1.0) for f in shape(masked, words))]
 
 
+class Numbers(dict):
+    """Numbers what it is asked for, from 0."""
+
+    def __missing__(self, x: str) -> int:
+        self[x] = n = len(self)
+        return n
+
+
+def _narrow(most: int) -> np.dtype:
+    """The narrowest type of numbers up to ``most``."""
+    return np.min_scalar_type(max(most, 0))
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[len(ordered) > 0, ordered[1:] != ordered[:-1]][: len(ordered)])
+
+
 class Block:
     """Lines as numbers of the features that stand in them."""
 
-    SCHEMA = "names array<string>, counts array<long>, words binary, ends binary, shapes binary, parts binary, labels binary, weights binary, size long, total double"
+    SCHEMA = "names array<string>, counts array<long>, words binary, sizes binary, shapes binary, parts binary, labels binary, weights binary, size long, total double"
 
     def __init__(self, stems: bool) -> None:
         self.stems = stems
-        self.numbers: dict[tuple[str, str] | str, int] = {}  # words alone, shapes with their kind
+        self.numbers, self.kinds = Numbers(), [Numbers() for _ in range(SHAPES)]
         self.words: list[int] = []
-        self.shapes: list[int] = []
-        self.ends: list[int] = []
-        self.parts: list[float] = []
+        self.shapes: list[int] = []  # -1 for what a line lacks
+        self.sizes: list[int] = []
         self.labels: list[float] = []
         self.weights: list[float] = []
 
     def add(self, masked: str, label: float, weight: float) -> None:
-        """:func:`features` of a line."""
-        of, words = self.numbers, tokens(masked)
-        if words:
-            self.words += [of.setdefault(w, len(of)) for w in (with_stems(words) if self.stems else set(words))]
-            self.shapes += [of.setdefault(f, len(of)) for f in shape(masked, words)]
-        else:
-            self.shapes += [-1] * SHAPES
-        self.ends.append(len(self.words))
-        self.parts.append(1 / math.sqrt(len(set(words)) or 1))
+        """:func:`features` of a line; the stems follow in :meth:`row`."""
+        words = tokens(masked)
+        distinct = set(words)
+        self.words += map(self.numbers.__getitem__, distinct)
+        self.shapes += [of[x] for of, (_, x) in zip(self.kinds, shape(masked, words))] if words else [-1] * SHAPES
+        self.sizes.append(len(distinct))
         self.labels.append(label)
         self.weights.append(weight)
 
     def row(self) -> pa.RecordBatch:
-        words, shapes = np.array(self.words, dtype=np.int32), np.array(self.shapes, dtype=np.int32)
-        counts = np.bincount(words, minlength=len(self.numbers)) + np.bincount(shapes[shapes >= 0], minlength=len(self.numbers))
-        names = ["word\t" + f if isinstance(f, str) else "\t".join(f) for f in self.numbers]
-        arrays = [words, np.array(self.ends, dtype=np.int32), shapes, np.array(self.parts, dtype=np.float32), np.array(self.labels, dtype=np.float64), np.array(self.weights, dtype=np.float64)]
-        columns = [pa.array([names], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(self.ends)]), pa.array([float(sum(self.weights))])]
+        words, sizes, names = np.array(self.words, dtype=np.int64), np.array(self.sizes, dtype=np.int64), ["word\t" + w for w in self.numbers]
+        parts = 1 / np.sqrt(np.maximum(sizes, 1))
+        if self.stems:
+            of = Numbers()
+            stem = np.array([of[w[:STEM] + "~"] if len(w) > STEM else -1 for w in self.numbers], dtype=np.int64)
+            names += ["word\t" + x for x in of]
+            line, own = np.repeat(np.arange(len(sizes)) * max(len(names), 1), sizes), stem[words]
+            both = np.sort(np.concatenate([line + words, (line + own + len(self.numbers))[own >= 0]]))
+            line, words = np.divmod(both[_starts(both)], max(len(names), 1))  # a stem counts once a line
+            sizes = np.bincount(line, minlength=len(sizes))
+        shapes = np.array(self.shapes, dtype=np.int64).reshape(-1, SHAPES)
+        for k, of in enumerate(self.kinds):
+            shapes[:, k] += np.where(shapes[:, k] >= 0, len(names), 0)
+            kind = _KINDS[k] + "\t"
+            names += [kind + x for x in of]
+        counts = np.bincount(words, minlength=len(names)) + np.bincount(shapes[shapes >= 0], minlength=len(names))
+        shapes[shapes < 0] = len(names)
+        kind = _narrow(len(names))
+        arrays = [words.astype(kind), sizes.astype(np.uint32), shapes.astype(kind), parts.astype(np.float32), np.array(self.labels, dtype=np.float32), np.array(self.weights, dtype=np.float64)]
+        columns = [pa.array([names], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([len(sizes)]), pa.array([float(sum(self.weights))])]
         return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in self.SCHEMA.split(", ")])
 
 
 class Slope:
-    """Sums over lines of a task, which lie in a file as numbers of the features that count."""
+    """Sums over lines of a task, which lie in a file as numbers of the features that count. Each block numbers its own features, by line and by feature."""
 
     def __init__(self, known: dict[str, int], file: tempfile._TemporaryFileWrapper) -> None:
         self.known, self.file = known, file
@@ -123,31 +155,47 @@ class Slope:
 
     def add(self, batch: pa.RecordBatch) -> None:
         for row in batch.to_pylist():
-            to = np.array([*(self.known.get(x, -1) for x in row["names"]), -1], dtype=np.int64)  # a last one for shapes that a line lacks
-            words = to[np.frombuffer(row["words"], dtype=np.int32)]
-            counts = words >= 0
-            ends = np.r_[0, np.cumsum(counts)][np.r_[0, np.frombuffer(row["ends"], dtype=np.int32)]]
-            shapes = to[np.frombuffer(row["shapes"], dtype=np.int32)]
-            shapes[shapes < 0] = len(self.known)
-            parts, labels, weights = np.frombuffer(row["parts"], dtype=np.float32), np.frombuffer(row["labels"]), np.frombuffer(row["weights"])
+            names = row["names"]
+            to, kind = np.array([*(self.known.get(x, -1) for x in names), -1], dtype=np.int64), _narrow(len(names))  # a last one for shapes that a line lacks
+            features = np.flatnonzero(to >= 0)
+            n = len(features)
+            own = np.full(len(to), n, dtype=np.int64)
+            own[features] = np.arange(n)
+            words, sizes = own[np.frombuffer(row["words"], dtype=kind)], np.frombuffer(row["sizes"], dtype=np.uint32)
+            lines = np.repeat(np.arange(len(sizes)), sizes)[words < n]
+            words = words[words < n]
+            sizes = np.bincount(lines, minlength=len(sizes))
+            shapes = own[np.frombuffer(row["shapes"], dtype=kind)].reshape(-1, SHAPES).T.ravel()  # kind by kind
+            parts, labels, weights = np.frombuffer(row["parts"], dtype=np.float32), np.frombuffer(row["labels"], dtype=np.float32), np.frombuffer(row["weights"])
+            of, at = np.concatenate([words, shapes]), np.concatenate([lines, len(sizes) + np.tile(np.arange(len(sizes)), SHAPES)])
+            order = np.argsort(of, kind="stable")
+            order = order[: np.searchsorted(of, n, sorter=order)]
             block = []
-            for a in (words[counts].astype(np.int32), ends, shapes.astype(np.int32), parts.astype(np.float64), labels, weights):
+            arrays = (to[features].astype(np.int32), words.astype(_narrow(n)), sizes.astype(_narrow(int(sizes.max(initial=0)))), shapes.astype(_narrow(n)), at[order].astype(_narrow(2 * len(sizes))), _starts(of[order]).astype(np.int32), parts, labels, weights)
+            for a in arrays:
+                self.file.write(b"\0" * (-self.file.tell() % 8))
                 block.append((self.file.tell(), len(a), a.dtype))
                 self.file.write(a.tobytes())
             self.blocks.append(block)
 
     def __call__(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        out, rest, w = np.zeros(len(w) + 1), 0.0, np.r_[w, 0.0]
+        out, rest = np.zeros(len(w)), 0.0
         self.file.flush()
         whole = np.memmap(self.file, dtype=np.uint8, mode="r") if self.blocks else None
         for block in self.blocks:
-            words, ends, shapes, parts, labels, weights = (whole[at : at + n * kind.itemsize].view(kind) for at, n, kind in block)
-            sums = np.r_[0.0, np.cumsum(w[words])][ends]
-            odds = parts * np.diff(sums) + w[shapes].reshape(-1, SHAPES).sum(axis=1) + bias
+            features, words, sizes, shapes, at, starts, parts, labels, weights = (whole[a : a + n * kind.itemsize].view(kind) for a, n, kind in block)
+            own, sums, odds = np.r_[w[features], 0.0], np.zeros(len(sizes)), np.full(len(sizes), bias)
+            if len(words):
+                some = np.flatnonzero(sizes)
+                sums[some] = np.add.reduceat(own.take(words), (np.cumsum(sizes, dtype=np.int64) - sizes)[some])
+            for k in range(SHAPES):
+                odds += own.take(shapes[k * len(sizes) : (k + 1) * len(sizes)])
+            odds += parts * sums
             off = (1 / (1 + np.exp(-odds)) - labels) * weights
-            out += np.bincount(words, np.repeat(parts * off, np.diff(ends)), len(out)) + np.bincount(shapes, np.repeat(off, SHAPES), len(out))
+            if len(at):
+                out[features] += np.add.reduceat(np.concatenate([parts * off, off]).take(at), starts)
             rest += float(off.sum())
-        return out[:-1], rest
+        return out, rest
 
 
 class Exchange:
@@ -226,8 +274,9 @@ class LineModel:
         self._take(list(names), *_descent(len(names), float(each.sum()) if len(lines) else 0.0, slope))
 
     @classmethod
-    def of_corpus(cls, lines: DataFrame, stems: bool = False) -> LineModel:
-        """The model of all rows of ``lines`` (``line``, masked; ``label``, 1 or 0; ``n``, what it weighs)."""
+    def of_corpus(cls, lines: DataFrame, stems: bool = False, last: DataFrame | None = None) -> LineModel:
+        """The model of all rows of ``lines`` (``line``, masked; ``label``, 1 or 0; ``n``, what it weighs). ``last`` is what they are read
+        from, if nothing else reads it; it is released before the descent."""
         self = cls.__new__(cls)
         self.stems = stems
         context = lines.sparkSession.sparkContext
@@ -239,13 +288,16 @@ class LineModel:
             for batch in batches:
                 for line, label, n in zip(*(c.to_pylist() for c in batch.columns)):
                     block.add(line, label, n)
-                    if len(block.ends) >= BLOCK:
+                    if len(block.sizes) >= BLOCK:
                         yield block.row()
                         block = Block(stems)
-            if block.ends:
+            if block.sizes:
                 yield block.row()
 
         blocks = cut(lines.select("line", F.col("label").cast("double"), F.col("n").cast("double")).mapInArrow(packed, Block.SCHEMA).coalesce(max(1, slots)))
+        if last is not None:
+            release(last)
+        forget_shuffles(lines.sparkSession)
         count, total = blocks.agg(F.sum("size"), F.sum("total")).first()
         least = (count or 0) / ONE_OF
         kept = blocks.select(F.explode(F.arrays_zip("names", "counts")).alias("x")).groupBy("x.names").agg(F.sum("x.counts").alias("n")).where(F.col("n") >= least)
@@ -339,11 +391,12 @@ class LineModel:
                 return 0.0
         return self.bias + part + sum([of(f, 0.0) for f in shape(masked, words)])
 
-    def score(self, masked: str, words: list[str]) -> float:
+    def score(self, masked: str, words: list[str], part: float | None = None) -> float:
+        """``part`` is what the words alone add, if known."""
         if not words:
             return self.bias
         of = self.shapes.get
-        return self.bias + self.of_words(words) + sum([of(f, 0.0) for f in shape(masked, words)])
+        return self.bias + (self.of_words(words) if part is None else part) + sum([of(f, 0.0) for f in shape(masked, words)])
 
 
 def label_by_repetition(pages: list[tuple[str, str | None]]) -> tuple[list[str], list[float]]:
@@ -378,34 +431,48 @@ BEGINNINGS = 100_000
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """(``line``, ``label``, ``n``): :func:`label_by_repetition` of all ``pages`` (``t``, ``s``), equal lines of one label as one row."""
-    return _labelled(_lines_and_heads(pages))
+    return _labelled(lines_and_heads(pages))
 
 
 def furniture_model_of(pages: DataFrame) -> LineModel:
     """:func:`furniture_model` of all ``pages`` (``t``, ``s``)."""
-    both = _lines_and_heads(pages)
-    out = LineModel.of_corpus(_labelled(both))
-    release(both)
-    return out
+    return furniture_model_of_lines(lines_and_heads(pages))
+
+
+def furniture_model_of_lines(both: DataFrame) -> LineModel:
+    """:func:`furniture_model_of` from :func:`lines_and_heads`, which are released."""
+    return LineModel.of_corpus(_labelled(both), last=both)
 
 
-def _lines_and_heads(pages: DataFrame) -> DataFrame:
+def lines_and_heads(pages: DataFrame) -> DataFrame:
     """By site the masked lines, how many pages hold them and how often; and, without a line, the labels that lines begin with."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str | None], tuple[str, int]] = {}  # masked wording and number of words of lines
         for batch in batches:
             rows = []
             for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = site.replace("_", " ") if site else None
-                held = Counter(mask(x, name) for x in text.split("\n") if x and not x.isspace())
+                name, held, size = site.replace("_", " ") if site else None, {}, {}
+                for x in text.split("\n"):
+                    if x and not x.isspace():
+                        found = seen.get((x, name))
+                        if found is None:
+                            masked = mask(x, name)
+                            found = masked, len(tokens(masked))
+                            if len(x) <= REMEMBERED:
+                                seen[x, name] = found
+                        masked, size[masked] = found
+                        held[masked] = held.get(masked, 0) + 1
                 heads = {m: m[:LABEL].split(":")[0] for m in held if ":" in m[:LABEL]}
-                rows += [(site, m, heads.get(m), len(tokens(m)), n) for m, n in held.items()]
+                rows += [(site, m, heads.get(m), size[m], n) for m, n in held.items()]
                 rows += [(site, None, h, None, 1) for h in set(heads.values()) if site is not None]
+                if len(seen) > LINES:
+                    seen.clear()
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["s", "line", "head", "words", "n"])
 
-    return cut(pages.select("t", "s").mapInArrow(own, "s string, line string, head string, words long, n long").groupBy("s", "line", "head", "words").agg(F.count("*").alias("held"), F.sum("n").alias("n")))
+    return stored(pages.select("t", "s").mapInArrow(own, "s string, line string, head string, words long, n long").groupBy("s", "line", "head", "words").agg(F.count("*").alias("held"), F.sum("n").alias("n")))
 
 
 def _labelled(both: DataFrame) -> DataFrame:
@@ -446,9 +513,10 @@ def residue_model(articles: list[str], exemplars: list[str], seed: int = 5) -> L
     return LineModel(positives + articles, [1.0] * len(positives) + [0.0] * len(articles), [weigh / 2] * len(positives) + [1.0] * len(articles), stems=True)
 
 
-def residue_model_of(articles: DataFrame, exemplars: list[str], seed: int = 5) -> LineModel:
-    """:func:`residue_model` against the distinct lines ``articles`` (``line``) of all articles, which are read twice."""
+def residue_model_of(articles: DataFrame, exemplars: list[str], seed: int = 5, last: bool = False) -> LineModel:
+    """:func:`residue_model` against the distinct lines ``articles`` (``line``) of all articles, which are read twice; if this is the ``last`` time,
+    they are released."""
     positives = _positives(exemplars, seed)
     weigh = articles.count() / max(len(positives), 1)
     ours = articles.sparkSession.createDataFrame([(x, 1.0, weigh / 2) for x in positives], "line string, label double, n double").coalesce(1)
-    return LineModel.of_corpus(articles.select("line", F.lit(0.0).alias("label"), F.lit(1.0).alias("n")).union(ours), stems=True)
+    return LineModel.of_corpus(articles.select("line", F.lit(0.0).alias("label"), F.lit(1.0).alias("n")).union(ours), stems=True, last=articles if last else None)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from leafwright.llm import encoding, linemodel
 from leafwright.llm.encoding import Model
 from leafwright.llm.exemplars import FILLER, FURNITURE, FURNITURE_GENERAL, HAN_FILLER, LIST_HEADINGS, MENU, RESIDUE, RESIDUE_GENERAL, SIGNATURES, Fill, Index, is_prose, mask, sentences, tokens
-from leafwright.session import cut, release
+from leafwright.session import cut, release, stored
 
 #: Containment from which a window counts as covered; share of a window's words that slots must be; log odds from which the classifier counts as coverage.
 COVERED, SLOTTED, LIKELY = 0.66, 0.15, -1.0
@@ -38,6 +38,8 @@ LONG = 90
 #: Lines in a row that make up one window.
 ROW = 3
 CACHE, WINDOWS = 200_000, 50_000
+#: Characters of a line up to which it is remembered for its repetition.
+SHORT = 160
 #: Words on at least one of so many documents are frequent; so their number is at most that many times the words of a document on average.
 FREQUENT = 1000
 
@@ -96,10 +98,12 @@ def words_and_articles(pages: DataFrame, index: Index, encodings: Model) -> Data
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, told = shared.value, Counter(), {}
+        seen: dict[str, tuple[str, list[str]]] = {}  # masked wording, without a site, and words of lines
+        words_of: dict[str, list[str]] = {}  # of a page's lines
 
         def covered(masked: str) -> bool:
             if masked not in told:
-                told[masked] = own.best(tokens(masked))[0] >= COVERED
+                told[masked] = own.best(words_of[masked] if masked in words_of else tokens(masked))[0] >= COVERED
             return told[masked]
 
         for batch in batches:
@@ -114,23 +118,33 @@ def words_and_articles(pages: DataFrame, index: Index, encodings: Model) -> Data
                 odd = {x for x, strange in zip(asked, model.value.odd(list(asked))) if strange}
                 for text, site in zip(texts[start:at], sites[start:at]):
                     name, masked, words = site.replace("_", " ") if site else None, [], set()
+                    words_of.clear()
                     for x in text.split("\n"):
                         if x and not x.isspace():
-                            plain = mask(x, None)
+                            if x in seen:
+                                plain, its = seen[x]
+                            else:
+                                plain = mask(x, None)
+                                its = tokens(plain)
+                                if len(x) <= SHORT:
+                                    seen[x] = plain, its
+                            words_of[plain] = its
                             masked.append(plain.replace(name, "@") if name else plain)
                             if "�" not in x and x not in odd:
-                                words.update(tokens(plain))
+                                words.update(its)
                     held.update(words)
                     out.update(dict.fromkeys(linemodel.article_part(masked, covered)))
                 if len(told) > CACHE:
                     told.clear()
+                if len(seen) > WINDOWS:
+                    seen.clear()
             if len(held) > linemodel.HELD:
                 yield rows([], held)
                 held.clear()
             yield rows(list(out), Counter())
         yield rows([], held)
 
-    return cut(pages.select("t", "s").mapInArrow(found, "line string, w string, n long"))
+    return stored(pages.select("t", "s").mapInArrow(found, "line string, w string, n long"))
 
 
 def fill_of(counts: DataFrame, pages: int) -> Fill:
@@ -142,19 +156,19 @@ def fill_of(counts: DataFrame, pages: int) -> Fill:
 
 def fit(df: DataFrame, text: str, site: str, words: bool = True, furniture: bool = True) -> Fitted:
     """Models of a corpus with columns ``text`` and ``site``, on all its distinct texts; word frequencies and the model of furniture only if asked for."""
-    pages = cut(distinct_pages(df, text, site))
+    pages = stored(distinct_pages(df, text, site))
     frequent, rare = frequent_words(df, text) if words else (None, None)
     out = Fitted(encoding.fit(pages, "t", distinct=True), frequent=frequent, rare=rare)
-    if furniture:
-        out.furniture = linemodel.furniture_model_of(pages)
     index = Index(labelled(), bags=bags(), frequent=frequent, rare=rare)
     both = words_and_articles(pages, index, out.encodings)
     out.fill = fill_of(both.where(F.col("w").isNotNull()).select("w", "n"), pages.count())
-    release(pages)
-    articles = cut(both.where(F.col("line").isNotNull()).select("line").distinct())
+    articles = stored(both.where(F.col("line").isNotNull()).select("line").distinct())
     release(both)
-    out.residue = linemodel.residue_model_of(articles, labelled()["residue"])
-    release(articles)
+    lines = linemodel.lines_and_heads(pages) if furniture else None
+    release(pages)  # the descents need room
+    if lines is not None:
+        out.furniture = linemodel.furniture_model_of_lines(lines)
+    out.residue = linemodel.residue_model_of(articles, labelled()["residue"], last=True)
     return out
 
 
@@ -223,9 +237,10 @@ class Judge:
         if found := self._covered(masked, words, cover):
             return found
         prose = is_prose(masked)
-        if (prose or len(words) > 2) and self._likely(masked, words):
+        part = self.fitted.residue.of_words(words) if self.fitted.residue and (prose or len(words) > 2) else 0.0
+        if (prose or len(words) > 2) and self._likely(masked, words, part):
             return "residue"
-        if prose and (self.fitted.residue is None or self.fitted.residue.of_words(words) >= 0) and (found := self._passage(masked)):
+        if prose and part >= 0 and (found := self._passage(masked)):
             return found
         if prose:
             return "prose"
@@ -247,12 +262,13 @@ class Judge:
             label = "residue" if found == "residue" else label
         return label
 
-    def _likely(self, masked: str, words: list[str]) -> bool:
-        """Whether the classifier takes a window for residue, by its words and altogether; words that it doesn't know tell nothing."""
+    def _likely(self, masked: str, words: list[str], part: float | None = None) -> bool:
+        """Whether the classifier takes a window for residue, by its words (``part`` is what they add, if known) and altogether; words that it doesn't know tell nothing."""
         model = self.fitted.residue
         if model is None or "�" in masked:  # what lost its characters has no words
             return False
-        return model.of_words(words) >= linemodel.WORDED and model.score(masked, words) >= LIKELY and model.familiar(words) >= FAMILIAR
+        part = model.of_words(words) if part is None else part
+        return part >= linemodel.WORDED and model.score(masked, words, part) >= LIKELY and model.familiar(words) >= FAMILIAR
 
     def _menu(self, masked: str) -> bool:
         parts = [p.strip() for p in re.split(r"[|/·>]", masked)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,9 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only a local session may leave it unset and gets a temporary folder;
     on a cluster that would be lost with its machine, so an error is raised.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local") or not folder and context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
@@ -39,16 +46,35 @@ def cut(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="leafwright-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """:func:`cut` as compressed columns, a half or a third of its size for texts. The files stay until :func:`release`."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    forget_shuffles(df.sparkSession)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a :func:`cut` that nothing reads any more; otherwise they stay until the driver collects garbage."""
+    """Delete the files of a :func:`cut` or :func:`stored` that nothing reads any more; those of a cut otherwise stay until the driver collects garbage."""
     context = df.sparkSession.sparkContext
-    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+    file = getattr(df, "_stored", None)
+    if file is None:
+        checkpoint = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        file = checkpoint.get() if checkpoint.isDefined() else None
+    if file:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    forget_shuffles(df.sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no DataFrame leads to any more, as those behind a :func:`cut`; it does so only when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

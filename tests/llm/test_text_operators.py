@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 from collections import Counter
 from itertools import product
@@ -273,6 +274,20 @@ def test_fit_leaves_no_large_checkpoints(spark):
     assert "grössere" in fitted.fill.known and fitted.residue.words["hearing"] < 0 and ("label", "terms") in fitted.furniture.shapes
 
 
+def test_fit_leaves_no_shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size
+    df = spark.createDataFrame([(f"{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\n{PROSE} {i} times.\nTerms: {i}\nGrößere Störung {i}", "a_b") for i in range(12)], "t string, s string")
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    residue.fit(df, "t", "s")
+    for _ in range(20):  # Spark deletes them in the background
+        if held() - before <= 3:
+            break
+        time.sleep(0.5)
+    assert held() - before <= 3
+
+
 def test_residue_models_know_all_texts(spark):
     own = " ".join("Zanholm gardeners moored seventeen barges beside the orchard." for _ in range(400))
     texts = [f"{own}\n{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\nUnder {chr(97 + i)} oak." for i in range(20)]
