@@ -256,6 +256,36 @@ def test_passes_of_a_descent_are_no_jobs(spark, monkeypatch):
     assert empty.bias == 0 and not empty.words
 
 
+def test_blocks_are_narrow_and_sum_right(tmp_path):
+    lines = [(f"{w} quayside - {PROSE.lower()}" if w else "- - -", float(i % 2), 1.0 + i % 3) for i, w in enumerate(["tide", "moorings", "", "数据记录"] * 5)]
+    block = linemodel.Block(True)
+    for line in lines:
+        block.add(*line)
+    row = block.row()
+    names, shapes = row["names"].to_pylist()[0], row["shapes"].to_pylist()[0]
+    assert len(names) < 256 and len(shapes) == len(lines) * linemodel.SHAPES  # a byte each
+    known = {x: i for i, x in enumerate(sorted(names)[::2])}
+    w = [0.01 * (i % 7 - 3) for i in range(len(known))]
+    want, rest = [0.0] * len(known), 0.0
+    for masked, label, weight in lines:
+        own = [(known["\t".join(f)], v) for f, v in linemodel.features(masked, True) if "\t".join(f) in known]
+        off = (1 / (1 + 2.718281828459045 ** -(0.3 + sum(w[i] * v for i, v in own))) - label) * weight
+        rest += off
+        for i, v in own:
+            want[i] += v * off
+    with open(tmp_path / "lines", "w+b") as file:
+        slope = linemodel.Slope(known, file)
+        slope.add(row)
+        got, over = slope(linemodel.np.array(w), 0.3)
+    assert list(got) == pytest.approx(want, abs=1e-5) and over == pytest.approx(rest, abs=1e-5)
+
+
+def test_words_of_a_window_are_weighed_once(monkeypatch):
+    judge, asked, own = residue.Judge(residue.Fitted(residue=linemodel.residue_model([PROSE.lower()], ["page not found #"]))), [], linemodel.LineModel.of_words
+    monkeypatch.setattr(linemodel.LineModel, "of_words", lambda self, words: asked.append(words) or own(self, words))
+    assert judge.label(PROSE.lower()) == "prose" and len(asked) == 1
+
+
 def test_residue_fit_takes_few_jobs(spark):
     pages = [(f"{PROSE}\n{PROSE} Twice.\n{PROSE} Thrice.\n{PROSE} {i} times.\nUnder {chr(97 + i)} oak.\nStörung", "a_b") for i in range(12)]
     fitted, jobs = _jobs(spark, "residue", lambda: residue.fit(spark.createDataFrame(pages, "t string, s string"), "t", "s", furniture=False))
